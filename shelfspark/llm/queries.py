@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, jaccard_join, mixture, sentencepiece_codec
+from . import exact_topk, jaccard_join, licenses, line_cleaning, mixture, pii, quality, secret_scan, sentencepiece_codec, toxicity
 from .common import documents, labels
 
 
@@ -17,6 +17,18 @@ def tokenizer_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
@@ -25,6 +37,14 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(documents(spark, sf_dir))
 
 
+def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cleaning.report(documents(spark, sf_dir))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return exact_topk.top_k(rows, rows.where("vec_id % 50 = 0"))
@@ -34,11 +54,22 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer_model())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, labels(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixture": op5_mixture,
+    "op6_line_cleaning": op6_line_cleaning,
+    "op7_licenses": op7_licenses,
     "op8_exact_topk": op8_exact_topk,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
