@@ -133,3 +133,19 @@ def rank_images(images: DataFrame, page: str = "page_id", keep: int = 50) -> Dat
     i = i.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     order = Window.partitionBy(page).orderBy(F.desc("score"), F.desc("bytes"), "pos")
     return i.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+
+
+def match_categories(products: DataFrame, cats: DataFrame, synonyms: dict[str, str], id_col: str, sources: dict[str, str]) -> DataFrame:
+    """(id, category_id, path, score): hits of a category's name, its plural or a synonym in each source, weighted, a name's hits
+    times the source's weight plus ten for each level of depth. sources: source -> column. Words meet names in an equi-join."""
+    names = cats.select("category_id", "name", "level", F.explode(F.array(F.lower("name"), F.concat(F.lower("name"), F.lit("s")), F.regexp_replace(F.lower("name"), "s$", ""))).alias("word"))
+    syn = cats.sparkSession.createDataFrame(list(synonyms.items()), "word string, name string")
+    names = names.unionByName(syn.join(cats, "name").select("category_id", "name", "level", "word")).select("category_id", "level", "word").distinct()
+    words = F.array(*[F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9-]+"), lambda x: x != ""), _weighted(rules.SOURCE_WEIGHTS[s])) for s, c in sources.items()])
+    w = products.select(id_col, F.explode(F.flatten(words)).alias("x")).groupBy(id_col, "x.w").agg(F.sum("x.n").alias("n"))
+    hits = w.join(F.broadcast(names), w.w == names.word).groupBy(id_col, "category_id", "level").agg(F.sum("n").alias("n"))
+    return hits.select(id_col, "category_id", (F.col("n") + 10 * F.col("level")).alias("score")).join(F.broadcast(category_paths(cats).select("category_id", "path").groupBy("category_id").agg(F.min("path").alias("path"))), "category_id")
+
+
+def _weighted(n: int):
+    return lambda x: F.struct(x.alias("w"), F.lit(n).alias("n"))

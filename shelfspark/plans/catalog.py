@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import catalog as ops
+from ..operators import extract, logs, reconcile, selection, taxonomy
 from ..sources import html
 from ..streaming import sessions
 
@@ -252,3 +253,95 @@ def gender_and_override(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     title = F.concat(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, " dog bed for women").when(F.col("p_size") % 3 == 1, " tanning bed").otherwise(" men and women"))
     return p.select("p_partkey", ops.gender(F.lit(""), title).alias("gender"), ops.phrase_override(title).alias("path"), ops.canonical_tag(F.split("p_name", " ")[1]).alias("tag"))
+
+
+SEED = [(1, "Hardware", 0), (2, "Widgets", 1), (3, "Red Widgets", 2), (4, "Gears", 1), (5, "Fashion", 0), (6, "Bags", 1), (7, "Bags", 2), (8, "Shoes", 1)]
+
+
+@query(f"""WITH s AS {_values(SEED, "seq, name, level")}, a AS (SELECT *, last_value(CASE WHEN level = 0 THEN name END IGNORE NULLS) OVER w AS l0, last_value(CASE WHEN level = 1 THEN name END IGNORE NULLS) OVER w AS l1
+  FROM s WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT seq, name, level, CASE level WHEN 0 THEN name WHEN 1 THEN l0 || ' > ' || name ELSE l0 || ' > ' || l1 || ' > ' || name END AS path FROM a""")
+def ancestor_paths(spark, sf_dir):
+    return taxonomy.ancestor_paths(spark.createDataFrame(SEED, "seq int, name string, level int"))
+
+
+@query("""SELECT p_partkey, CASE WHEN r = 1 THEN s ELSE s || '-' || (r - 1) END AS slug FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)""")
+def unique_slugs(spark, sf_dir):
+    return taxonomy.unique_slugs(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "slug")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT 'Hardware' AS a, 'Widgets' AS b, p_type AS c FROM part), x AS (SELECT a AS path, 0 AS level FROM p UNION SELECT a || ' > ' || b, 1 FROM p UNION SELECT a || ' > ' || b || ' > ' || c, 2 FROM p)
+  SELECT path, level FROM x WHERE path NOT IN ('Hardware', 'Hardware > Widgets')""")
+def path_walk_creates(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" > ", F.lit("Hardware"), F.lit("Widgets"), "p_type").alias("path")).distinct()
+    return taxonomy.missing_levels(p, ops.category_paths(ops.categories(spark)).select("path").distinct())
+
+
+@query("""SELECT DISTINCT 'Hardware > Widgets > ' || p_type AS path, 2 AS depth FROM part""")
+def path_walk_stops(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" > ", F.lit("Hardware"), F.lit("Widgets"), "p_type").alias("path")).distinct()
+    return taxonomy.known_prefix(p, ops.category_paths(ops.categories(spark)).select("path").distinct())
+
+
+@query("""SELECT lower(trim(c_mktsegment)) AS synonym, arg_max(c_name, c_custkey) AS category_name, max(c_custkey) AS seq FROM customer GROUP BY 1""")
+def synonyms_latest(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit(" "), "c_mktsegment").alias("synonym"), F.col("c_name").alias("category_name"), F.col("c_custkey").alias("seq"))
+    return taxonomy.save_synonyms(c.limit(0), c)
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_suppkey, count(*) AS n, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, f DESC, l_suppkey DESC) AS r FROM n) WHERE r = 1""")
+def majority_value(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    n = li.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("f"))
+    return n.groupBy("l_orderkey").agg(F.max(F.struct("n", "f", "l_suppkey")).alias("b")).select("l_orderkey", "b.l_suppkey", "b.n")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity > 20 AND sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) <= 3 AS in_quota FROM lineitem""")
+def first_matches(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return selection.first_matches(li, "l_orderkey", "seq", F.col("l_quantity") > 20).select("l_orderkey", "l_linenumber", "l_suppkey", "in_quota")
+
+
+@query(f"""SELECT DISTINCT w AS name, CASE WHEN regexp_matches(w, 'men|women|kids|unisex') THEN 'demographic' WHEN regexp_matches(w, 'cotton|leather|wool|silk|steel|brass|copper|tin|wood') THEN 'materials' WHEN regexp_matches(w, 'red|blue|green|black|white|yellow') THEN 'colors'
+  WHEN regexp_matches(w, 'slim|loose|regular|small|large') THEN 'fit' WHEN regexp_matches(w, 'casual|formal|vintage|modern') THEN 'styles' ELSE 'features' END AS tag_type FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part) WHERE w <> '' AND w NOT IN (SELECT name FROM {TAGS})""")
+def new_tags(spark, sf_dir):
+    s = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("name"))
+    return reconcile.new_tags(s, F.broadcast(ops.tags(spark)))
+
+
+@query("""SELECT p_brand, name, source FROM (SELECT p_brand, name, source, row_number() OVER (PARTITION BY p_brand, lower(name) ORDER BY source DESC, p_partkey) AS r FROM
+  (SELECT p_brand, p_name AS name, p_partkey, 'AUTO' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_brand, upper(p_name), p_partkey, 'AI' FROM part WHERE p_partkey % 2 = 1)) WHERE r = 1""")
+def merge_tags(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("seq", F.col("p_partkey"))
+    auto, ai = p.where("p_partkey % 2 = 0").withColumn("name", F.col("p_name")), p.where("p_partkey % 2 = 1").withColumn("name", F.upper("p_name"))
+    return reconcile.merge_tags(auto, ai, "p_brand")
+
+
+@query(f"""SELECT p_partkey, name, tag_type FROM {_MATCH} WHERE CASE WHEN p_partkey % 3 = 0 THEN tag_type IN ('colors', 'materials', 'patterns', 'styles', 'fit', 'occasions', 'features') WHEN p_partkey % 3 = 1 THEN tag_type IN ('materials', 'features', 'finishes', 'colors') ELSE true END""")
+def department_tags(spark, sf_dir):
+    m = ops.match_tags(table(spark, sf_dir, "part"), F.broadcast(ops.tags(spark)), "p_partkey", "p_name")
+    dept = F.when(F.col("p_partkey") % 3 == 0, "Fashion").when(F.col("p_partkey") % 3 == 1, "Hardware").otherwise("Toys")
+    return m.where(taxonomy.allowed_types(dept, F.col("tag_type")))
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, 0 AS rejections, min(ts) AS started, max(ts) AS ended FROM events GROUP BY user_id""")
+def log_summary(spark, sf_dir):
+    return logs.summary(table(spark, sf_dir, "events").withColumn("message", F.col("event_type")), "user_id")
+
+
+@query()
+def merge_twins(spark, sf_dir):
+    """Bridges re-pointed to the categories that stay; the test holds the rows."""
+    c = ops.categories(spark)
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 14 + 1).cast("int").alias("category_id"))
+    return taxonomy.merge_twins(c, b)[1]
+
+
+@query()
+def page_record(spark, sf_dir):
+    return extract.page_record(table(spark, sf_dir, "pages"))
+
+
+@query(f"""WITH n AS (SELECT category_id, level, unnest(list_distinct([lower(name), lower(name) || 's', regexp_replace(lower(name), 's$', '')])) AS w FROM {CATS} UNION SELECT category_id, level, 'ring' FROM {CATS} WHERE name = 'Widgets'),
+  t AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT p_partkey, category_id, CAST(1000 * count(*) + 10 * level AS BIGINT) AS score FROM t JOIN (SELECT DISTINCT * FROM n) n USING (w) GROUP BY p_partkey, category_id, level""")
+def category_matches(spark, sf_dir):
+    return ops.match_categories(table(spark, sf_dir, "part"), ops.categories(spark), {"ring": "Widgets"}, "p_partkey", {"title": "p_name"}).select("p_partkey", "category_id", "score")
