@@ -36,6 +36,22 @@ def test_function(spark, f, given, want):
     assert value(spark, f, given) == want
 
 
+def test_image_score(spark):
+    assert value(spark, lambda u: text.image_score(u, F.lit(0), F.lit(False)), "https://cdn.shopify.com/s/files/1/products/shoe_1020x.jpg") == 265
+    assert value(spark, lambda u: text.image_score(u, F.lit(20), F.lit(False)), "https://x.com/logo.svg") == 0
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("https://coach.scene7.com/is/image/a?$desktopThumbnail$", "https://coach.scene7.com/is/image/a?$desktopProductZoom$&wid=2000&qlt=90&op_usm=1.0,1.0,0.0,0"), ("https://mediahub.boohooman.com/a?w=112&h=200", "https://mediahub.boohooman.com/a?w=1000&h=1500"),
+        ("https://prodimage.images-bn.com/p/s600x595/a.jpg", "https://prodimage.images-bn.com/p/s600x600/a.jpg"), ("https://www.ikea.com/x/images/a.jpg?f=s", "https://www.ikea.com/x/images/a.jpg?f=xxxl"), ("https://img.kwcdn.com/a/w/800/q/70/b", "https://img.kwcdn.com/a/w/1200/q/90/b"), ("https://a.b/c.jpg?&", "https://a.b/c.jpg"),
+    ],
+)
+def test_cdn(spark, given, want):
+    assert value(spark, text.upgrade_cdn, given) == want
+
+
 def test_paths(spark):
     assert value(spark, lambda c: text.drop_repeats(F.split(c, ",")), "a,a,b,a,b,b") == ["a", "b", "a", "b"]
     score = lambda a, b: value(spark, ops.path_similarity, a, b)
