@@ -17,7 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Written out character by character, since Java tests listed characters by a bit set and ranges one after another.
+_GAPS = "".join(rf"\x{i:02X}" for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
+WORD = f"[^{_GAPS}]+"
 #: Fixed by the contract: phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: label -> (opening words of a notice, mandatory key phrases)
@@ -34,7 +36,9 @@ TEMPLATES = {
     "mpl-2.0": ("subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
     "reserved": ("copyright all rights reserved", ("all rights reserved",)),
 }
+#: A file looks up so many of its words, of those that stand in at most a tenth of the documents.
 RARE = 12
+IDF_LEAST = math.log(10)
 
 
 def _lower(text: Column) -> Column:
@@ -46,12 +50,15 @@ def _phrase(phrase: str) -> str:
     return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){gap.join(phrase.split())}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
-GATE = "|".join(dict.fromkeys(_phrase(p) for p in [*BASE, *(p for _, ps in TEMPLATES.values() for p in ps)]))
+#: The words as they stand before lower-casing, and a part of each key phrase; Java ignores case for ASCII only, as wanted.
+_RAW_GAPS = "".join(rf"\x{i:02X}" for i in range(128) if not chr(i).isalnum())
+RAW_WORD = f"[^{_RAW_GAPS}]+"
+CHEAP = r"(?i)license|reserved|hereby|redistribution|(?<![0-9a-z\u0080-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def _words(low: Column) -> Column:
-    """The words, of texts that hold some key phrase; else an empty array."""
-    return F.when(low.rlike(GATE), F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _words(raw: Column) -> Column:
+    """The lower-cased words, of texts that may hold a key phrase; else an empty array."""
+    return F.when(raw.rlike(CHEAP), F.regexp_extract_all(_lower(raw), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def postings() -> dict[str, list[tuple[str, int]]]:
@@ -64,9 +71,9 @@ def postings() -> dict[str, list[tuple[str, int]]]:
 
 def idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """IDF of the templates' words over all documents; as many rows as the templates have words."""
-    vocab = F.array(*map(F.lit, sorted(postings())))
-    low = _lower(F.col(text_col))
-    words = F.array_intersect(F.regexp_extract_all(low, F.lit(rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(sorted(postings()))})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"), F.lit(0)), vocab)
+    # as they are written: in lower case, with a capital, in capitals
+    vocab = F.array(*[F.lit(v) for w in sorted(postings()) for v in dict.fromkeys((w, w.capitalize(), w.upper()))])
+    words = F.array_distinct(F.transform(F.array_intersect(F.regexp_extract_all(text_col, F.lit(RAW_WORD), F.lit(0)), vocab), _lower))
     seen = docs.select(words.alias("w"))
     df = {r[0]: r[1] for r in seen.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*")).collect()}
     n = docs.count()
@@ -78,14 +85,21 @@ def _labelled(label: str):
 
 
 def _most_agreeing(hits: Column) -> Column:
-    """The most distinct words that stand at one offset."""
-    words_at = lambda o: F.size(F.array_distinct(F.transform(F.filter(hits, lambda h: h["off"] == o), lambda h: h["w"])))
-    return F.array_max(F.transform(F.array_distinct(F.transform(hits, lambda h: h["off"])), words_at))
+    """The most distinct words that stand at one offset: one pass over the hits in order of offset and word."""
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["off"].alias("off"), h["w"].alias("w"))))
+    start = F.struct(F.lit(None).cast("int").alias("off"), F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.when(a["off"] == x["off"], a["n"] + F.when(a["w"] == x["w"], 0).otherwise(1)).otherwise(1)
+        return F.struct(x["off"].alias("off"), x["w"].alias("w"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    return F.aggregate(ordered, start, step, lambda a: a["best"])
 
 
 def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    d = docs.select(id_col, _lower(F.col(text_col)).alias("low"))
-    d = d.select(id_col, "low", F.coalesce(F.regexp_count("low", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), _words(F.col("low")).alias("w"))
+    d = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    n_words = F.regexp_count("raw", F.lit(RAW_WORD))
+    d = d.select(id_col, n_words.cast("long").alias("n_words"), _words(F.col("raw")).alias("w"))
     n = F.size("w")
     word = lambda i: F.get("w", i)
 
@@ -100,7 +114,8 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     # the rarest license words of the file, each with its places
     index = F.create_map(*[x for w, ps in postings().items() for x in (F.lit(w), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("i")) for label, i in ps]))])
     rarity = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v))])
-    mine = F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, weights))), lambda w: F.struct((-F.element_at(rarity, w)).alias("r"), w.alias("w"))))
+    rare_words = [w for w, v in weights.items() if v >= IDF_LEAST] or list(weights)
+    mine = F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, rare_words))), lambda w: F.struct((-F.element_at(rarity, w)).alias("r"), w.alias("w"))))
     d = d.select("*", places.alias("places"), base.alias("base"), F.transform(F.slice(mine, 1, RARE), lambda x: x["w"]).alias("rare"))
     at = F.when(F.size("rare") > 0, F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: F.array_contains("rare", x["w"]))).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
     d = d.withColumn("hits", F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["label"].alias("label"), (x["at"] - p["i"]).alias("off"), x["w"].alias("w"))))))
@@ -111,7 +126,7 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
         best = _most_agreeing(own)
         verified = F.lit(True)
         for p in phrases:
-            verified = verified & F.col("low").rlike(_phrase(p))
+            verified = verified & F.array_join("w", " ").rlike(_phrase(p))
         agree = F.coalesce(best / F.greatest(F.size(rare_here), F.lit(1)), F.lit(0.0))
         found.append(F.when(F.when(F.size("w") > 0, verified).otherwise(False), F.struct(F.lit(label).alias("label"), agree.alias("score"))))
     d = d.withColumn("found", F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= least))
