@@ -45,11 +45,6 @@ def _lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _phrase(phrase: str) -> str:
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){gap.join(phrase.split())}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-
-
 #: The words as they stand before lower-casing, and a part of each key phrase; Java ignores case for ASCII only, as wanted.
 _RAW_GAPS = "".join(rf"\x{i:02X}" for i in range(128) if not chr(i).isalnum())
 RAW_WORD = f"[^{_RAW_GAPS}]+"
@@ -100,13 +95,15 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     d = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     n_words = F.regexp_count("raw", F.lit(RAW_WORD))
     d = d.select(id_col, n_words.cast("long").alias("n_words"), _words(F.col("raw")).alias("w"))
+    d = d.withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    stands = lambda phrase: F.col("joined").contains(f" {phrase} ")
     n = F.size("w")
     word = lambda i: F.get("w", i)
 
     def starts(phrase: str) -> Column:
         ws = phrase.split()
         here = lambda i: F.when(word(i) == ws[0], sum(((word(i + j) == w).cast("int") for j, w in enumerate(ws) if j), F.lit(0)) == len(ws) - 1).otherwise(False)
-        return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), here)).otherwise(F.array().cast("array<int>"))
+        return F.when(stands(phrase), F.filter(F.sequence(F.lit(0), n - 1), here)).otherwise(F.array().cast("array<int>"))
 
     d = d.withColumns({f"p_{label}": starts(p) for p, label in BASE.items()})
     places = F.concat(*[F.col(f"`p_{label}`") for label in BASE.values()])
@@ -124,11 +121,11 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
         own = F.filter("hits", _labelled(label))
         rare_here = F.array_intersect("rare", F.array(*map(F.lit, dict.fromkeys(text.split()))))
         best = _most_agreeing(own)
+        agree = F.coalesce(best / F.greatest(F.size(rare_here), F.lit(1)), F.lit(0.0))
         verified = F.lit(True)
         for p in phrases:
-            verified = verified & F.array_join("w", " ").rlike(_phrase(p))
-        agree = F.coalesce(best / F.greatest(F.size(rare_here), F.lit(1)), F.lit(0.0))
-        found.append(F.when(F.when(F.size("w") > 0, verified).otherwise(False), F.struct(F.lit(label).alias("label"), agree.alias("score"))))
+            verified = verified & stands(p)
+        found.append(F.when(verified, F.struct(F.lit(label).alias("label"), agree.alias("score"))))
     d = d.withColumn("found", F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= least))
     extra = F.transform("found", lambda x: x["label"])
     score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)))
