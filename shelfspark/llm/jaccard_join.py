@@ -47,12 +47,13 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return shingle_hashes(word_hashes(b, s, e), n)
 
 
-def _signer(n: int, width: int):
+def _signer(n: int, width: int, tokens: int):
+    """Each text's keys, its first ``tokens`` minima whole, to split buckets by, and 16 bits of every one, to compare sets by."""
     seeds = _seeds(width)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key1, key2, size, sig = [], [], [], []
+            key1, key2, size, tok, sig = [], [], [], [], []
             for text in batch.column(1):
                 s = _shingles(text.as_py(), n)
                 m = np.zeros(width, np.uint64)
@@ -62,8 +63,9 @@ def _signer(n: int, width: int):
                 key1.append(mix64(s).sum().astype(np.int64))
                 key2.append(mix64(s ^ np.uint64(0xABCDEF)).sum().astype(np.int64))
                 size.append(len(s))
-                sig.append(m.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["id", "k1", "k2", "size", "sig"])
+                tok.append(m[:tokens].tobytes())
+                sig.append(m.astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(size, pa.int64()), pa.array(tok, pa.binary()), pa.array(sig, pa.binary())], ["id", "k1", "k2", "size", "tok", "sig"])
 
     return sign
 
@@ -88,8 +90,7 @@ def _bucket_edges(need: int, width: int, threshold: float, block: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids, size = pdf["id"].to_numpy(), pdf["size"].to_numpy().astype(float)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.int64).reshape(len(pdf), width)
-        sk = (sig & 0xFFFF).astype(np.uint16).T.copy()
+        sk = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), width).T.copy()
         n, roots = len(ids), np.arange(len(ids))
         side = pdf["side"].to_numpy()
         for i in range(0, n, block):
@@ -172,19 +173,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     # a pair at the threshold agrees on Binomial(width, threshold) values; four deviations below the mean
     need = math.floor(width * threshold - 4 * math.sqrt(width * threshold * (1 - threshold)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = rows.where("id is not null").mapInArrow(_signer(words, width), "id long, k1 long, k2 long, size long, sig binary").checkpoint()
+    signed = rows.where("id is not null").mapInArrow(_signer(words, width, runs * LEVELS), "id long, k1 long, k2 long, size long, tok binary, sig binary").checkpoint()
     reps = signed.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).checkpoint()
     member = signed.select("id", "k1", "k2", "size").join(reps, ["k1", "k2", "size"]).select("id", "rep", "weight")
     # a text without a shingle has no partner but its copies
-    sets = signed.join(reps.where("size > 0").select(F.col("rep").alias("id"), "weight"), "id").dropDuplicates(["id"]).select("id", "size", "sig", "weight")
+    sets = signed.join(reps.where("size > 0").select(F.col("rep").alias("id"), "weight"), "id").dropDuplicates(["id"]).select("id", "size", "tok", "sig", "weight").checkpoint()
 
     def token(run: int, level: int):
-        return F.substring("sig", (run * LEVELS + level) * 8 + 1, 8)
+        return F.substring("tok", (run * LEVELS + level) * 8 + 1, 8)
 
     paths = sets.select("id", "size", "sig", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), token(r, 0).alias("t1"), token(r, 1).alias("t2")) for r in range(runs)])).alias("p")).select("id", "size", "sig", "p.*")
     first = paths.groupBy("run", "t1").agg(F.count("*").alias("n1")).where("n1 > 1")
     at1 = paths.join(first, ["run", "t1"])
-    small = at1.where(F.col("n1") <= bucket).select("run", "t1", F.lit(None).cast("binary").alias("t2"), "id", "size", "sig", F.col("n1").alias("load"))
+    # null here; written so that small and deep read the same columns, and Spark shuffles them once for both
+    small = at1.where(F.col("n1") <= bucket).select("run", "t1", F.when(F.col("n1") > bucket, F.col("t2")).alias("t2"), "id", "size", "sig", F.col("n1").alias("load"))
     deep = at1.where(F.col("n1") > bucket).drop("n1")
     second = deep.groupBy("run", "t1", "t2").agg(F.count("*").alias("load")).where("load > 1")
     deep = _in_blocks(deep, ["run", "t1", "t2"], "id", bucket, second).select("run", "t1", "t2", "cell", "side", "id", "size", "sig")
