@@ -28,10 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi")
-    # rows that repeat an id: one of them, whichever has the smallest text hash
-    first = kept.groupBy("doc_id").agg(F.min(F.xxhash64("text", "source", "lang")).alias("pipeline_first"))
-    kept = kept.join(first, "doc_id").where(F.xxhash64("text", "source", "lang") == F.col("pipeline_first")).drop("pipeline_first").dropDuplicates(["doc_id"])
+    # rows that repeat an id: one of them, whichever has the smallest text hash; only ids and hashes are grouped, so texts
+    # are shuffled once, by the keys of the join, and rows alike are already together when they are folded
+    key = ["doc_id", "pipeline_first"]
+    marked = docs.withColumn("pipeline_first", F.xxhash64("text", "source", "lang"))
+    first = marked.groupBy("doc_id").agg(F.min("pipeline_first").alias("pipeline_first")).join(classes, "doc_id")
+    kept = marked.join(first, key).dropDuplicates(key).drop("pipeline_first")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
