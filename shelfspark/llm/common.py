@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,27 @@ def held_out(col: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col) % 3 == 1, F.lit(False))
 
 
+def smallest(ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n rows with the smallest hash of their id: a sample that does not depend on how rows are dealt."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+
+
+def made_of(docs: DataFrame, ids: DataFrame, make: Callable[[str | None], bytes]) -> dict[int, bytes]:
+    """make(text) for the documents in ids, a bounded sample, which is broadcast; texts stay in the tasks that read them.
+    Of rows that repeat an id the smallest result counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "made"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id")
+    return dict(sorted(map(tuple, texts.mapInArrow(run, "doc_id long, made binary").groupBy("doc_id").agg(F.min("made")).collect())))
+
+
+def known_ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the shared folder in spark.checkpoint.dir; only where none is set (tests) a local one is made."""
     sc = spark.sparkContext

@@ -12,6 +12,7 @@ ids and repeated rows are scored like any; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, known_ids, made_of, smallest
 from .features import shape_bins
 
 BINS, DIMS = 2048, 48
@@ -37,8 +38,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, x / np.maximum(n, 1e-12), 0).astype(np.float32)
 
 
-def fit(texts: list[str], label: np.ndarray, dims: int = DIMS) -> dict:
-    x = _counts(texts)
+def _packed(text: str | None) -> bytes:
+    return zlib.compress(_counts([text]).tobytes(), 1)
+
+
+def fit(x: np.ndarray, label: np.ndarray, dims: int = DIMS) -> dict:
+    """x: a row of term weights for each voter."""
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     unit = _unit(x * idf)
     # singular vectors of the terms through their Gram matrix
@@ -65,14 +70,16 @@ def vote(model: dict, texts: list[str | None], k: int, block: int = 256) -> np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, neighbours_from: int = 4000, seed: int = 5) -> dict:
-    known = labels.where(~held_out()).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    picked = []
+    known = labels.where(~held_out()).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(known_ids(docs), "doc_id", "left_semi")
+    label: dict[int, int] = {}
     for value in (0, 1):
-        picked += rows.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(neighbours_from // 2).select("text", "quality").collect()
-    if not picked:
+        some = smallest(known.where(F.col("quality") == value), neighbours_from // 2, seed).select("doc_id").collect()
+        label |= {r[0]: value for r in some}
+    if not label:
         return {"project": np.zeros((BINS, DIMS), np.float32), "voters": np.zeros((0, DIMS), np.float32), "label": np.zeros(0, np.float32)}
-    return fit([r[0] or "" for r in picked], np.array([r[1] for r in picked]))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
+    rows = made_of(docs, ids, _packed)
+    return fit(np.stack([np.frombuffer(zlib.decompress(x), np.float32) for x in rows.values()]), np.array([label[i] for i in rows]))
 
 
 def score(docs: DataFrame, model: dict, k: int = 15, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
