@@ -20,25 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, known_ids, made_of, smallest
 from .features import word_bins
 
 BINS = 1 << 18
 
 
-def sample_texts(docs: DataFrame, n: int, seed: int, *cols: str) -> list:
-    """The n rows with the smallest hash of their id."""
-    return docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).select("text", *cols).collect()
+def _packed(text: str | None) -> bytes:
+    """The bins of the distinct words."""
+    return np.unique(word_bins(text, BINS)).astype(np.int32).tobytes()
 
 
-def presence(texts: list[str], bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+def presence(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and bins of the distinct words of each text."""
-    found = [np.unique(word_bins(t, bins)) for t in texts]
-    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def fit_nnpu(pos: list[str], unl: list[str], prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, least: int = 5, lift: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights and bias. Words in fewer than ``least`` of the positives, or not ``lift`` times as common there as elsewhere, keep weight 0."""
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, least: int = 5, lift: float = 4.0) -> tuple[np.ndarray, float]:
+    """Weights and bias, from the bins of each text's distinct words. Words in fewer than ``least`` of the positives, or not ``lift`` times as common there as elsewhere, keep weight 0."""
     w, bias = np.zeros(BINS, np.float64), float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return w.astype(np.float32), bias
@@ -92,7 +91,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, positives: int = 2000, u
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         prior = min(0.5, max(0.01, prior))
-    toxic = docs.select("doc_id", "text").join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    pos = [r[0] or "" for r in sample_texts(toxic, positives, seed)]
-    unl = [r[0] or "" for r in sample_texts(docs.select("doc_id", "text"), unlabelled, seed + 1)]
-    return score(docs, *fit_nnpu(pos, unl, prior))
+    there = known_ids(docs)
+    few = smallest(there.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"), positives, seed)
+    pos, unl = (made_of(docs, ids, _packed) for ids in (few, smallest(there, unlabelled, seed + 1)))
+    return score(docs, *fit_nnpu(*([np.frombuffer(x, np.int32) for x in m.values()] for m in (pos, unl)), prior))
