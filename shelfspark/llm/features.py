@@ -18,19 +18,19 @@ _KIND[[ord(c) for c in ",;:'\"()-"]] = 5
 
 
 def word_bins(text: str | None, bins: int) -> np.ndarray:
-    """The bin of every lower-cased word without punctuation at its ends; a word of punctuation alone has the bin of nothing."""
+    """The bin of every lower-cased word without its punctuation and symbols; a word of these alone has the bin of nothing."""
+    from .common import _POW, _SPACE
+
     b, s, e = word_spans((text or "").encode("utf-8", "surrogatepass"))
     if not len(s):
         return np.zeros(0, np.int64)
     v = _LOWER[b]
-    v = np.where((_KIND[b] == 4) | (_KIND[b] == 5) | (b == 33), np.uint8(255), v)  # 255 is in no UTF-8 text
+    v = np.where((_KIND[b] != 1) & (_KIND[b] != 2) & (_KIND[b] != 3) & ~_SPACE[b], np.uint8(255), v)  # 255 is in no UTF-8 text
     # punctuation is left out of the hash, wherever it stands
     keep = v != 255
     length = np.add.reduceat(keep.astype(np.int64), s)
     pos = np.cumsum(keep) - 1
     first = pos[s] + (~keep[s])
-    from .common import _POW, _SPACE
-
     at = np.clip(pos - np.repeat(first, np.diff(np.concatenate([s, [len(b)]]))) if s[0] == 0 else np.concatenate([np.zeros(s[0], np.int64), pos[s[0] :] - np.repeat(first, np.diff(np.concatenate([s, [len(b)]])))]), 0, None)
     h = (v.astype(np.uint64) + np.uint64(1)) * _POW[at & 4095]
     h[~keep | _SPACE[b]] = 0
