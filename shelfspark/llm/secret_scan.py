@@ -7,7 +7,8 @@ false alarms (identifiers, digests in lock files, versions, words, card and phon
 
 ``scan`` returns one row for each document: id, ``n_candidates``, ``n_secrets``, ``spans`` (start:end in code points, comma-joined),
 ``top_score``. ``redact`` puts ``<SECRET>`` in their place. Null text counts as empty; one output row for each input row; a
-candidate is at most ``LONGEST`` characters of a longer run, a run is cut into several; an empty table gives an empty result.
+candidate is a whole run, however long, of which the forest sees the first ``LONGEST`` characters; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: So many characters of a candidate are described to the forest; candidates themselves have no bound.
 LONGEST = 512
-#: A value after a name that speaks of secrets, a private key, or a run that mixes letters and digits.
+#: A value after a name that speaks of secrets, a private key with its header lines, or a run that mixes letters and digits
+#: (or opens like a web token), with the runs that dots join to it. Repeats are possessive, so each is passed over once.
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[^\s\"']{6,512})"
-    r"|(?<![A-Za-z0-9_+/@.-])(?=[A-Za-z_+/-]{0,200}[0-9])(?=[0-9_+/-]{0,200}[A-Za-z])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9@])",
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*+[A-Z0-9]++(?:-[A-Z0-9]++)*+:(?:[^\r\n-]|-(?!----))*+)*+[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[^\s\"']{6,}+)"
+    r"|(?<![A-Za-z0-9_+/@.-])(?:(?=eyJ)|(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z]))[A-Za-z0-9_+/-]{16,}+(?:\.{1,2}[A-Za-z0-9_+/-]++)*+={0,2}(?![A-Za-z0-9@])",
     re.I,
 )
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "key", "auth", "private")
@@ -139,7 +142,7 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, **option
     return Forest.fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]), **options)
 
 
-_GATE = re.compile(r"[0-9]|-----BEGIN|passw|pwd|secret|token|api[_-]?key|auth", re.I)
+_GATE = re.compile(r"[0-9]|-----BEGIN|passw|pwd|secret|token|api[_-]?key|auth|eyJ", re.I)
 
 
 def find(texts: list[str | None], paths: list[str | None], forest: Forest, threshold: float = 0.5) -> list[list[tuple[int, int, float]]]:
