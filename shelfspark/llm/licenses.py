@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words, in DataFrame expressions only.
 
-Templates are short license texts. Their words' document frequencies are counted over the whole table; a file's license
-words with the highest IDF are looked up in the template postings, and postings that agree on (position in the file) minus
-(position in the template) point to a place where the template stands. A template is reported where enough of its rare
-words agree on one offset and its mandatory phrases stand in the file. The index has a row for each word of the templates,
-which bounds it.
+Templates are short license texts. Their words' document frequencies are counted over the whole table; of each template the
+words with the highest IDF that the file holds are looked up in the template postings, and postings that agree on (position
+in the file) minus (position in the template) point to a place where the template stands. A template is reported where words
+with enough of the looked-up IDF agree on one offset and its mandatory phrases stand in the file. Rarity is a rank within the
+template, so a license that many documents carry is found like any. The index has a row for each word of the templates, which
+bounds it.
 
 Words are runs of [0-9a-z] and characters beyond ASCII after lower-casing A-Z. Null text counts as empty; one output row for
 each input row; texts without a license word are not split into words at all; an empty table gives an empty result.
@@ -36,9 +37,10 @@ TEMPLATES = {
     "mpl-2.0": ("subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
     "reserved": ("copyright all rights reserved", ("all rights reserved",)),
 }
-#: A file looks up so many of its words, of those that stand in at most a tenth of the documents.
-RARE = 12
-IDF_LEAST = math.log(10)
+#: A file looks up so many of each template's words, the rarest that it holds.
+RARE = 6
+#: Added to every IDF, so words that stand in all documents still count, and alike.
+IDF_MORE = 0.01
 
 
 def _lower(text: Column) -> Column:
@@ -75,17 +77,17 @@ def idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in postings()}
 
 
-def _labelled(label: str):
-    return lambda h: h["label"] == label
+def _labelled(label: str, words: Column):
+    return lambda h: (h["label"] == label) & F.array_contains(words, h["w"])
 
 
 def _most_agreeing(hits: Column) -> Column:
-    """The most distinct words that stand at one offset: one pass over the hits in order of offset and word."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["off"].alias("off"), h["w"].alias("w"))))
-    start = F.struct(F.lit(None).cast("int").alias("off"), F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    """The most weight of distinct words that stand at one offset: one pass over the hits in order of offset and word."""
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["off"].alias("off"), h["w"].alias("w"), h["r"].alias("r"))))
+    start = F.struct(F.lit(None).cast("int").alias("off"), F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
-        n = F.when(a["off"] == x["off"], a["n"] + F.when(a["w"] == x["w"], 0).otherwise(1)).otherwise(1)
+        n = F.when(a["off"] == x["off"], a["n"] + F.when(a["w"] == x["w"], 0.0).otherwise(x["r"])).otherwise(x["r"])
         return F.struct(x["off"].alias("off"), x["w"].alias("w"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
 
     return F.aggregate(ordered, start, step, lambda a: a["best"])
@@ -108,24 +110,27 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     d = d.withColumns({f"p_{label}": starts(p) for p, label in BASE.items()})
     places = F.concat(*[F.col(f"`p_{label}`") for label in BASE.values()])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"`p_{label}`") > 0, F.lit(label)) for label in BASE.values()])))
-    # the rarest license words of the file, each with its places
+    # the rarest words of each template whose phrases stand in the file, each with its places
     index = F.create_map(*[x for w, ps in postings().items() for x in (F.lit(w), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("i")) for label, i in ps]))])
-    rarity = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v))])
-    rare_words = [w for w, v in weights.items() if v >= IDF_LEAST] or list(weights)
-    mine = F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, rare_words))), lambda w: F.struct((-F.element_at(rarity, w)).alias("r"), w.alias("w"))))
-    d = d.select("*", places.alias("places"), base.alias("base"), F.transform(F.slice(mine, 1, RARE), lambda x: x["w"]).alias("rare"))
-    at = F.when(F.size("rare") > 0, F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: F.array_contains("rare", x["w"]))).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
-    d = d.withColumn("hits", F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["label"].alias("label"), (x["at"] - p["i"]).alias("off"), x["w"].alias("w"))))))
-    found = []
-    for label, (text, phrases) in TEMPLATES.items():
-        own = F.filter("hits", _labelled(label))
-        rare_here = F.array_intersect("rare", F.array(*map(F.lit, dict.fromkeys(text.split()))))
-        best = _most_agreeing(own)
-        agree = F.coalesce(best / F.greatest(F.size(rare_here), F.lit(1)), F.lit(0.0))
+    rarity = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v + IDF_MORE))])
+
+    def rarest(text: str, phrases: tuple[str, ...]) -> Column:
+        ranked = sorted(dict.fromkeys(text.split()), key=lambda w: (-weights[w], w))
         verified = F.lit(True)
         for p in phrases:
             verified = verified & stands(p)
-        found.append(F.when(verified, F.struct(F.lit(label).alias("label"), agree.alias("score"))))
+        return F.when(verified, F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "w"), 1, RARE)).otherwise(F.array().cast("array<string>"))
+
+    d = d.select("*", places.alias("places"), base.alias("base"), *[rarest(*t).alias(f"r_{label}") for label, t in TEMPLATES.items()])
+    d = d.withColumn("rare", F.array_distinct(F.concat(*[F.col(f"`r_{label}`") for label in TEMPLATES])))
+    at = F.when(F.size("rare") > 0, F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: F.array_contains("rare", x["w"]))).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
+    d = d.withColumn("hits", F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["label"].alias("label"), (x["at"] - p["i"]).alias("off"), x["w"].alias("w"), F.element_at(rarity, x["w"]).alias("r"))))))
+    found = []
+    for label in TEMPLATES:
+        mine = F.col(f"`r_{label}`")
+        own = F.filter("hits", _labelled(label, mine))
+        looked_up = F.aggregate(mine, F.lit(0.0), lambda a, w: a + F.element_at(rarity, w))
+        found.append(F.when(F.size(mine) > 0, F.struct(F.lit(label).alias("label"), (_most_agreeing(own) / looked_up).alias("score"))))
     d = d.withColumn("found", F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= least))
     extra = F.transform("found", lambda x: x["label"])
     score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)))

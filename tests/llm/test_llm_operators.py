@@ -256,6 +256,24 @@ def test_license_labels(spark):
     assert [r.labels for r in licenses.report(df).orderBy("doc_id").collect()] == ["apache-2.0", "mit", "", "cc-by,cc-by-nc"]
 
 
+def test_license_of_a_third_of_the_table(spark):
+    notices = {
+        "apache-2.0": "Licensed under the Apache License, Version 2.0", "mit": licenses.TEMPLATES["mit"][0], "bsd": licenses.TEMPLATES["bsd"][0], "lgpl": licenses.TEMPLATES["lgpl"][0],
+        "mpl-2.0": licenses.TEMPLATES["mpl-2.0"][0], "cc-by-sa": "Licensed under CC BY-SA 4.0",
+    }
+    for label, notice in notices.items():
+        df = spark.createDataFrame([(i, f"text number {i} {notice if i % 3 == 0 else 'of plain words'} and {'so' * (i % 5)} on") for i in range(300)], "doc_id long, text string")
+        assert all((label in r.labels.split(",")) == (r.doc_id % 3 == 0) for r in licenses.report(df).collect()), label
+    df = spark.createDataFrame([(i, licenses.TEMPLATES["mit"][0]) for i in range(30)], "doc_id long, text string")
+    assert {r.labels for r in licenses.report(df).collect()} == {"mit,mit-text"}
+
+
+def test_file_of_three_licenses(spark):
+    three = " ; then ".join(licenses.TEMPLATES[x][0] for x in ("bsd", "mit", "mpl-2.0"))
+    df = spark.createDataFrame([(i, three if i == 0 else f"plain text {i}") for i in range(300)], "doc_id long, text string")
+    assert licenses.report(df).where("doc_id = 0").first().labels == "bsd,mit,mit-text,mpl-2.0"
+
+
 def test_topk(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=8).astype("float32").round(1).tolist(), 0) for i in range(700)] + [(700, None, 0), (701, [1.0, None], 0), (702, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (750, [], 0), (800, [1.0, 2.0], 0), (801, [3.0, 4.0], 0), (1000, [0.5] * 8, 0), (1001, [0.5] * 8, 0)]
