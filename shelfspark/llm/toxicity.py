@@ -3,8 +3,9 @@
 Trained from confirmed toxic documents (positives) and other documents of unknown label: the class prior corrects the risk,
 R = p R+(pos) + max(0, R-(unlabelled) - p R-(pos)), and where that difference is negative its gradient is reversed, as in
 the published non-negative estimator. The classifier is a linear numpy model on hashed word presence; a document's score is
-the sigmoid of its sum. Bounds of the fit: ``positives`` and ``unlabelled`` rows at most, chosen by a hash of the id, so the
-driver holds no more than these; every document is scored whole.
+the sigmoid of its sum. Bounds of the fit: ``positives`` and ``unlabelled`` texts at most, chosen by a hash of the text, so
+equal texts count once and the driver holds no more than these; every document is scored whole. The words that get a weight
+are chosen by their frequencies over all different texts, less the positives' share of them (``document_counts``).
 
 Labels are joined to documents for rows outside the held-out fold only. Labels, language, source and id are no inputs.
 Defined cases: null text as empty; empty texts get the score of no words; no positives: the score is the prior; null ids and
@@ -36,15 +37,45 @@ def presence(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, least: int = 5, lift: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights and bias, from the bins of each text's distinct words. Words in fewer than ``least`` of the positives, or not ``lift`` times as common there as elsewhere, keep weight 0."""
+def document_counts(texts: DataFrame, bins: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many different texts each of these bins stands, and the number of different texts. At most a row for each bin
+    of the sampled positives comes back."""
+    shared = texts.sparkSession.sparkContext.broadcast(bins)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(BINS, bool)
+        wanted[shared.value] = True
+        for batch in batches:
+            made = [np.unique(h[wanted[h]]).astype(np.int32).tobytes() for h in (word_bins(t.as_py(), BINS) for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "made"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS + 1, np.int64)
+        for batch in batches:
+            total[:BINS] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=BINS)
+            total[BINS] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
+
+    once = texts.mapInArrow(pack, "doc_id long, made binary").groupBy("doc_id").agg(F.min("made").alias("made")).select("made")
+    out = np.zeros(BINS + 1, np.int64)
+    for at, n in once.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        out[at] = n
+    return out[:BINS], int(out[BINS])
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, everywhere: np.ndarray, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, lift: float = 4.0) -> tuple[np.ndarray, float]:
+    """Weights and bias, from the bins of each text's distinct words and their frequencies ``everywhere``. Words that are not
+    ``lift`` times as common among the positives as among the negatives keep weight 0. The negatives' frequency is what the
+    prior leaves of that everywhere; a standard error is taken off each word's count, so a word of a single text has none left."""
     w, bias = np.zeros(BINS, np.float64), float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return w.astype(np.float32), bias
     pr, pb = presence(pos)
     ur, ub = presence(unl)
-    dp, du = np.bincount(pb, minlength=BINS) / len(pos), np.bincount(ub, minlength=BINS) / len(unl)
-    use = np.flatnonzero((dp * len(pos) >= least) & (dp > lift * du))
+    dp = np.bincount(pb, minlength=BINS) / len(pos)
+    dn = np.maximum(0, (everywhere - prior * dp) / (1 - prior))
+    use = np.flatnonzero(dp - np.sqrt(dp / len(pos)) > lift * dn + 1e-12)
     at = np.full(BINS, -1)
     at[use] = np.arange(len(use))
     pr, pb = pr[at[pb] >= 0], at[pb[at[pb] >= 0]]
@@ -87,11 +118,15 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, prior: float | None = None, seed: int = 3) -> DataFrame:
-    known = labels.where(~held_out()).select("doc_id", "toxic").where("toxic is not null")
+    # a text is known by its hash, so that copies count once
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    known = ids.join(known.withColumnRenamed("doc_id", "id"), "id").groupBy(F.col("t").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         prior = min(0.5, max(0.01, prior))
-    there = known_ids(docs)
-    few = smallest(there.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"), positives, seed)
-    pos, unl = (made_of(docs, ids, _packed) for ids in (few, smallest(there, unlabelled, seed + 1)))
-    return score(docs, *fit_nnpu(*([np.frombuffer(x, np.int32) for x in m.values()] for m in (pos, unl)), prior))
+    samples = smallest(known.where("toxic = 1").select("doc_id"), positives, seed), smallest(known_ids(texts), unlabelled, seed + 1)
+    pos, unl = ([np.frombuffer(x, np.int32) for x in made_of(texts, few, _packed).values()] for few in samples)
+    counts, n = document_counts(texts, np.unique(np.concatenate(pos))) if pos else (np.zeros(BINS), 0)
+    return score(docs, *fit_nnpu(pos, unl, prior, counts / max(1, n)))

@@ -120,6 +120,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.train_and_score(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("case", ["a third toxic", "a third toxic copies", "few positives"])
+def test_toxicity_at_any_share(spark, case):
+    r = random.Random(1)
+    words, bad = [f"w{i}" for i in range(300)], [f"bad{i}" for i in range(4)]
+    every = {"a third toxic": 3, "a third toxic copies": 8, "few positives": 100}[case]
+    rows = [(i, " ".join(r.choices(words, k=60) + (r.choices(bad, k=4) if i % every == 0 else [])), int(i % every == 0)) for i in range(1600)]
+    if case == "a third toxic copies":
+        rows += [(i, "one toxic text that stands here again and again", 1) for i in range(1600, 2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.train_and_score(df.drop("toxic"), df.select("doc_id", "toxic")).where("held_out").collect()
+    want = {i: y for i, _, y in rows}
+    one, zero = ([x.predicted for x in out if want[x.doc_id] == y and x.doc_id < 1600] for y in (1, 0))
+    assert np.mean(one) > 0.9 and np.mean(zero) < 0.05
+
+
 def test_quality(spark, docs, odd, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.train(docs, labels)
