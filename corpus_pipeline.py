@@ -42,7 +42,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture.assign(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    # by ranges of shard and order: a shard's rows stand together, in its shuffle, and large shards have many tasks
+    place = ["mix_shard", "mix_order"]
+    mixed = mixture.assign(docs).repartitionByRange(*place).sortWithinPartitions(*place)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@
 4. Documents follow their block, and are ordered in the shard by a hash (``assign`` returns one row for each document and
    pass). Everything is a DataFrame expression; only tables of a row for each block are ordered as a whole.
 
-Result of ``mix``: id, ``size``, ``source_size``, ``target``, ``taken``. The draw depends on ids, texts and the seed only, so
+Result of ``mix``: id, ``size``, ``source_size``, ``target``, ``taken``, and for each pass in which the document is taken its
+shard (``shards``) and place in the shard's shuffle (``orders``); it sums the rows that ``assign`` gives. The draw depends on ids, texts and the seed only, so
 reruns agree. Defined cases: null text has no words; rows equal in id and text fall into one part and are taken alike; null
 ids are allowed; a table without words has targets 0; an empty table gives an empty result.
 """
@@ -35,11 +36,11 @@ def _uniform(*cols: Column, n: int, seed: int) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, blocks: int = BLOCKS) -> DataFrame:
-    """id, source, size and the document's block and part."""
+    """id, source, size, the document's block and part, and a key of its id and text."""
     key = [F.col(id_col), F.length(text_col)]
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        _uniform(*key, n=blocks, seed=seed).alias("block"), _uniform(*key, n=blocks, seed=seed + 1).alias("part"),
+        _uniform(*key, n=blocks, seed=seed).alias("block"), _uniform(*key, n=blocks, seed=seed + 1).alias("part"), F.xxhash64(id_col, text_col).alias("key"),
     )
 
 
@@ -92,33 +93,39 @@ def _on(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, cond, "left").drop(*[f"{k}_" for k in keys])
 
 
-def _taken() -> Column:
-    return (F.col("passes") * F.col("size") + F.floor(F.col("frac") * F.col("size"))).cast("long")
+def _quotas_with_shards(sizes: DataFrame, depth: int, seed: int, weights, share, most) -> DataFrame:
+    """quotas, and with each part the shards of its block by pass, so that documents are shuffled once."""
+    quota = quotas(sizes, seed, weights, share, most)
+    s = shards(quota, depth, seed).groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
+    return _on(quota, s, "source", "block")
+
 
+def _takes(size: Column, passes: Column, frac: Column, shards: Column, key: Column, seed: int) -> Column:
+    """For each pass in which a document is taken: pass, words, shard, order."""
+    words = F.concat(F.array_repeat(size, passes.cast("int")), F.array(F.floor(frac * size).cast("long")))
+    each = F.transform(words, lambda n, i: F.struct((i + 1).alias("pass"), n.alias("words"), F.get(shards, i).alias("shard"), F.xxhash64(F.lit(seed + 5), key, i + 1).alias("order")))
+    return F.filter(each, lambda x: x["words"] > 0)
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, depth: int = 4, seed: int = 17) -> DataFrame:
     d = sized(docs, id_col, text_col, source_col, seed)
-    out = _on(d, quotas(d, seed, weights, share, most), "source", "block", "part")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken().alias("taken"))
+    out = _on(d, _quotas_with_shards(d, depth, seed, weights, share, most), "source", "block", "part")
+    out = out.withColumn("takes", _takes(*map(F.col, ("size", "passes", "frac", "shards", "key")), seed))
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("takes.shard").alias("shards"), F.col("takes.order").alias("orders"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, depth: int = 4, seed: int = 17) -> DataFrame:
     """All columns of docs, one row for each pass in which a document is taken, with ``mix_words`` (words of this row),
     ``mix_shard`` and ``mix_order`` (place in the shard's local shuffle); the text of a part-taken document ends there."""
     own = docs.columns
-    sizes = sized(docs, id_col, text_col, source_col, seed)
-    quota = quotas(sizes, seed, weights, share, most)
     key = [F.col(id_col), F.length(text_col)]
     d = docs.withColumns({"mix_source": F.col(source_col), "mix_size": n_words(F.col(text_col)), "mix_block": _uniform(*key, n=BLOCKS, seed=seed), "mix_part": _uniform(*key, n=BLOCKS, seed=seed + 1)})
-    # a block's shards, by pass, go along with the quotas of its parts, so that texts are shuffled once
-    s = shards(quota, depth, seed).groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
-    q = _on(quota, s, "source", "block")
+    q = _quotas_with_shards(sized(docs, id_col, text_col, source_col, seed), depth, seed, weights, share, most)
     q = q.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "block", "part", "passes", "frac", "shards")])
     d = _on(d, q, "mix_source", "mix_block", "mix_part")
-    whole, last = F.col("mix_passes").cast("int"), F.floor(F.col("mix_frac") * F.col("mix_size"))
-    takes = F.concat(F.array_repeat(F.col("mix_size"), whole), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<bigint>")))
-    d = d.select("*", F.posexplode(takes).alias("mix_pass", "mix_words")).withColumn("mix_pass", F.col("mix_pass") + 1)
-    d = d.where("mix_words > 0").withColumn("mix_shard", F.get("mix_shards", F.col("mix_pass") - 1))
+    takes = _takes(F.col("mix_size"), F.col("mix_passes"), F.col("mix_frac"), F.col("mix_shards"), F.xxhash64(id_col, text_col), seed)
+    d = d.select(*own, "mix_size", F.explode(takes).alias("t")).select(*own, "mix_size", F.col("t.words").alias("mix_words"), F.col("t.shard").alias("mix_shard"), F.col("t.order").alias("mix_order"))
     cut = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.col("mix_words").cast("int")), " ")
     d = d.withColumn(text_col, F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col(text_col)))
-    return d.withColumn("mix_order", F.xxhash64(F.lit(seed + 5), F.col(id_col), "mix_pass")).select(*own, "mix_words", "mix_shard", "mix_order")
+    return d.select(*own, "mix_words", "mix_shard", "mix_order")

@@ -222,6 +222,20 @@ def test_mixture(docs, odd, none, spark):
     assert {r.mix_shard for r in a} <= {0, 1} and sum(r.mix_words for r in a) == sum(r.taken for r in mixture.mix(odd).collect())
 
 
+def test_mixture_places_documents(spark, docs):
+    import corpus_pipeline
+
+    rows = mixture.assign(docs).collect()
+    want = collections.defaultdict(list)
+    for r in rows:
+        want[r.doc_id].append((r.mix_shard, r.mix_order, r.mix_words))
+    for r in mixture.mix(docs).collect():
+        assert sorted(zip(r.shards, r.orders)) == sorted(x[:2] for x in want[r.doc_id]) and r.taken == sum(x[2] for x in want[r.doc_id])
+    assert len({r.mix_shard for r in rows}) == 16
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_shard, r.mix_order))]
+    assert [r.doc_id for r in corpus_pipeline.to_target_weights(spark, docs, DATA).collect()] == order
+
+
 def brute_lines(t: str | None) -> tuple:
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
