@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -53,14 +54,15 @@ def known_ids(docs: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder in spark.checkpoint.dir; only where none is set (tests) a local one is made."""
+    """Uses the shared folder in spark.checkpoint.dir, or the one that the context has been given. Where neither is set, only a
+    session whose executors are threads of this process (as in tests) gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            import tempfile
-
+        if place is None and sc.master.split("[")[0] == "local":
             place = tempfile.mkdtemp(prefix="shelfspark-checkpoint-")
+        if place is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(place)
 
 
@@ -105,13 +107,13 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, comp), comp the smallest node of its component; nodes without an edge are left out.
 
-    Alternates large-star and small-star, which ends in a logarithmic number of rounds and keeps no more edges than it was
-    given. Edges stay in executors; every round is a checkpoint in the shared folder, so a lost executor costs one round."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    Alternates large-star and small-star until nothing moves, which takes a logarithmic number of rounds and keeps no more
+    edges than it was given. Edges stay in executors. A round is one job, a checkpoint in the shared folder (so a lost
+    executor costs one round), which counts and sums its edges as it writes them."""
+    ensure_checkpoint_dir(edges.sparkSession)
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         two = e if small else e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -125,14 +127,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = out.union(low.where("m <> a").select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    seen = None
-    for _ in range(rounds):
-        e = star(star(e, False), True).checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).checkpoint()
+        return e, (seen.get["n"], seen.get["h"])
+
+    e, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while before[0]:
+        e, now = written(star(star(e, False), True))
+        if now == before:
             break
-        seen = tuple(now)
+        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 

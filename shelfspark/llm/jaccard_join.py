@@ -1,45 +1,48 @@
 """Chosen-path Jaccard join on word shingles.
 
-Sets of texts that are equal as shingle sets are folded into one representative first. Each run grows a tree over the
-representatives: a bucket is split by a sampled token of each set (the one that comes first in a random order drawn for that
-run and level, so two sets choose the same token with a probability equal to their similarity), small buckets are compared
-by brute force on sketches, and buckets still large at the last level are compared in pairs of blocks, so nothing is
-capped. Runs repeat until a pair at the threshold is met with the target recall. Sets that meet form candidate families;
-every family is then compared exactly, all sets with all, in blocks, in tasks that return counts and a spanning forest
-rather than pairs.
+Texts that are equal as shingle sets are folded into one set first. A run grows a tree over the sets: the sets of a node go
+to the children of one or two of ``COORDS`` sampled coordinates (a coordinate's value is the shared token that comes first in
+its random order, so two sets follow the same path with a probability equal to their similarity; two coordinates are drawn
+as often as keeps the expected number of shared children of a pair at the threshold at one). Nodes of at most ``bucket`` sets
+are compared by brute force on sketches. In a larger node every set is also compared with one set of it drawn at random;
+those close to it are linked and leave the node, so groups of near copies dissolve in linear time and all others are split
+on, however often it takes. After each batch of runs a random sample of sets is compared by brute force with all sets; runs
+repeat until ``recall`` of the pairs so found are in one family. Later runs compare only sets of different families.
+
+Every family is then compared exactly, all sets with all, in blocks, in tasks that return counts and a spanning forest
+rather than pairs. Nothing is capped: exact counts inside a family take time by the square of its different texts.
 
 Result, one row per input row: the id column, ``class_id`` (smallest id of the class; links are closed transitively),
 ``n_links`` (other rows at or above the threshold, copies included), ``n_copies`` (other rows of the same shingle set).
 
 Defined cases: a null text counts as empty; a text without words has no shingle, and such rows form one class of copies;
 fewer words than a shingle: one shingle of all words; rows with a null id keep a null class and no links; a repeated id
-counts as several rows; an empty table gives an empty result; further columns of the input are ignored.
+counts as several rows, each with the links of its own text; very long texts are cut into shingles whole; an empty table
+gives an empty result; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, ensure_checkpoint_dir, mix64, shingle_hashes, word_hashes, word_spans
 
-SKETCH = 32
-LEVELS = 2
+#: Sampled coordinates of a set: its path is chosen from them, and 16 bits of each make its sketch.
+COORDS = 32
+_SEEDS = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
-    """Runs after which a pair at the threshold has met in a bucket with at least this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels)))
-
-
-def _seeds(n: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def needed(threshold: float) -> int:
+    """Coordinates in which a pair at the threshold agrees, less four standard deviations."""
+    return math.floor(COORDS * threshold - 4 * math.sqrt(COORDS * threshold * (1 - threshold)))
 
 
 def _shingles(text: str | None, n: int) -> np.ndarray:
@@ -47,29 +50,41 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return shingle_hashes(word_hashes(b, s, e), n)
 
 
-def _signer(n: int, width: int, tokens: int):
-    """Each text's keys, its first ``tokens`` minima whole, to split buckets by, and 16 bits of every one, to compare sets by."""
-    seeds = _seeds(width)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of COORDS 32-bit values for each set, none of them empty. Sets go through numpy together."""
+    out = np.zeros((len(sets), COORDS), np.uint32)
+    size = np.array([len(s) for s in sets])
+    step, done = 1 << 20, 0
+    while done < len(sets):
+        upto = max(done + 1, int(np.searchsorted(np.cumsum(size[done:]), step)) + done)
+        flat, at = np.concatenate(sets[done:upto]), np.concatenate([[0], np.cumsum(size[done : upto - 1])])
+        for k, seed in enumerate(_SEEDS):
+            out[done:upto, k] = mix64(np.minimum.reduceat(flat * seed, at)).astype(np.uint32)
+        done = upto
+    return out
+
+
+def _signer(n: int):
+    """Of each text: two hashes and the size of its shingle set, the minima (path) and 16 bits of each (sig)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key1, key2, size, tok, sig = [], [], [], [], []
-            for text in batch.column(1):
-                s = _shingles(text.as_py(), n)
-                m = np.zeros(width, np.uint64)
-                if len(s):
-                    for k, seed in enumerate(seeds):
-                        m[k] = mix64(s ^ seed).min()
-                key1.append(mix64(s).sum().astype(np.int64))
-                key2.append(mix64(s ^ np.uint64(0xABCDEF)).sum().astype(np.int64))
-                size.append(len(s))
-                tok.append(m[:tokens].tobytes())
-                sig.append(m.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(size, pa.int64()), pa.array(tok, pa.binary()), pa.array(sig, pa.binary())], ["id", "k1", "k2", "size", "tok", "sig"])
+            sets = [_shingles(t.as_py(), n) for t in batch.column(2)]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            m = np.zeros((len(sets), COORDS), np.uint32)
+            if full:
+                m[full] = minima([sets[i] for i in full])
+            k1, k2 = (np.array([h(s) for s in sets], np.uint64).astype(np.int64) for h in (lambda s: mix64(s).sum(), lambda s: mix64(s ^ np.uint64(0xABCDEF)).sum()))
+            cols = [batch.column(0), batch.column(1), pa.array(k1), pa.array(k2), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in m], pa.binary()), pa.array([r.tobytes() for r in m.astype(np.uint16)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "k1", "k2", "size", "path", "sig"])
 
     return sign
 
 
+def _sketches(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, COORDS)
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """roots: the component label of 0..n-1, refined by the links a-b."""
     while True:
@@ -84,38 +99,150 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, roots: np.ndarray) -> np.ndarr
         roots = new
 
 
-def _bucket_edges(need: int, width: int, threshold: float, block: int):
-    """For a bucket: one (member, least member it is joined to) per member that meets a sketch close enough."""
+def _bucket_links(need: int):
+    """Rows of (node, comp, sig) in order of node: every node's sets meet in numpy, all nodes of a batch at once, and each
+    component that meets another gives one link."""
+
+    def met(node: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
+        n, roots, a, b = len(node), np.arange(len(node)), [], []
+        at = np.arange(n)
+        d = 1
+        while len(at):
+            at = at[at + d < n]
+            at = at[node[at] == node[at + d]]  # who has a partner d places on is among those that had one d - 1 places on
+            i = at[comp[at] != comp[at + d]]
+            for x in range(0, len(i), 1 << 17):
+                j = i[x : x + (1 << 17)]
+                j = j[(sk[j] == sk[j + d]).sum(1) >= need]
+                a.append(j)
+                b.append(j + d)
+            d += 1
+        if a:
+            roots = _forest(n, np.concatenate(a), np.concatenate(b), roots)
+        new = np.flatnonzero(comp != comp[roots])
+        return pa.RecordBatch.from_arrays([pa.array(comp[new]), pa.array(comp[roots[new]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, comp, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COORDS), np.uint16)
+        for batch in batches:
+            node = np.concatenate([node, batch.column(0).to_numpy()])
+            comp = np.concatenate([comp, batch.column(1).to_numpy()])
+            sig = np.concatenate([sig, _sketches(batch.column(2).to_pylist())])
+            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on in the next batch
+            if cut:
+                yield met(node[:cut], comp[:cut], sig[:cut])
+                node, comp, sig = node[cut:], comp[cut:], sig[cut:]
+        if len(node):
+            yield met(node, comp, sig)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids, size = pdf["id"].to_numpy(), pdf["size"].to_numpy().astype(float)
-        sk = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), width).T.copy()
-        n, roots = len(ids), np.arange(len(ids))
-        side = pdf["side"].to_numpy()
-        for i in range(0, n, block):
-            for j in range(0, i + 1, block):
-                x, y = slice(i, i + block), slice(j, j + block)
-                ok = np.minimum.outer(size[x], size[y]) >= threshold * np.maximum.outer(size[x], size[y])
-                same = np.zeros(ok.shape, np.uint8)
-                for k in range(width):
-                    same += sk[k, x, None] == sk[k, None, y]
-                a, b = np.nonzero(ok & (same >= need))
-                a, b = a + i, b + j
-                keep = (a > b) & ((side[a] != side[b]) | (side[a] == 0))
-                roots = _forest(n, a[keep], b[keep], roots)
-        keep = roots != np.arange(n)
-        return pd.DataFrame({"a": ids[keep], "b": ids[roots[keep]]})
+    return run
 
-    return compare
+
+def _close(need: int):
+    @F.pandas_udf("boolean")
+    def close(a, b):
+        return pd.Series((_sketches(a) == _sketches(b)).sum(1) >= need)
+
+    return close
+
+
+def _value(col: str, at: Column, width: int) -> Column:
+    return F.substring(F.col(col), at * width + 1, F.lit(width))
+
+
+def _paths(sets: DataFrame, runs: range, more: float) -> DataFrame:
+    """Of every set the nodes at the first level of these runs: a coordinate of each run, and another one of some runs."""
+    roots = [(r, r % COORDS) for r in runs]
+    for r in runs:
+        if int((r + 1) * more) > int(r * more):
+            roots.append((r, (r + COORDS // 2) % COORDS))
+    node = lambda r, c: F.xxhash64(F.lit(r), F.lit(c), _value("path", F.lit(c), 4))
+    return sets.select(F.explode(F.array(*[node(r, c) for r, c in roots])).alias("node"), "set", "comp", "sig")
+
+
+def _children(rows: DataFrame, level: int, more: float) -> DataFrame:
+    """A node's coordinates are drawn by a hash of the node, so that all its sets draw the same."""
+    draw = lambda i: F.xxhash64("node", F.lit(level), F.lit(i))
+    first = F.pmod(draw(0), F.lit(COORDS)).cast("int")
+    other = F.pmod(first + 1 + F.pmod(draw(1), F.lit(COORDS - 1)), F.lit(COORDS)).cast("int")
+    child = lambda c: F.xxhash64("node", c, _value("sig", c, 2))
+    two = F.pmod(draw(2), F.lit(1000)) < round(1000 * more)
+    return rows.select(F.explode(F.when(two, F.array(child(first), child(other))).otherwise(F.array(child(first)))).alias("node"), "set", "comp", "sig")
+
+
+def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, bucket: int) -> DataFrame:
+    """(a, b): links between the components of sets that meet in these runs."""
+    more = 1 / threshold - 1
+    close, rows, level = _close(need), _paths(sets, runs, more), 1
+    small, links = [], []
+    while True:
+        order = F.xxhash64("set", F.lit(level * 7919 + runs.start))
+        # a node of one component has nothing to find; sums alone are shuffled here, and the table of nodes is written, so
+        # that Spark can split the few nodes that hold many sets
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("pick")).where("lo < hi").select("node", "n", "pick").checkpoint()
+        at = rows.join(nodes, "node")
+        small.append(at.where(F.col("n") <= bucket).select("node", "comp", "sig"))
+        if nodes.where(F.col("n") > bucket).isEmpty():
+            break
+        large = at.where(F.col("n") > bucket).withColumn("picked", order == F.col("pick")).drop("n", "pick").checkpoint()
+        pivot = large.where("picked").select("node", F.col("comp").alias("pivot"), F.col("sig").alias("pivot_sig"))
+        met = large.join(pivot, "node").withColumn("close", close("sig", "pivot_sig")).checkpoint()
+        links.append(met.where("close AND comp <> pivot").select(F.col("comp").alias("a"), F.col("pivot").alias("b")))
+        # the picked one stays, for those close to it that are not close enough here
+        rows, level = _children(met.where("NOT close OR picked").select("node", "set", "comp", "sig"), level, more), level + 1
+    all_small = small[0]
+    for s in small[1:]:
+        all_small = all_small.unionByName(s)
+    found = all_small.repartition("node").sortWithinPartitions("node").mapInArrow(_bucket_links(need), "a long, b long")
+    for x in links:
+        found = found.unionByName(x)
+    return found
+
+
+def _found_of(sample: list[tuple[int, bytes]], comps: dict[int, int], least: int):
+    """Counts, in a task, of the pairs of a sampled set and another set that agree in so many coordinates, and of those in one component."""
+    keys, sk = np.array([s for s, _ in sample]), _sketches([x for _, x in sample])
+    own = np.array([comps[s] for s, _ in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = found = 0
+        for batch in batches:
+            node, comp, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sketches(batch.column(2).to_pylist())
+            for k in range(len(keys)):
+                near = (sig == sk[k]).sum(1) >= least
+                near &= node != keys[k]
+                total += int(near.sum())
+                found += int((comp[near] == own[k]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([found])], ["total", "found"])
+
+    return run
+
+
+def families(sets: DataFrame, threshold: float, recall: float, bucket: int, batch: int, sample: int) -> DataFrame:
+    """sets (set, path, sig) -> set, comp: sets whose sketches agree as a pair's at the threshold are in one component, up to recall."""
+    need, start = needed(threshold), 0
+    drawn = [tuple(r) for r in sets.orderBy(F.xxhash64("path"), "set").limit(sample).select("set", "sig").collect()]
+    few = sets.sparkSession.createDataFrame([(s,) for s, _ in drawn], "set long")
+    comps = sets.select("set", F.col("set").alias("comp")).checkpoint()
+    while drawn:
+        rows = sets.join(comps, "set")
+        links = connected_components(_batch_links(rows, range(start, start + batch), need, threshold, bucket)).checkpoint()
+        comps = comps.join(links.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")).checkpoint()
+        own = dict(map(tuple, comps.join(F.broadcast(few), "set").collect()))
+        total, found = sets.join(comps, "set").select("set", "comp", "sig").mapInArrow(_found_of(drawn, own, math.ceil(COORDS * threshold)), "total long, found long").agg(F.sum("total"), F.sum("found")).first()
+        start += batch
+        if found >= recall * total:
+            break
+    return comps
 
 
 def _exact(n: int, threshold: float):
     """For one family, or two blocks of it: exact counts of links and a spanning forest. side 0: all with all; 1 and 2: across."""
+    exact = Fraction(str(threshold))  # in integers: 0.8 is 4 of 5
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, weight, side = pdf["id"].to_numpy(), pdf["weight"].to_numpy(), pdf["side"].to_numpy()
+        pdf = pdf.drop_duplicates("set").sort_values("set")
+        ids, weight, side = pdf["set"].to_numpy(), pdf["weight"].to_numpy(), pdf["side"].to_numpy()
         sets = [_shingles(t, n) for t in pdf["text"]]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
@@ -133,29 +260,19 @@ def _exact(n: int, threshold: float):
             x[row[lo:hi], token[lo:hi] - t] = 1
             inter += x @ x.T
         union = size[:, None] + size[None, :] - inter
-        # the threshold in integers: 0.8 is 4 of 5
-        num, den = _ratio(threshold)
-        link = inter * den >= num * union
+        link = inter * exact.denominator >= exact.numerator * union
         np.fill_diagonal(link, False)
         if side.any():
             link &= side[:, None] != side[None, :]
         a, b = np.nonzero(np.triu(link))
         roots = _forest(len(ids), a, b, np.arange(len(ids)))
-        return pd.DataFrame({"id": ids, "root": ids[roots], "n": link @ weight})
+        return pd.DataFrame({"set": ids, "root": ids[roots], "n": link @ weight})
 
     return compare
 
 
-def _ratio(x: float) -> tuple[int, int]:
-    from fractions import Fraction
-
-    f = Fraction(str(x))
-    return f.numerator, f.denominator
-
-
-def _in_blocks(df: DataFrame, key: list[str], rank_by: str, per: int, counts: DataFrame) -> DataFrame:
-    """Adds cell and side: a group of over `per` rows is cut into blocks, and each pair of blocks is a cell of its own."""
-    df = df.join(counts, key)
+def _in_blocks(df: DataFrame, rank_by: str, per: int) -> DataFrame:
+    """Adds cell and side: a group whose ``load`` is over `per` is cut into blocks, and each pair of blocks is a cell of its own."""
     nb = F.ceil(F.col("load") / F.lit(per)).cast("int")
     blk = F.pmod(F.xxhash64(rank_by), nb).cast("int")
     cells = F.when(nb <= 1, F.array(F.struct(F.lit("").alias("cell"), F.lit(0).alias("side")))).otherwise(
@@ -165,43 +282,29 @@ def _in_blocks(df: DataFrame, key: list[str], rank_by: str, per: int, counts: Da
     return df.withColumn("c", F.explode(cells)).select("*", "c.cell", "c.side").drop("c", "load")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.999, bucket: int = 2048) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 4, sample: int = 1024, block: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    runs = runs_for(recall, threshold)
-    width = max(SKETCH, runs * LEVELS)
-    # a pair at the threshold agrees on Binomial(width, threshold) values; four deviations below the mean
-    need = math.floor(width * threshold - 4 * math.sqrt(width * threshold * (1 - threshold)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = rows.where("id is not null").mapInArrow(_signer(words, width, runs * LEVELS), "id long, k1 long, k2 long, size long, tok binary, sig binary").checkpoint()
-    reps = signed.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).checkpoint()
-    member = signed.select("id", "k1", "k2", "size").join(reps, ["k1", "k2", "size"]).select("id", "rep", "weight")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    key = ["k1", "k2", "size"]
+    signed = rows.where("id is not null").mapInArrow(_signer(words), "id long, h long, k1 long, k2 long, size long, path binary, sig binary").checkpoint()
+    # a set is known by a number that is written with it; its text is that of one row, known by id and hash
+    one = F.min(F.struct("id", "h", "path", "sig")).alias("one")
+    folded = signed.groupBy(*key).agg(one, F.count("*").alias("weight")).select(*key, F.monotonically_increasing_id().alias("set"), "one.*", "weight").checkpoint()
     # a text without a shingle has no partner but its copies
-    sets = signed.join(reps.where("size > 0").select(F.col("rep").alias("id"), "weight"), "id").dropDuplicates(["id"]).select("id", "size", "tok", "sig", "weight").checkpoint()
-
-    def token(run: int, level: int):
-        return F.substring("tok", (run * LEVELS + level) * 8 + 1, 8)
-
-    paths = sets.select("id", "size", "sig", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), token(r, 0).alias("t1"), token(r, 1).alias("t2")) for r in range(runs)])).alias("p")).select("id", "size", "sig", "p.*")
-    first = paths.groupBy("run", "t1").agg(F.count("*").alias("n1")).where("n1 > 1")
-    at1 = paths.join(first, ["run", "t1"])
-    # null here; written so that small and deep read the same columns, and Spark shuffles them once for both
-    small = at1.where(F.col("n1") <= bucket).select("run", "t1", F.when(F.col("n1") > bucket, F.col("t2")).alias("t2"), "id", "size", "sig", F.col("n1").alias("load"))
-    deep = at1.where(F.col("n1") > bucket).drop("n1")
-    second = deep.groupBy("run", "t1", "t2").agg(F.count("*").alias("load")).where("load > 1")
-    deep = _in_blocks(deep, ["run", "t1", "t2"], "id", bucket, second).select("run", "t1", "t2", "cell", "side", "id", "size", "sig")
-    small = small.select("run", "t1", "t2", F.lit("").alias("cell"), F.lit(0).alias("side"), "id", "size", "sig")
-    met = small.unionByName(deep).groupBy("run", "t1", "t2", "cell").applyInPandas(_bucket_edges(need, width, threshold, 256), "a long, b long")
-    family = connected_components(met)
-
-    load = family.join(sets.select(F.col("id").alias("node"), "size"), "node").groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / 1000), F.count("*")).alias("load"))
-    texts = rows.join(family.select(F.col("node").alias("id"), "comp"), "id").join(sets.select("id", "weight"), "id")
-    cells = _in_blocks(texts, ["comp"], "id", 2048, load)
-    found = cells.groupBy("comp", "cell").applyInPandas(_exact(words, threshold), "id long, root long, n long").checkpoint()
-    classes = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("id").agg(F.sum("n").alias("n")).join(classes.withColumnRenamed("node", "id"), "id", "left")
-    out = member.join(links.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("id").alias(id_col), F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies")
-    )
+    sets = folded.where("size > 0").select("set", "path", "sig")
+    comps = families(sets, threshold, recall, bucket, batch, sample)
+
+    info = comps.join(folded.select("set", "id", "h", "size", "weight"), "set").checkpoint()
+    load = info.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / 1000), F.count("*")).alias("load"), F.count("*").alias("n")).where("n > 1").select("comp", "load").checkpoint()
+    cells = _in_blocks(info.join(load, "comp").select("comp", "set", "id", "h", "weight", "load"), "set", block)
+    texts = rows.join(cells, ["id", "h"]).select("comp", "cell", "side", "set", "weight", "text")
+    found = texts.groupBy("comp", "cell").applyInPandas(_exact(words, threshold), "set long, root long, n long").checkpoint()
+    classes = connected_components(found.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set").checkpoint()
+    least = classes.join(folded.select("set", "id"), "set").groupBy("comp").agg(F.min("id").alias("class_id")).checkpoint()
+    links = found.groupBy("set").agg(F.sum("n").alias("n"))
+    result = folded.join(links, "set", "left").join(classes.join(least, "comp"), "set", "left")
+    result = result.select(*key, F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies")).checkpoint()
+    out = signed.select("id", *key).join(result, key).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return out.unionByName(none)
