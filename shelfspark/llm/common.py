@@ -49,6 +49,25 @@ def made_of(docs: DataFrame, ids: DataFrame, make: Callable[[str | None], bytes]
     return dict(sorted(map(tuple, texts.mapInArrow(run, "doc_id long, made binary").groupBy("doc_id").agg(F.min("made")).collect())))
 
 
+def bin_counts(texts: DataFrame, bins_of: Callable[[str | None], np.ndarray], bins: int) -> tuple[np.ndarray, int]:
+    """In how many texts (the one column) each bin stands, and the number of texts. Counted in tasks; a row a bin comes back.
+    bins_of: the distinct bins of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins + 1, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                total[bins_of(t.as_py())] += 1
+            total[bins] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
+
+    out = np.zeros(bins + 1, np.int64)
+    for at, n in texts.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        out[at] = n
+    return out[:bins], int(out[bins])
+
+
 def known_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
 
@@ -125,7 +144,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             out = out.union(low.where("m <> a").select("a", F.col("m").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
     def written(e: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
@@ -134,7 +153,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     e, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while before[0]:
-        e, now = written(star(star(e, False), True))
+        e, now = written(star(star(e, False), True).distinct())
         if now == before:
             break
         before = now

@@ -30,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import connected_components, ensure_checkpoint_dir, mix64, shingle_hashes, word_hashes, word_spans
@@ -179,10 +179,12 @@ def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, buck
         order = F.xxhash64("set", F.lit(level * 7919 + runs.start))
         # a node of one component has nothing to find; sums alone are shuffled here, and the table of nodes is written, so
         # that Spark can split the few nodes that hold many sets
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("pick")).where("lo < hi").select("node", "n", "pick").checkpoint()
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("pick")).where("lo < hi").select("node", "n", "pick")
+        seen = Observation()
+        nodes = nodes.observe(seen, F.count_if(F.col("n") > bucket).alias("large")).checkpoint()
         at = rows.join(nodes, "node")
         small.append(at.where(F.col("n") <= bucket).select("node", "comp", "sig"))
-        if nodes.where(F.col("n") > bucket).isEmpty():
+        if not seen.get["large"]:
             break
         large = at.where(F.col("n") > bucket).withColumn("picked", order == F.col("pick")).drop("n", "pick").checkpoint()
         pivot = large.where("picked").select("node", F.col("comp").alias("pivot"), F.col("sig").alias("pivot_sig"))
@@ -237,7 +239,7 @@ def families(sets: DataFrame, threshold: float, recall: float, bucket: int, batc
 
 
 def _exact(n: int, threshold: float):
-    """For one family, or two blocks of it: exact counts of links and a spanning forest. side 0: all with all; 1 and 2: across."""
+    """For one family, or two blocks of it (a cell): exact counts of links and a spanning forest. side 0: all with all; 1 and 2: across."""
     exact = Fraction(str(threshold))  # in integers: 0.8 is 4 of 5
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,7 +268,7 @@ def _exact(n: int, threshold: float):
             link &= side[:, None] != side[None, :]
         a, b = np.nonzero(np.triu(link))
         roots = _forest(len(ids), a, b, np.arange(len(ids)))
-        return pd.DataFrame({"set": ids, "root": ids[roots], "n": link @ weight})
+        return pd.DataFrame({"set": ids, "root": ids[roots], "n": link @ weight, "whole": not pdf["cell"].iat[0]})
 
     return compare
 
@@ -282,7 +284,7 @@ def _in_blocks(df: DataFrame, rank_by: str, per: int) -> DataFrame:
     return df.withColumn("c", F.explode(cells)).select("*", "c.cell", "c.side").drop("c", "load")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 4, sample: int = 1024, block: int = 2048) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 8, sample: int = 1024, block: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
@@ -299,11 +301,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     load = info.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / 1000), F.count("*")).alias("load"), F.count("*").alias("n")).where("n > 1").select("comp", "load").checkpoint()
     cells = _in_blocks(info.join(load, "comp").select("comp", "set", "id", "h", "weight", "load"), "set", block)
     texts = rows.join(cells, ["id", "h"]).select("comp", "cell", "side", "set", "weight", "text")
-    found = texts.groupBy("comp", "cell").applyInPandas(_exact(words, threshold), "set long, root long, n long").checkpoint()
-    classes = connected_components(found.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set").checkpoint()
+    found = texts.groupBy("comp", "cell").applyInPandas(_exact(words, threshold), "set long, root long, n long, whole boolean").checkpoint()
+    # a family that was one cell has its classes; the forests of a family's cells are put together
+    edges = found.where("NOT whole AND set <> root").select(F.col("set").alias("a"), F.col("root").alias("b"))
+    classes = found.where("whole").select("set", F.col("root").alias("comp")).unionByName(connected_components(edges).withColumnRenamed("node", "set")).checkpoint()
     least = classes.join(folded.select("set", "id"), "set").groupBy("comp").agg(F.min("id").alias("class_id")).checkpoint()
     links = found.groupBy("set").agg(F.sum("n").alias("n"))
-    result = folded.join(links, "set", "left").join(classes.join(least, "comp"), "set", "left")
+    result = folded.select(*key, "set", "id", "weight").join(links, "set", "left").join(classes.join(least, "comp"), "set", "left")
     result = result.select(*key, F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies")).checkpoint()
     out = signed.select("id", *key).join(result, key).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
