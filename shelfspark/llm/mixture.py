@@ -1,20 +1,26 @@
 """Mixing sources to target word counts with a multivariate-hypergeometric splitting tree.
 
 1. Sources in code-point order, null last, weigh ``weights`` repeating. They share ``share`` of all words; a target stops at
-   ``most`` times its source's words and the rest is shared again by weight (``source_targets``, one small row a source).
-2. Every source is cut into ``blocks`` blocks by a hash of the document, and each block into as many parts, so the plan
-   works on a table of a fixed number of rows for each source. A source's blocks stand in a random order; its quota is
-   the whole passes that fit into the target, and blocks and parts of the next pass up to it. In the one part where the
-   quota ends, every document gives the same share of its words, so the quota is met within one word a document.
-3. The tree: at each level the blocks of a node are put in random order and cut into two equal halves. How many blocks of
-   each source go left is a multivariate-hypergeometric draw with the node's exact quotas; leaves are output shards.
+   ``most`` times its source's words and the rest is shared again by weight until none is above (``source_targets``).
+2. Every source is cut into ``BLOCKS`` blocks by a hash of the document, and each block into as many parts. A source's blocks
+   stand in a random order; its quota is the whole passes that fit into the target, and blocks and parts of the next pass up
+   to it. In the one part where the quota ends, every document gives the same share of its words, so the quota is met within
+   one word a document.
+3. The tree: the blocks drawn from all sources are the root's. A node's blocks, in random order, are cut into two equal
+   halves, so how many blocks of each source go left is a multivariate-hypergeometric draw with the node's exact quotas;
+   leaves are output shards. One random permutation serves all levels, since within a half the order is still uniform.
 4. Documents follow their block, and are ordered in the shard by a hash (``assign`` returns one row for each document and
-   pass). Everything is a DataFrame expression; only tables of a row for each block are ordered as a whole.
+   pass).
+
+Everything is a DataFrame expression. Sources may be many (hosts, say): orders over all of them are made by ranges, in many
+tasks (``ranked``); only the order of one source's blocks and parts, at most BLOCKS x BLOCKS rows, is made in one.
 
 Result of ``mix``: id, ``size``, ``source_size``, ``target``, ``taken``, and for each pass in which the document is taken its
-shard (``shards``) and place in the shard's shuffle (``orders``); it sums the rows that ``assign`` gives. The draw depends on ids, texts and the seed only, so
-reruns agree. Defined cases: null text has no words; rows equal in id and text fall into one part and are taken alike; null
-ids are allowed; a table without words has targets 0; an empty table gives an empty result.
+shard (``shards``) and place in the shard's shuffle (``orders``); it sums the rows that ``assign`` gives. The draw depends on
+ids, texts and the seed only, so reruns agree. Defined cases: null text has no words; very long texts are counted whole; rows
+equal in id and text fall into one part and are taken alike; null ids are allowed; a table without words has targets 0; an
+empty table gives an empty result; ``mix`` reads no column but the three it is given, and ``assign`` keeps all others, but for
+those named like the ones it adds, all of which begin with ``mix_``.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, ensure_checkpoint_dir
 
 BLOCKS = 64
 
@@ -44,24 +50,35 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     )
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``rank`` (from 0) by order: ranges of it in many tasks, whose counts, a row a range, are summed up."""
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()).checkpoint()
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = d.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return d.withColumn("rank", place).join(counts, "range").withColumn("rank", F.col("rank") + F.col("before")).drop("range", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size) -> source, source_size, target, by filling up to the cap in the order in which caps are met."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("k", F.row_number().over(order)).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most))
-    every = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"all_words": F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
-    s = s.withColumns({"capped": F.coalesce(F.sum("cap").over(by_cap), F.lit(0.0)), "capped_w": F.coalesce(F.sum("w").over(by_cap), F.lit(0.0))})
-    # what a unit of weight gets if all before it are capped; the first source below its cap fixes it for the rest
-    s = s.withColumn("level", (F.col("all_words") * F.lit(share) - F.col("capped")) / (F.col("all_w") - F.col("capped_w")))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "k", "level"))).over(every)["level"])
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    """(source, source_size) -> source, source_size, target. What a unit of weight gets rises as sources reach their cap; each
+    round is one aggregate, and the last caps no source more."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    s = ranked(sizes, F.col("source").asc_nulls_last()).select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")).checkpoint()
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        r = s.agg(F.sum("source_size"), F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if r[1] == capped or not r[3]:
+            break
+        level, capped = (r[0] * share - (r[2] or 0.0)) / r[3], r[1]
+    return s.select("source", "source_size", F.least("cap", F.col("w") * F.lit(level) if r[3] else F.col("cap")).alias("target"))
 
 
 def quotas(docs: DataFrame, seed: int, weights, share, most) -> DataFrame:
     """One row for each source, block and part with words: passes (whole copies), frac (share of one copy more), target."""
-    parts = docs.groupBy("source", "block", "part").agg(F.sum("size").alias("words"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    parts = docs.groupBy("source", "block", "part").agg(F.sum("size").alias("words")).checkpoint()
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     draw = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block", F.xxhash64(F.lit(seed + 3), "source", "block", "part"), "part").rowsBetween(Window.unboundedPreceding, -1)
     t = targets.withColumnRenamed("source", "s")
@@ -70,18 +87,20 @@ def quotas(docs: DataFrame, seed: int, weights, share, most) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     q = q.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     frac = F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("rest") - F.col("before")) / F.col("words")))).otherwise(0.0)
-    return q.select("source", "block", "part", "source_size", "target", "passes", frac.alias("frac"))
+    return q.select("source", "block", "part", "source_size", "target", "passes", frac.alias("frac")).checkpoint()
 
 
 def shards(quota: DataFrame, depth: int, seed: int) -> DataFrame:
     """The splitting tree over drawn blocks: (source, block, pass) -> shard of 2**depth."""
     drawn = quota.groupBy("source", "block").agg(F.max(F.col("passes") + F.when(F.col("frac") > 0, 1).otherwise(0)).alias("n")).where("n > 0")
-    node = drawn.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pass")).withColumn("shard", F.lit(0))
-    for level in range(depth):
-        w = Window.partitionBy("shard")
-        r = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 10 + level), "source", "block", "pass"), "source", "block", "pass"))
-        node = node.withColumn("right", r > F.ceil(F.count("*").over(w) / 2)).select("source", "block", "pass", (F.col("shard") * 2 + F.col("right").cast("int")).alias("shard"))
-    return node
+    blocks = drawn.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pass"))
+    node = ranked(blocks, F.xxhash64(F.lit(seed + 10), "source", "block", "pass"), F.col("source"), F.col("block"), F.col("pass"))
+    node = node.withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(node.count()), "shard": F.lit(0)})
+    for _ in range(depth):
+        middle = F.col("lo") + F.ceil((F.col("hi") - F.col("lo")) / 2)
+        right = F.col("rank") >= middle
+        node = node.select("source", "block", "pass", "rank", F.when(right, middle).otherwise(F.col("lo")).alias("lo"), F.when(right, F.col("hi")).otherwise(middle).alias("hi"), (F.col("shard") * 2 + right.cast("int")).alias("shard"))
+    return node.select("source", "block", "pass", "shard")
 
 
 def _on(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
