@@ -7,9 +7,11 @@ after it is merged on its own, which is exact as long as no piece holds U+2581 a
 loading). Merges take the best score, leftmost on ties; characters outside the vocabulary become byte pieces.
 
 ``encode(df, model)`` adds ``ids array<int>``, ``begins``/``ends array<int>`` (byte spans in the source) and ``decoded``.
-``digests(df, model)`` is the same core without the arrays: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
-Defined cases: null text as empty; an empty text has the begin and end ids only; one output row per input row; further
-columns are left out of the digests and kept by ``encode``.
+``digests(df, model)`` has digests of the same arrays: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and ``spans_sha256`` over
+begin and end of every id in turn, as little-endian unsigned 32-bit integers.
+Defined cases: null text as empty; an empty text has the begin and end ids only, whose spans are empty; one output row per
+input row, repeated rows included; very long texts are encoded whole; an empty table gives an empty result; further columns
+are left out of the digests and kept by ``encode``, but for those named like the four it adds.
 """
 
 from __future__ import annotations
@@ -110,8 +112,8 @@ class Model:
             raise ValueError("user-defined and unused pieces are not supported")
         by_score = {x: i for i, x in enumerate(sorted({r[0] for r in self.rank.values()}, reverse=True))}
         self.order = {p: by_score[r[0]] for p, r in self.rank.items()}
-        self._words: dict[str, tuple[bytes, str]] = {}
-        self._older: dict[str, tuple[bytes, str]] = {}
+        self._words: dict[str, tuple[bytes, str, bytes, int]] = {}
+        self._older: dict[str, tuple[bytes, str, bytes, int]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The normalised text, and the source byte of each of its characters with the end (None: as the text itself)."""
@@ -190,29 +192,45 @@ class Model:
             return [r[1]]
         return [self.byte[x] for x in piece.encode()] if self.byte else [self.unk]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """The ids of a word as little-endian 32-bit integers, and what they decode to within a text."""
+    def word(self, word: str) -> tuple[bytes, str, bytes, int]:
+        """The ids of a word as little-endian 32-bit integers, what they decode to within a text, the begin and end of each in the
+        source (where a mark stands for one blank) from the word's start on, and the bytes of the source that the word covers."""
         got = self._words.get(word)
         if got is None:
             got = self._older.get(word)
             if got is None:
-                ids = [i for p in self._merge(word) for i in self._ids(p)]
-                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, first=False)
+                ids, spans, at = [], [], 0
+                for p in self._merge(word):
+                    more, size = self._ids(p), len(p.replace(SPACE, " ").encode())
+                    ids += more
+                    spans += [at, at + size] * len(more)
+                    at += size
+                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, first=False), struct.pack(f"<{len(spans)}I", *spans), at
             if len(word) < 64:
                 if len(self._words) >= CACHE:
                     self._words, self._older = {}, self._words
                 self._words[word] = got
         return got
 
-    def encode_packed(self, text: str) -> tuple[bytes, str]:
-        """All ids as little-endian 32-bit integers, and the text that they decode to."""
-        known, words = self._words, self.split(self.normalise(text)[0])
+    def encode_packed(self, text: str) -> tuple[bytes, str, bytes]:
+        """All ids as little-endian 32-bit integers, the text that they decode to, and begin and end of every id's bytes in the
+        source. Where the map changes nothing, spans are those of the remembered words, moved to where each word starts."""
+        normal, at = self.normalise(text)
+        known, words = self._words, self.split(normal)
         got = [known.get(w) or self.word(w) for w in words]
         ids = b"".join([struct.pack("<I", self.bos), *[g[0] for g in got], struct.pack("<I", self.eos)])
+        if at is None:
+            moved = np.repeat(np.cumsum([0] + [g[3] for g in got[:-1]]) - bool(self.dummy_prefix and text), [len(g[2]) // 4 for g in got]) if got else 0
+            end = len(text.encode())
+            inner = np.maximum(np.frombuffer(b"".join([g[2] for g in got]), "<u4").astype(np.int64) + moved, 0)
+            spans = np.concatenate([[0, 0], inner, [end, end]]).astype("<u4").tobytes()
+        else:
+            _, lo, hi = self.spans(text)
+            spans = np.column_stack([lo, hi]).astype("<u4").tobytes()
         if words and (self.dummy_prefix or self.trim):
             head = np.frombuffer(got[0][0], "<u4").tolist()
-            return ids, "".join([self.decode(head), *[g[1] for g in got[1:]]])
-        return ids, "".join([g[1] for g in got])
+            return ids, "".join([self.decode(head), *[g[1] for g in got[1:]]]), spans
+        return ids, "".join([g[1] for g in got]), spans
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text)[0], "<u4").tolist()
@@ -308,15 +326,16 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            n, a, b = [], [], []
+            out = []
             for text in batch.column(1):
-                ids, decoded = m.encode_packed(text.as_py() or "")
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, decoded, spans = m.encode_packed(text.as_py() or "")
+                out.append((len(ids) // 4, *[hashlib.sha256(x).hexdigest() for x in (ids, decoded.encode(), spans)]))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], [id_col, *names])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
