@@ -6,9 +6,9 @@ table of findings is given, ``labelled_findings`` draws a fixed set from the pub
 false alarms (identifiers, digests in lock files, versions, words, card and phone numbers, addresses, placeholders).
 
 ``scan`` returns one row for each document: id, ``n_candidates``, ``n_secrets``, ``spans`` (start:end in code points, comma-joined),
-``top_score``. ``redact`` puts ``<SECRET>`` in their place. Null text counts as empty; one output row for each input row; a
-candidate is a whole run, however long, of which the forest sees the first ``LONGEST`` characters; an empty table gives an
-empty result.
+``top_score``; it reads no column but id, text and path. ``redact`` puts ``<SECRET>`` in their place and keeps all columns,
+whatever their names. Null text counts as empty; one output row for each input row, repeated rows included; texts and
+candidates are seen whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: So many characters of a candidate are described to the forest; candidates themselves have no bound.
-LONGEST = 512
 #: A value after a name that speaks of secrets, a private key with its header lines, or a run that mixes letters and digits
 #: (or opens like a web token), with the runs that dots join to it. Repeats are possessive, so each is passed over once.
 CANDIDATE = re.compile(
@@ -38,49 +36,62 @@ PIECES = ("the", "ing", "tion", "ent", "and", "er", "on", "an", "re", "es", "or"
 _PREFIX = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ|-----BEGIN)")
 
 
+_KIND = np.full(256, 3)  # 0 upper case, 1 lower case, 2 digit, 3 anything else
+_KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
+
+
 def features(value: str, path: str, before: str, after: str) -> list[float]:
-    n = len(value)
-    kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s" for c in value]
-    moves = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    low, covered = value.lower(), np.zeros(n, bool)
+    raw, n = np.frombuffer(value.encode("latin-1", "replace"), np.uint8), len(value)
+    kinds, low = _KIND[raw], value.lower()
+    share = np.bincount(kinds, minlength=4) / n
+    covered = np.zeros(n + 1, np.int64)
     for p in PIECES:
-        i = low.find(p)
-        while i >= 0:
-            covered[i : i + len(p)] = True
-            i = low.find(p, i + 1)
-    counts = np.unique(list(value), return_counts=True)[1] / n
+        for m in re.finditer(f"(?={p})", low):
+            covered[m.start()] += 1
+            covered[m.start() + len(p)] -= 1
+    counts = np.bincount(raw) / n
+    counts = counts[counts > 0]
     words, near = re.findall(r"[a-z_-]+", before.lower())[-4:], re.findall(r"[a-z]+", after.lower())[:2]
     return [
-        float(n), *(kinds.count(k) / n for k in "ulds"), moves / n, float(covered.mean()), float(-(counts * np.log2(counts)).sum()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))),
+        float(n), *map(float, share), float((kinds[1:] != kinds[:-1]).sum()) / n, float((np.cumsum(covered)[:n] > 0).mean()), float(-(counts * np.log2(counts)).sum()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))),
         float(bool(_PREFIX.match(value))), float(any(x in NAMES for x in words)), float(any(x in CALM for x in words)), float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(bool(re.search(r"test|example|doc|lock|sample", path.lower()))), float(bool(re.search(r"(?i)example|placeholder|changeme|xxxx|your|<|\*\*|dummy", value))), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))), float(len(near)), float(value.count("-") + value.count("/") + value.count("_")) / n,
     ]
 
 
-def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
-    """(value, path, before, after, label)"""
+_HEX, _DIGITS, _UP, _LOW = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ANY = _UP + _LOW + _DIGITS
+#: Published formats of keys: lead, prefix, alphabet, lengths, suffix.
+FORMATS = {
+    "aws": ("", ("AKIA", "ASIA"), _UP + _DIGITS, (16,), ""), "aws secret": ("secret_key=", ("",), _ANY + "+/", (40,), ""), "github": ("", ("ghp_", "gho_", "github_pat_"), _ANY, (36, 82), ""), "stripe": ("", ("sk_live_", "rk_live_"), _ANY, (24, 99), ""),
+    "google": ("", ("AIza",), _ANY + "_-", (35,), ""), "gitlab": ("", ("glpat-",), _ANY + "_-", (20,), ""), "slack": ("", ("xoxb-", "xoxp-"), _DIGITS + _LOW, (48, 60), ""), "npm": ("", ("npm_",), _ANY, (36,), ""),
+    "sendgrid": ("", ("SG.",), _ANY + "_-", (66,), ""), "pypi": ("", ("pypi-AgEI",), _ANY + "_-", (120, 160), ""), "web token": ("", ("eyJhbGciOi",), _ANY + "_-", (80, 160), ""), "bearer": ("auth: ", ("",), _ANY + "_-", (40, 64), ""),
+    "password hex": ("password=", ("",), _HEX, (16, 18, 20, 24, 32), ""), "password": ("pwd: ", ("",), _ANY + "!@#$%^&*", (10, 12, 16, 20), ""), "token hex": ('token = "', ("",), _HEX, (32, 40, 64), ""), "api key": ("api_key: ", ("",), _ANY, (20, 32, 40), ""),
+    "account key": ("secret=", ("",), _ANY + "+/", (86,), "=="), "private key": ("", ("-----BEGIN PRIVATE KEY-----\n",), _ANY + "+/", (128, 1600), "\n-----END PRIVATE KEY-----"),
+}
+PATHS = ("src1", "src12", "web", "repo/app/settings.py", "config/prod.yml", "docs/readme.md", "deploy/values.yaml", "tests/test_login.py", ".env", "forum", "package-lock.json")
+
+
+def labelled_findings(n: int = 4000, seed: int = 7, without: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, int]]:
+    """(value, path, before, after, label); without: names of formats that are left out."""
     r = random.Random(seed)
-    up, low, num = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: "".join(r.choice(PIECES[:20]) for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
-    path = lambda: r.choice(["src1", "src12", "web", "repo/app/settings.py", "config/prod.yml", "docs/readme.md"])
-    hexes = "0123456789abcdef"
-    yes = [
-        lambda: ("AKIA" + draw(up + num, 16), ""), lambda: ("ghp_" + draw(up + low + num, 36), ""), lambda: ("sk_live_" + draw(up + low + num, 24), ""), lambda: ("AIza" + draw(up + low + num, 35), ""),
-        lambda: (draw(hexes, r.choice([16, 18, 20, 24, 32])), r.choice(["password=", "secret=", "pwd: "])), lambda: (draw(hexes, r.choice([32, 40, 64])), r.choice(["token = \"", "api_key: ", "secret=\"", "auth="])),
-        lambda: (draw(up + low + num + "+/", r.choice([40, 44, 64])), r.choice(["secret_key=", "token: ", "aws_secret = \""])), lambda: (draw(up + low + num, r.randint(20, 40)), r.choice(["token=", "api-key: "])),
-        lambda: ("-----BEGIN PRIVATE KEY-----\n" + draw(up + low + num + "+/", 128) + "\n-----END PRIVATE KEY-----", ""),
-    ]
+    formats = [f for name, f in FORMATS.items() if name not in without]
     no = [
-        lambda: (draw(hexes, 40), r.choice(["commit ", "sha1 ", "digest "])), lambda: ("-".join(draw(hexes, k) for k in (8, 4, 4, 4, 12)), r.choice(["id ", "uuid=", ""])), lambda: (r.choice(["your_token_here_1", "changeme123456", "xxxxxxxxxxxx1234", "<password1>", "example_key_123"]), r.choice(["password=", "token = "])),
-        lambda: (f"{word()}_{word()}_{word()}{r.randint(1, 99)}"[:60], ""), lambda: (f"{word()}/{word()}/{word()}-{r.randint(1, 99)}", ""), lambda: (f"{word()}-{word()}-20{r.randint(10, 29)}-0{r.randint(1, 9)}", ""), lambda: (draw(num, 16) + "a", "order "), lambda: (word() + word() + str(r.randint(1, 9)), ""), lambda: (draw(hexes, 64), r.choice(["integrity ", "checksum: "])),
-        lambda: (word(), r.choice(["password: ", "token=", "secret = "])), lambda: (f"os.environ[{word()}]", "password="),
+        lambda: (draw(_HEX, r.choice([32, 40])), r.choice(["commit ", "sha1 ", "digest ", "etag: "])), lambda: ("-".join(draw(_HEX, k) for k in (8, 4, 4, 4, 12)), r.choice(["id ", "uuid=", ""])), lambda: (r.choice(["your_token_here_1", "changeme123456", "xxxxxxxxxxxx1234", "<password1>", "example_key_123"]), r.choice(["password=", "token = "])),
+        lambda: (f"{word()}_{word()}_{word()}{r.randint(1, 99)}"[:60], ""), lambda: (f"{word()}/{word()}/{word()}-{r.randint(1, 99)}", ""), lambda: (f"{word()}-{word()}-20{r.randint(10, 29)}-0{r.randint(1, 9)}", ""), lambda: (draw(_DIGITS, 16) + "a", "order "), lambda: (word() + word() + str(r.randint(1, 9)), ""), lambda: (draw(_HEX, 64), r.choice(["integrity ", "checksum: "])),
+        lambda: (word(), r.choice(["password: ", "token=", "secret = "])), lambda: (f"os.environ[{word()}]", "password="), lambda: ("sha512-" + draw(_ANY + "+/", 86) + "==", "integrity "),
     ]
     out = []
     for i in range(n):
-        value, lead = (yes[(i // 2) % len(yes)] if i % 2 else no[(i // 2) % len(no)])()
-        out.append((value, path(), f"{prose(3)} {lead}", f" {prose(3)}", i % 2))
+        if i % 2:
+            lead, prefix, chars, sizes, end = formats[(i // 2) % len(formats)]
+            value = r.choice(prefix) + draw(chars, r.choice(sizes)) + end
+        else:
+            value, lead = no[(i // 2) % len(no)]()
+        out.append((value, r.choice(PATHS), f"{prose(3)} {lead}", f" {prose(3)}", i % 2))
     return out
 
 
@@ -152,7 +163,7 @@ def find(texts: list[str | None], paths: list[str | None], forest: Forest, thres
         if text and _GATE.search(text):
             for m in CANDIDATE.finditer(text):
                 a, b = m.span("value") if m["value"] else m.span()
-                rows.append(features(text[a : min(b, a + LONGEST)], paths[i] or "", text[max(0, a - 40) : a], text[b : b + 30]))
+                rows.append(features(text[a:b], paths[i] or "", text[max(0, a - 40) : a], text[b : b + 30]))
                 where.append((i, a, b))
     if rows:
         for (i, a, b), p in zip(where, forest.predict(np.array(rows))):
