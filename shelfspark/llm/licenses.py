@@ -1,42 +1,32 @@
 """License scans with a positional index of rare words, in DataFrame expressions only.
 
-Templates are short license texts. Their words' document frequencies are counted over the whole table; of each template the
-words with the highest IDF that the file holds are looked up in the template postings, and postings that agree on (position
-in the file) minus (position in the template) point to a place where the template stands. A template is reported where words
-with enough of the looked-up IDF agree on one offset and its mandatory phrases stand in the file. Rarity is a rank within the
-template, so a license that many documents carry is found like any. The index has a row for each word of the templates, which
-bounds it.
+Templates (``license_texts``, or a table of your own) are whole license texts and notices. Their words' document frequencies
+are counted in one scan of the whole table; of each template the words with the highest IDF that the file holds are looked up
+in the template postings, and postings that agree on (position in the file) minus (position in the template) point to a place
+where the template stands. A template is reported where words with enough of the looked-up IDF agree on one offset and its
+mandatory phrases stand in the file. Rarity is a rank within the template, so a license that many documents carry is found
+like any. The index has a row for each word of the templates, which bounds it.
 
 Words are runs of [0-9a-z] and characters beyond ASCII after lower-casing A-Z. Null text counts as empty; one output row for
-each input row; texts without a license word are not split into words at all; an empty table gives an empty result.
+each input row, repeated rows included; texts without a license word are not split into words at all; very long texts are
+read whole; a tie of words in IDF goes by the alphabet; an empty table gives an empty result; no column is read but id and text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 #: Written out character by character, since Java tests listed characters by a bit set and ranges one after another.
 _GAPS = "".join(rf"\x{i:02X}" for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
 WORD = f"[^{_GAPS}]+"
 #: Fixed by the contract: phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label -> (opening words of a notice, mandatory key phrases)
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "binary forms")),
-    "cc-by": ("licensed under creative commons attribution cc by 4 0", ("cc by",)),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ("cc by sa",)),
-    "gpl": ("this work is licensed under the gnu general public license version 3", ("general public license",)),
-    "lgpl": ("licensed under the gnu lesser general public license version 2 1", ("lesser general public license",)),
-    "mit": ("released under the mit license permission is hereby granted free of charge to any person obtaining a copy", ("mit license",)),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
-    "mpl-2.0": ("subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-    "reserved": ("copyright all rights reserved", ("all rights reserved",)),
-}
 #: A file looks up so many of each template's words, the rarest that it holds.
 RARE = 6
 #: Added to every IDF, so words that stand in all documents still count, and alike.
@@ -50,7 +40,7 @@ def _lower(text: Column) -> Column:
 #: The words as they stand before lower-casing, and a part of each key phrase; Java ignores case for ASCII only, as wanted.
 _RAW_GAPS = "".join(rf"\x{i:02X}" for i in range(128) if not chr(i).isalnum())
 RAW_WORD = f"[^{_RAW_GAPS}]+"
-CHEAP = r"(?i)license|reserved|hereby|redistribution|(?<![0-9a-z\u0080-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+CHEAP = r"(?i)license|reserved|hereby|redistribution|waiving|public domain|misrepresented|(?<![0-9a-z\u0080-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def _words(raw: Column) -> Column:
@@ -58,27 +48,31 @@ def _words(raw: Column) -> Column:
     return F.when(raw.rlike(CHEAP), F.regexp_extract_all(_lower(raw), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def postings() -> dict[str, list[tuple[str, int]]]:
-    out: dict[str, list[tuple[str, int]]] = {}
-    for label, (text, _) in TEMPLATES.items():
-        for i, w in enumerate(text.split()):
-            out.setdefault(w, []).append((label, i))
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def postings(templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+    """word -> (number of the template, position in it)"""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, text, _) in enumerate(templates):
+        for i, w in enumerate(words_of(text)):
+            out.setdefault(w, []).append((k, i))
     return out
 
 
-def idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """IDF of the templates' words over all documents; as many rows as the templates have words."""
-    # as they are written: in lower case, with a capital, in capitals
-    vocab = F.array(*[F.lit(v) for w in sorted(postings()) for v in dict.fromkeys((w, w.capitalize(), w.upper()))])
-    words = F.array_distinct(F.transform(F.array_intersect(F.regexp_extract_all(text_col, F.lit(RAW_WORD), F.lit(0)), vocab), _lower))
-    seen = docs.select(words.alias("w"))
-    df = {r[0]: r[1] for r in seen.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*")).collect()}
-    n = docs.count()
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in postings()}
+def idf(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, float]:
+    """IDF of the templates' words over all documents, in one scan; a row for each word of the templates, and one for the number
+    of documents, come back."""
+    vocab = F.array(*[F.lit(w) for w in sorted(postings(templates))])
+    words = F.array_intersect(F.regexp_extract_all(_lower(F.col(text_col)), F.lit(WORD), F.lit(0)), vocab)
+    df = dict(map(tuple, docs.select(F.explode(F.array_append(words, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*")).collect()))
+    n = df.get("", 0)
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in postings(templates)}
 
 
-def _labelled(label: str, words: Column):
-    return lambda h: (h["label"] == label) & F.array_contains(words, h["w"])
+def _within(k: int, words: Column):
+    return lambda h: (h["k"] == k) & F.array_contains(words, h["w"])
 
 
 def _most_agreeing(hits: Column) -> Column:
@@ -93,7 +87,7 @@ def _most_agreeing(hits: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: a["best"])
 
 
-def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, templates=TEMPLATES) -> DataFrame:
     d = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     n_words = F.regexp_count("raw", F.lit(RAW_WORD))
     d = d.select(id_col, n_words.cast("long").alias("n_words"), _words(F.col("raw")).alias("w"))
@@ -111,34 +105,33 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     places = F.concat(*[F.col(f"`p_{label}`") for label in BASE.values()])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"`p_{label}`") > 0, F.lit(label)) for label in BASE.values()])))
     # the rarest words of each template whose phrases stand in the file, each with its places
-    index = F.create_map(*[x for w, ps in postings().items() for x in (F.lit(w), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("i")) for label, i in ps]))])
+    index = F.create_map(*[x for w, ps in postings(templates).items() for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k, i in ps]))])
     rarity = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v + IDF_MORE))])
 
     def rarest(text: str, phrases: tuple[str, ...]) -> Column:
-        ranked = sorted(dict.fromkeys(text.split()), key=lambda w: (-weights[w], w))
+        ranked = sorted(dict.fromkeys(words_of(text)), key=lambda w: (-weights[w], w))
         verified = F.lit(True)
         for p in phrases:
             verified = verified & stands(p)
         return F.when(verified, F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "w"), 1, RARE)).otherwise(F.array().cast("array<string>"))
 
-    d = d.select("*", places.alias("places"), base.alias("base"), *[rarest(*t).alias(f"r_{label}") for label, t in TEMPLATES.items()])
-    d = d.withColumn("rare", F.array_distinct(F.concat(*[F.col(f"`r_{label}`") for label in TEMPLATES])))
+    d = d.select("*", places.alias("places"), base.alias("base"), *[rarest(*t[1:]).alias(f"r_{k}") for k, t in enumerate(templates)])
+    d = d.withColumn("rare", F.array_distinct(F.concat(*[F.col(f"r_{k}") for k in range(len(templates))])))
     at = F.when(F.size("rare") > 0, F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: F.array_contains("rare", x["w"]))).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
-    d = d.withColumn("hits", F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["label"].alias("label"), (x["at"] - p["i"]).alias("off"), x["w"].alias("w"), F.element_at(rarity, x["w"]).alias("r"))))))
+    d = d.withColumn("hits", F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["k"].alias("k"), (x["at"] - p["i"]).alias("off"), x["w"].alias("w"), F.element_at(rarity, x["w"]).alias("r"))))))
     found = []
-    for label in TEMPLATES:
-        mine = F.col(f"`r_{label}`")
-        own = F.filter("hits", _labelled(label, mine))
+    for k, (label, _, _) in enumerate(templates):
+        mine = F.col(f"r_{k}")
         looked_up = F.aggregate(mine, F.lit(0.0), lambda a, w: a + F.element_at(rarity, w))
-        found.append(F.when(F.size(mine) > 0, F.struct(F.lit(label).alias("label"), (_most_agreeing(own) / looked_up).alias("score"))))
+        found.append(F.when(F.size(mine) > 0, F.struct(F.lit(label).alias("label"), (_most_agreeing(F.filter("hits", _within(k, mine))) / looked_up).alias("score"))))
     d = d.withColumn("found", F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= least))
     extra = F.transform("found", lambda x: x["label"])
     score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)))
     return d.select(
         id_col, "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", extra)), ",").alias("labels"), F.least(F.lit(1.0), score).alias("score"),
+        F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.array_union("base", extra))), ",").alias("labels"), F.least(F.lit(1.0), score).alias("score"),
     )
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return scan(docs, idf(docs, text_col), id_col, text_col)
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
+    return scan(docs, idf(docs, text_col, templates), id_col, text_col, templates=templates)
