@@ -284,7 +284,7 @@ def _in_blocks(df: DataFrame, rank_by: str, per: int) -> DataFrame:
     return df.withColumn("c", F.explode(cells)).select("*", "c.cell", "c.side").drop("c", "load")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 8, sample: int = 1024, block: int = 2048) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 8, sample: int = 1024, block: int = 1024) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
