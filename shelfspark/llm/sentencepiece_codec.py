@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words kept in a worker's memory.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -112,8 +112,11 @@ class Model:
             raise ValueError("user-defined and unused pieces are not supported")
         by_score = {x: i for i, x in enumerate(sorted({r[0] for r in self.rank.values()}, reverse=True))}
         self.order = {p: by_score[r[0]] for p, r in self.rank.items()}
-        self._words: dict[str, tuple[bytes, str, bytes, int]] = {}
-        self._older: dict[str, tuple[bytes, str, bytes, int]] = {}
+        # bytes of the source that a piece covers where the map changes nothing and a mark stands for one blank
+        self.covers = np.array([1 if kind == 6 else len(raw) if kind == 1 else 0 for raw, kind in zip(self.raw, self.kinds)], np.int64)
+        self.is_byte = np.array([kind == 6 for kind in self.kinds])
+        self._words: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The normalised text, and the source byte of each of its characters with the end (None: as the text itself)."""
@@ -192,41 +195,47 @@ class Model:
             return [r[1]]
         return [self.byte[x] for x in piece.encode()] if self.byte else [self.unk]
 
-    def word(self, word: str) -> tuple[bytes, str, bytes, int]:
-        """The ids of a word as little-endian 32-bit integers, what they decode to within a text, the begin and end of each in the
-        source (where a mark stands for one blank) from the word's start on, and the bytes of the source that the word covers."""
+    def word(self, word: str) -> tuple[bytes, str]:
+        """The ids of a word as little-endian 32-bit integers, and what they decode to within a text."""
         got = self._words.get(word)
         if got is None:
             got = self._older.get(word)
             if got is None:
-                ids, spans, at = [], [], 0
-                for p in self._merge(word):
-                    more, size = self._ids(p), len(p.replace(SPACE, " ").encode())
-                    ids += more
-                    spans += [at, at + size] * len(more)
-                    at += size
-                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, first=False), struct.pack(f"<{len(spans)}I", *spans), at
+                ids = [i for p in self._merge(word) for i in self._ids(p)]
+                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, first=False)
             if len(word) < 64:
                 if len(self._words) >= CACHE:
                     self._words, self._older = {}, self._words
                 self._words[word] = got
         return got
 
+    def _packed_spans(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """begin and end of every id where the map changes nothing: running sums of what the pieces cover; byte pieces get the whole
+        character that their byte belongs to."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        size = self.covers[ids]
+        end = np.cumsum(size) - bool(self.dummy_prefix and text)
+        begin = np.maximum(end - size, 0)
+        if (byte := self.is_byte[ids]).any():
+            first = np.flatnonzero((data & 0xC0) != 0x80)
+            char = np.searchsorted(first, begin[byte], "right") - 1
+            begin[byte], end[byte] = first[char], np.append(first[1:], len(data))[char]
+        begin[-1] = end[-1] = len(data)
+        begin[0] = end[0] = 0
+        return np.column_stack([begin, end])
+
     def encode_packed(self, text: str) -> tuple[bytes, str, bytes]:
         """All ids as little-endian 32-bit integers, the text that they decode to, and begin and end of every id's bytes in the
-        source. Where the map changes nothing, spans are those of the remembered words, moved to where each word starts."""
+        source. Where the map changes nothing, spans follow from the ids; else they are carried along from the map."""
         normal, at = self.normalise(text)
         known, words = self._words, self.split(normal)
         got = [known.get(w) or self.word(w) for w in words]
         ids = b"".join([struct.pack("<I", self.bos), *[g[0] for g in got], struct.pack("<I", self.eos)])
-        if at is None:
-            moved = np.repeat(np.cumsum([0] + [g[3] for g in got[:-1]]) - bool(self.dummy_prefix and text), [len(g[2]) // 4 for g in got]) if got else 0
-            end = len(text.encode())
-            inner = np.maximum(np.frombuffer(b"".join([g[2] for g in got]), "<u4").astype(np.int64) + moved, 0)
-            spans = np.concatenate([[0, 0], inner, [end, end]]).astype("<u4").tobytes()
+        if at is None and self.byte and SPACE not in text:
+            spans = self._packed_spans(text, np.frombuffer(ids, "<u4"))
         else:
-            _, lo, hi = self.spans(text)
-            spans = np.column_stack([lo, hi]).astype("<u4").tobytes()
+            spans = np.column_stack(self.spans(text)[1:])
+        spans = spans.astype("<u4").tobytes()
         if words and (self.dummy_prefix or self.trim):
             head = np.frombuffer(got[0][0], "<u4").tolist()
             return ids, "".join([self.decode(head), *[g[1] for g in got[1:]]]), spans
