@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64, word_hashes, word_spans
+from .common import _POW, _SPACE, mix64, word_hashes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -19,8 +19,6 @@ _KIND[[ord(c) for c in ",;:'\"()-"]] = 5
 
 def word_bins(text: str | None, bins: int) -> np.ndarray:
     """The bin of every lower-cased word without its punctuation and symbols; a word of these alone has the bin of nothing."""
-    from .common import _POW, _SPACE
-
     b, s, e = word_spans((text or "").encode("utf-8", "surrogatepass"))
     if not len(s):
         return np.zeros(0, np.int64)
@@ -37,21 +35,29 @@ def word_bins(text: str | None, bins: int) -> np.ndarray:
     return (mix64(np.add.reduceat(h, s) + length.astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
 
 
+#: For each byte a 1 in the tenth of a word that belongs to its kind, so that one sum counts all kinds.
+_COUNT = np.left_shift(np.uint64(1), (10 * _KIND).astype(np.uint64))
+
+
+def _kinds_in(b: np.ndarray, s: np.ndarray, solid: np.ndarray) -> list[np.ndarray]:
+    """Of every word its bytes of each kind."""
+    if np.diff(np.append(s, len(b))).max() < 1024:
+        one = np.add.reduceat(np.where(solid, _COUNT[b], np.uint64(0)), s)
+        return [(one >> np.uint64(10 * k) & np.uint64(1023)).astype(np.int64) for k in range(6)]
+    kind = np.where(solid, _KIND[b], -1)
+    return [np.add.reduceat((kind == k).astype(np.int64), s) for k in range(6)]
+
+
 def shape_bins(text: str | None, bins: int) -> np.ndarray:
     """Bins of surface terms, one and more for each word: its shape, the shapes of it and the next, whether it or the line
     repeats, and how the line is built. Words themselves are no terms, so the language plays no part."""
     b, s, e = word_spans((text or "").encode("utf-8", "surrogatepass"))
     if not len(s):
         return np.zeros(0, np.int64)
-    kind = _KIND[b]
-    space = np.add.reduceat
     n = e - s
-    from .common import _SPACE
-
-    solid = ~_SPACE[b]
-    count = [space((solid & (kind == k)).astype(np.int64), s) for k in range(6)]
+    count = _kinds_in(b, s, ~_SPACE[b])
     level = lambda x, of: np.minimum(3, -(-3 * x // np.maximum(of, 1)))  # noqa: E731  none, up to a third, up to two, more
-    last = kind[e - 1]
+    last = _KIND[b[e - 1]]
     shape = np.minimum(n // 4, 3)
     for x in (level(count[0], n), level(count[2], n), level(count[3], n), last):
         shape = shape * 7 + x
