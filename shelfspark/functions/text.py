@@ -123,109 +123,3 @@ def drop_title_crumb(crumbs: Column, title: Column) -> Column:
 def drop_repeats(path: Column) -> Column:
     """Without a segment that equals the one before it."""
     return F.filter(path, lambda x, i: (i == 0) | (x != F.get(path, i - 1)))
-
-
-def is_junk_image(u: Column) -> Column:
-    """The reason to leave an image out, or null."""
-    low = F.lower(u)
-    return (
-        F.when(u.isNull() | (u == ""), "empty").when(low.startswith("data:"), "data-url").when(low.rlike(r"\.svg(\?|$)"), "svg")
-        .when(low.rlike(r"(sprite|favicon|placeholder|spacer|blank\.gif|pixel|loading)"), "placeholder").when(low.rlike(r"(logo|icon|badge|payment|social)"), "ornament")
-        .when(low.rlike(r"(^|[/_-])(1x1|16x16|32x32)([._/-]|$)"), "tiny")
-    )
-
-
-#: Guard, pattern, replacement; guards test the URL as given, rewrites act one after another.
-CDN_RULES = [
-    (r"images\.urbndata\.com/is/image", r"\$(a15-)?pdp-detail-shot\$", r"\$redesign-zoom-5x\$"),
-    (r"images\.urbndata\.com/is/image", r"(?i)[?&](wid=\d+|hei=\d+|fit=constrain|qlt=\d+)", ""),
-    (r"bjs\.scene7\.com/is/image", r"\$bjs-[^$]+\$", r"\$bjs-zoom\$"),
-    (r"coach\.scene7\.com/is/image", r"\$desktopThumbnail\$", r"\$desktopProductZoom\$"),
-    (r"coach\.scene7\.com/is/image", r"^(?!.*wid=)(.*\?.*)$", "$1&wid=2000&qlt=90&op_usm=1.0,1.0,0.0,0"),
-    (r"coach\.scene7\.com/is/image", r"^(?!.*wid=)([^?]*)$", "$1?wid=2000&qlt=90&op_usm=1.0,1.0,0.0,0"),
-    (r"s7d2\.scene7\.com.*aeo", r"\$pdp-mdg-opt\$", r"\$pdp-md-opt\$"),
-    (r"mediahub\.boohooman\.com", r"(?i)([?&])w=(?:\d{1,3}&h=\d+|\d+&h=(?:\d{1,3}|1[0-4]\d{2}))(?!\d)", "$1w=1000&h=1500"),
-    (r"/cdn/shop/|cdn\.shopify\.com", r"(?i)_\d{2}x(\.|\?|$)", "_1020x$1"),
-    (r"/cdn/shop/|cdn\.shopify\.com", r"(?i)_[1-9]\d{2}x(\.|\?|$)", "_1020x$1"),
-    (r"/cdn/shop/|cdn\.shopify\.com", r"(?i)_[1-9]\d{2}x(?:\d{3}|0\d{3}|10[01]\d)(?!\d)", "_1020x1020"),
-    (r"cdn\.shocho\.co", r"(?i)\?i10c=img\.resize\([^)]+\)", ""),
-    (r"cdn-tp3\.mozu\.com", r"(?i)\?max=\d+", "?quality=60"),
-    (r"cdn-tp3\.mozu\.com", r"(?i)(\?quality=\d+).*$", "$1"),
-    (r"content\.backcountry\.com/images/items/large/", r"(?i)/large/", "/1200/"),
-    (r"media\.kohlsimg\.com", r"(?i)([?&])(wid|hei)=\d+", "$1$2=1500"),
-    (r"res\.cloudinary\.com", r"w_(?:\d{1,2}|[1-4]\d{2}|500)(?!\d)", "w_1280"),
-    (r"thereformation\.com", r"/w_(?:\d{1,2}|[1-4]\d{2}|500)/", "/w_1000/"),
-    (r"thereformation\.com", r"/dpr_2\.0/", "/dpr_3.0/"),
-    (r"i\.etsystatic\.com", r"il_(300x300|340x270|500x400|600x480)", "il_1200x1200"),
-    (r"ikea\.com/.*/images/", r"\?f=(xxs|xs|s|m|l|xxl|xl|u)", "?f=xxxl"),
-    (r"ikea\.com/.*/images/", r"(?i)^(?!.*\?f=)(?=.*\.(?:jpg|png|webp))(.*\?.*)$", "$1&f=xxxl"),
-    (r"ikea\.com/.*/images/", r"(?i)^(?!.*\?f=)(?=.*\.(?:jpg|png|webp))([^?]*)$", "$1?f=xxxl"),
-    (r"prodimg/\d+/", r"(?i)/\d+\.jpg$", "/900.jpg"),
-    (r"prodimg/\d+/", r"(?i)/(\d+)_\d+\.jpg$", "/$1_900.jpg"),
-    (r"ltwebstatic\.com", r"(?i)_thumbnail_\d+x\d*(?=\.)", ""),
-    (r"kwcdn\.com", r"/w/(?:\d{1,3}|1[01]\d{2})/", "/w/1200/"),
-    (r"kwcdn\.com", r"/q/[0-8]?\d/", "/q/90/"),
-    (r"asset\.swarovski\.com", r"(?i)\$size_\d+", r"\$size_2000"),
-    (r"asset\.swarovski\.com", r"(?i)\bw_(?:\d{1,3}|1\d{3})(?!\d)", "w_2000"),
-    (r"revolveassets\.com/images/p4/n/ct/", r"(?i)/ct/", "/uv/"),
-]
-
-
-def upgrade_cdn(u: Column) -> Column:
-    """The large version of an image URL. Hosts without a rule leave after one test."""
-    out = u
-    for guard, pattern, to in CDN_RULES:
-        # a pattern that never matches where the guard fails: the expression grows by one call a rule
-        out = F.regexp_replace(out, F.when(u.rlike(f"(?i){guard}"), pattern).otherwise("(?!)"), F.lit(to))
-    square = F.greatest(F.regexp_extract(u, r"(?i)s(\d+)x\d+", 1).try_cast("int"), F.regexp_extract(u, r"(?i)s\d+x(\d+)", 1).try_cast("int")).cast("string")
-    out = F.when(u.rlike(r"(?i)prodimage\.images-bn\.com") & square.isNotNull(), F.regexp_replace(out, F.lit(r"(?i)s\d+x\d+"), F.concat(F.lit("s"), square, F.lit("x"), square))).otherwise(out)
-    known = u.rlike("(?i)" + "|".join(dict.fromkeys([g for g, _, _ in CDN_RULES] + [r"prodimage\.images-bn\.com"])))
-    return F.regexp_replace(F.regexp_replace(F.when(known, out).otherwise(u), r"\?(&|$)", ""), "&$", "")
-
-
-#: Points for a URL that a pattern is found in.
-URL_POINTS = [
-    (10, r"\.(webp|avif)($|\?)"), (10, r"(format|fm)=(webp|avif)"), (8, "f_auto"), (25, r"\b(assets?|static|cdn|media|img)\."), (15, r"\b(mozu\.com|cloudinary\.com|imgix\.net|shopify\.com|fastly\.com)\b"),
-    (40, r"\b[A-Z]\d{4}[A-Z]?\b"), (20, r"\bproduct"), (15, "/(product|main|hero|detail|primary)"), (-30, "/(thumb|small|mini|icon)"), (40, "/PDP_|_PDP_|product-detail"), (-40, "/PLP_|_PLP_|product-list"),
-    (-70, r"\b(womens?-clothing|mens?-clothing|best-sellers?|new-arrivals?|accessories|shop-by|featured-edit|wellness|searchburger)\b"), (-150, r"_NAV_|/NAV/|-NAV-|NAV_WOMEN|NAV_MEN|NAV_DESK|_DESK(?:TOP)?_|LIFESTYLE_DESK|JOURNAL_|STORES_NAV"),
-    (-200, "(flyout|banner|advertisement|campaign|marketing|bullet-point|feedback)"), (-200, r"\b(ad|logo|bg|background|header|footer|nav|navigation|menu|sidebar)\b"), (-80, r"\b(sprite|icon|badge|placeholder|loading|spinner|pixel\.gif|grey-pixel)\b"),
-    (-10, "logo"), (-55, r"\b(warranty|insurance|coverage|support|claim)\b"), (-45, "aicid=community"), (-45, "community-reviews"),
-]
-#: Patterns of a size in a URL; the largest counts.
-SIZES = [r"(?:max|w|width|imwidth|imageWidth)=([0-9]+)", r"_(\d+)x\d*(?:_|\.|$)", r"(\d+)x\d+(?:_|\.|$)", r"\b([0-9]{3,4})(?:w|h|px)(?:_|\.|$)", r"[?&]\$n_(\d+)w?\b", r"[wh](\d+)_"]
-#: Points for the selector and for class and id of the element.
-CLASS_POINTS = [
-    (50, r"\b(main|hero|primary|featured|gallery-main|product-gallery|media-gallery|image-gallery|product-media|slideshow|carousel|zoom-gallery)\b"), (35, r"\b(gallery|product-thumb|media-item|slide-item|zoom-item)\b"),
-    (-10, r"\b(thumb|thumbnail|small|mini|icon)\b"), (-60, r"\b(banner|ad|sidebar|nav|navigation|header|footer|menu|cross-sell|upsell|related|recommended)\b"), (-70, "nav-|-nav|Sept.*Nav"),
-]
-GOOD_SELECTOR = "modal-opener|product__modal|zoom-gallery|product-gallery|slideshow-main|carousel-product|media-viewer|product__media-viewer|detail_zoom|prd-detail|detail.*zoom"
-FAIR_SELECTOR = "slidecount|mainimage|main-image|primary.*image|slideshow|carousel-main|gallery-container|detail|zoom"
-BAD_SELECTOR = "lb-spc|lightbox.*shop|recommendation|cross-sell|related-products|you-may-also|recently-viewed|upsell-product|prd-card|card_imagecontainer|product-card|item-card"
-
-
-def image_score(u: Column, pos: Column, from_srcset: Column, selector: Column | None = None, class_id: Column | None = None, width: Column | None = None, height: Column | None = None, from_zoom: Column | None = None, from_large: Column | None = None) -> Column:
-    """Additive integer score of an image, at least 0."""
-    no, empty, unknown = F.lit(False), F.lit(""), F.lit(0)
-    selector, class_id = F.coalesce(empty if selector is None else selector, empty), F.coalesce(empty if class_id is None else class_id, empty)
-    width, height = F.coalesce(unknown if width is None else width, unknown), F.coalesce(unknown if height is None else height, unknown)
-    add = lambda cond, n: F.when(cond, n).otherwise(0)
-    number = lambda p: F.regexp_extract(u, f"(?i){p}", 1).try_cast("int")
-    thumb, px = number(r"_(?:AC_)?(?:US|SS|SY|SR|UL)(\d+)(?:_|\.)"), F.greatest(*[number(p) for p in SIZES])
-    quality = F.coalesce(*[number(p) for p in (r"quality=([0-9]+)", r"q_([0-9]+)", r"q([0-9]+)")])
-    ratio = width / F.nullif(height, F.lit(0))
-    parts = [
-        F.when(thumb <= 40, -60).when(thumb <= 64, -50).when(thumb <= 100, -40).when(thumb <= 200, -20).when(thumb >= 800, 25).when(thumb >= 400, 15).otherwise(0),
-        F.when(px >= 1200, 100).when(px >= 800, 80).when(px >= 600, 60).when(px >= 400, 30).when((px > 0) & (px < 200), 10).otherwise(0),
-        F.when(quality >= 90, 20).when(quality >= 80, 15).when(quality >= 70, 10).when(quality < 50, -15).otherwise(0),
-        *[add(u.rlike(f"(?i){p}"), n) for n, p in URL_POINTS], add(u.rlike(r"(?i)\.png") & u.rlike(r"(?i)\b(truck|delivery|hanger)\b"), -20),
-        add(pos < 10, 30), add(pos < 5, 10), add(pos < 3, 10), add(pos < 1, 10), add(from_srcset, 15), add(no if from_zoom is None else from_zoom, 25), add(no if from_large is None else from_large, 20),
-        F.when(selector.rlike(f"(?i){GOOD_SELECTOR}"), 25).when(selector.rlike(f"(?i){FAIR_SELECTOR}"), 20).otherwise(0), add(selector.rlike(f"(?i){BAD_SELECTOR}"), -40),
-        *[add(class_id.rlike(f"(?i){p}"), n) for n, p in CLASS_POINTS],
-        F.when((ratio > 3) | ((ratio < 0.3) & (ratio > 0)), -40).otherwise(0), add(ratio.between(0.8, 1.5), 15),
-    ]
-    return F.greatest(F.lit(0), sum(parts, F.lit(50)))
-
-
-def estimated_bytes(u: Column) -> Column:
-    px = F.regexp_extract(F.lower(u), r"(\d{3,4})x", 1).try_cast("int")
-    return F.when(px >= 1000, 100000).when(px >= 600, 60000).when(px >= 300, 25000).when(px < 300, 8000).otherwise(30000)

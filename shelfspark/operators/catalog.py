@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import images as img
 from ..functions import rules, text
 
 
@@ -16,30 +17,44 @@ def tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules.TAGS, "name string, tag_type string")
 
 
-def category_paths(cats: DataFrame, depth: int = 6) -> DataFrame:
-    """category_id, path from the root; a node whose parent is missing starts its own path. Top-down, a join a level: the
-    taxonomy is a dictionary of bounded depth."""
-    cats.createOrReplaceTempView("shelfspark_categories")
-    return cats.sparkSession.sql("""
-        WITH RECURSIVE p(category_id, path, depth) AS (
-          SELECT c.category_id, c.name, 0 FROM shelfspark_categories c LEFT ANTI JOIN shelfspark_categories q ON c.parent_id = q.category_id
-          UNION ALL SELECT c.category_id, concat(p.path, ' > ', c.name), p.depth + 1 FROM p JOIN shelfspark_categories c ON c.parent_id = p.category_id)
-        SELECT category_id, path, depth FROM p""")
+def category_paths(cats: DataFrame) -> DataFrame:
+    """category_id, path from the root, depth; a node whose parent is missing starts its own path. Top-down, a join a level: a
+    taxonomy is a dictionary of few levels. Spark stops a recursion of over 100 levels, and so a cycle, with an error; nodes that
+    only a cycle leads to have no path."""
+    return cats.sparkSession.sql(
+        """WITH RECURSIVE p(category_id, path, depth) AS (
+          SELECT c.category_id, c.name, 0 FROM {cats} c LEFT ANTI JOIN {cats} q ON c.parent_id = q.category_id
+          UNION ALL SELECT c.category_id, concat(p.path, ' > ', c.name), p.depth + 1 FROM p JOIN {cats} c ON c.parent_id = p.category_id)
+        SELECT category_id, path, depth FROM p""",
+        cats=cats,
+    )
 
 
-def subtree(cats: DataFrame, root: str) -> DataFrame:
-    cats.createOrReplaceTempView("shelfspark_categories")
+def subtree(cats: DataFrame, root: str, seed_only: bool = False) -> DataFrame:
+    """category_id of the root of that name and of all below it; seed_only: not beyond nodes that a model found."""
+    within = "c.llm_discovered = 0" if seed_only else "true"
     return cats.sparkSession.sql(
-        """
-        WITH RECURSIVE d(category_id) AS (SELECT category_id FROM shelfspark_categories WHERE name = :root AND parent_id IS NULL
-          UNION ALL SELECT c.category_id FROM d JOIN shelfspark_categories c ON c.parent_id = d.category_id)
+        f"""WITH RECURSIVE d(category_id) AS (SELECT category_id FROM {{cats}} c WHERE name = :root AND parent_id IS NULL AND {within}
+          UNION ALL SELECT c.category_id FROM d JOIN {{cats}} c ON c.parent_id = d.category_id WHERE {within})
         SELECT DISTINCT category_id FROM d""",
         args={"root": root},
+        cats=cats,
+    )
+
+
+def subtree_sizes(cats: DataFrame) -> DataFrame:
+    """category_id and the number of nodes below it, itself included, from each node's ancestors."""
+    up = cats.sparkSession.sql(
+        """WITH RECURSIVE u(category_id, above) AS (SELECT category_id, category_id FROM {cats}
+          UNION ALL SELECT u.category_id, c.parent_id FROM u JOIN {cats} c ON c.category_id = u.above WHERE c.parent_id IS NOT NULL)
+        SELECT above AS category_id, count(*) AS n FROM u GROUP BY above""",
+        cats=cats,
     )
+    return up.join(cats.select("category_id"), "category_id", "left_semi")
 
 
 def keep_one(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """One row for each key, nulls being a key of their own, with ``kept_id`` for the others to be pointed at."""
+    """df with ``rank_in_key``, 1 for the row of each key that stays; nulls are a key of their own."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("rank_in_key", F.row_number().over(w))
 
@@ -57,22 +72,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, key, "full_outer").select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in cols])
 
 
-def match_tags(products: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, tag_type) for every tag whose words stand together in the text. Texts are cut into windows of as many words
-    as the dictionary's tags have, which meet the dictionary in an equi-join, so the cost follows the text and not text x tags."""
-    lengths = [r[0] for r in dictionary.select(F.size(F.split("name", " ")).alias("n")).distinct().collect()]  # a handful
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9-]+"), lambda x: x != "")
-    grams = F.flatten(F.array(*[_windows(n) for n in lengths]))
-    found = products.select(id_col, words.alias("w")).select(id_col, F.explode(F.array_distinct(grams)).alias("name"))
-    hits = found.join(dictionary, "name")
-    blocked = hits.where("name LIKE '% %' AND tag_type = 'materials'").select(id_col, F.element_at(F.split("name", " "), -1).alias("name")).distinct()
-    return hits.join(blocked, [id_col, "name"], "left_anti").select(id_col, "name", "tag_type")
-
-
-def _windows(n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-
-
 def confidence(types: Column) -> Column:
     total = sum((F.when(F.array_contains(types, k), v).otherwise(0) for k, v in rules.CONFIDENCE.items()), F.lit(0))
     return (F.least(total, F.lit(95)) / 100).cast("decimal(3,2)")
@@ -88,12 +87,6 @@ def phrase_override(c: Column) -> Column:
     return out
 
 
-def gender(*tiers: Column) -> Column:
-    """The first tier in which exactly one gender is found; else unisex."""
-    found = [F.array_compact(F.array(*[F.when(t.rlike(p), g) for g, p in rules.GENDER.items()])) for t in tiers]
-    return F.coalesce(*[F.when(F.size(f) == 1, f[0]) for f in found], F.lit("unisex"))
-
-
 def canonical_tag(name: Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in rules.TAG_CANONICALS.items() for x in kv])
     return F.coalesce(F.try_element_at(m, name), name)
@@ -117,35 +110,92 @@ def path_similarity(a: Column, b: Column) -> Column:
 
 
 def best_path(suggested: DataFrame, paths: DataFrame, least: float = 0.8) -> DataFrame:
-    """suggested(path) -> path, match, score: joined on depth with the taxonomy, which is a dictionary."""
-    s = suggested.withColumn("d", F.size(F.split("path", " > ")))
-    p = paths.select(F.col("path").alias("match"), F.size(F.split("path", " > ")).alias("d"))
-    scored = s.join(p, "d").withColumn("score", path_similarity(F.col("path"), F.col("match"))).where(F.col("score") >= least)
+    """suggested(path) -> path, match, score: the most similar known path, the first by name on ties. Paths meet in an equi-join on
+    their segments with plurals and synonyms taken off, so only paths that can be similar are compared."""
+    m = F.create_map(*[F.lit(x.rstrip("s")) for k, v in PATH_SYNONYMS.items() for x in (k, v)])
+    stem = lambda x: F.regexp_replace(F.lower(F.trim(x)), "s+$", "")
+    base = lambda p: F.array_join(F.transform(F.split(p, " > "), lambda x: F.coalesce(F.try_element_at(m, stem(x)), stem(x))), " > ")
+    s = suggested.select("path").distinct().withColumn("base", base(F.col("path")))
+    p = paths.select(F.col("path").alias("match")).distinct().withColumn("base", base(F.col("match")))
+    scored = s.join(p, "base").withColumn("score", path_similarity(F.col("path"), F.col("match"))).where(F.col("score") >= least)
     w = Window.partitionBy("path").orderBy(F.desc("score"), "match")
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("path", "match", "score")
 
 
-def rank_images(images: DataFrame, page: str = "page_id", keep: int = 50) -> DataFrame:
-    """Rewrites, filters, scores, keeps the best of each canonical key (first on ties) and ranks within the page."""
-    i = images.withColumn("url", text.upgrade_cdn(F.col("url"))).where(text.is_junk_image(F.col("url")).isNull())
-    i = i.withColumns({"score": text.image_score(F.col("url"), F.col("pos"), F.col("from_srcset")), "canonical": text.canonical_image_key(F.col("url")), "bytes": text.estimated_bytes(F.col("url"))}).where("score >= 40")
-    best = Window.partitionBy(page, "canonical").orderBy(F.desc("score"), "pos")
-    i = i.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+def rank_images(images: DataFrame, page: str = "page_id", keep: int = 30) -> DataFrame:
+    """Images of a page, best first: junk and low scores go (both by the URL as it is found), the rest get their large version,
+    the best of each canonical key stays (the first on ties), and small files go. One aggregate, which combines before the
+    shuffle, and one window over the few images of a page."""
+    u = F.col("url")
+    i = images.where(img.is_real_url(u) & ~img.is_junk(u) & img.junk_reason(u).isNull()).withColumn("score", img.image_score(u, F.col("pos"), F.col("from_srcset"))).where("score >= 40")
+    i = i.withColumn("large", img.upgrade_cdn(u))
+    best = F.max(F.struct("score", (-F.col("pos")).alias("pos"), "large", "from_srcset")).alias("b")
+    b = i.groupBy(page, text.canonical_image_key(F.col("large")).alias("canonical")).agg(best).select(page, "canonical", "b.score", (-F.col("b.pos")).alias("pos"), F.col("b.large").alias("url"), "b.from_srcset")
+    b = b.where(img.large_enough(F.col("url"), F.col("score"))).withColumn("bytes", img.estimated_bytes(F.col("url")))
     order = Window.partitionBy(page).orderBy(F.desc("score"), F.desc("bytes"), "pos")
-    return i.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    return b.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+
+
+def product_star(products: DataFrame, tags: DataFrame, categories: DataFrame, paths: DataFrame, id_col: str) -> DataFrame:
+    """Products with their tags (name, type) and categories (name, level, full_path), and the path of the deepest category (the
+    smallest id on ties). Bridges are aggregated before they meet the products, so nothing multiplies.
+    tags: (id, name, tag_type); categories: (id, category_id, name, level); paths: (category_id, path)."""
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    t = tags.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("name", F.col("tag_type").alias("type")))).alias("tag_details"))
+    c = categories.join(paths.groupBy("category_id").agg(F.min("path").alias("full_path")), "category_id", "left")
+    c = c.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("name", "level", "full_path"))).alias("category_details"), F.max_by("full_path", F.struct("level", -F.col("category_id"))).alias("category_full_path"))
+    out = products.join(t, id_col, "left").join(c, id_col, "left")
+    return out.withColumns({"tag_details": none(F.col("tag_details"), "array<struct<name:string,type:string>>"), "category_details": none(F.col("category_details"), "array<struct<name:string,level:int,full_path:string>>")})
+
+
+def raw_and_product(scraped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scraped records (url, title, brand, description, price, ts) as rows of the raw table and of the products: ids are hashes
+    of URL and time, so that a record saved again has the same; a new product has no tags, no category and confidence 0."""
+    s = scraped.withColumn("raw_id", F.xxhash64("url", "ts"))
+    product = s.select(F.xxhash64("raw_id").alias("product_id"), "raw_id", F.coalesce("title", F.lit("Untitled")).alias("title"), "brand", "description", text.saved_price(F.col("price")).alias("price"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("category"), F.lit(0.0).alias("confidence_score"))
+    return s, product
+
+
+def replace_bridges(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The bridge table after the keys in new have got exactly new's rows, once each."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.distinct())
+
+
+def create_categories(asked: DataFrame, cats: DataFrame) -> DataFrame:
+    """asked (seq, name, parent_id) with slug and status: "required" (blank name), "exists" (name and parent), "same slug" (slug
+    and parent), or "created" for the first of a slug and parent, "same slug" for the rest."""
+    a = asked.withColumn("slug", text.slug(F.col("name")))
+    by = lambda c: cats.select(F.col(c).alias(f"known_{c}"), F.col("parent_id").alias(f"parent_{c}")).distinct()
+    slugs = cats.withColumn("slug", text.slug(F.col("name")))
+    n, s = by("name"), slugs.select(F.col("slug").alias("known_slug"), F.col("parent_id").alias("parent_slug")).distinct()
+    d = a.join(n, (F.col("name") == F.col("known_name")) & F.col("parent_id").eqNullSafe(F.col("parent_name")), "left").join(s, (F.col("slug") == F.col("known_slug")) & F.col("parent_id").eqNullSafe(F.col("parent_slug")), "left")
+    first = F.row_number().over(Window.partitionBy("parent_id", "slug").orderBy("seq")) == 1
+    status = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "required").when(F.col("known_name").isNotNull(), "exists").when(F.col("known_slug").isNotNull() | ~first, "same slug").otherwise("created")
+    return d.select("seq", "name", "parent_id", "slug", status.alias("status"))
+
+
+def seed_taxonomy(cats: DataFrame, seed: DataFrame, root: str) -> DataFrame:
+    """The taxonomy with its built-in nodes and the whole subtree of root replaced by seed (category_id, name, parent_id, level);
+    nodes that a model found elsewhere stay."""
+    kept = cats.where("llm_discovered = 1").join(subtree(cats, root), "category_id", "left_anti")
+    return kept.unionByName(seed.withColumn("llm_discovered", F.lit(0)))
+
+
+def mark_touched(cats: DataFrame, touched: DataFrame) -> DataFrame:
+    """cats with llm_discovered set to 1 on the seed nodes in touched (category_id)."""
+    t = touched.select("category_id", F.lit(1).alias("t")).distinct()
+    return cats.join(t, "category_id", "left").withColumn("llm_discovered", F.greatest("llm_discovered", F.coalesce("t", F.lit(0)))).drop("t")
 
 
-def match_categories(products: DataFrame, cats: DataFrame, synonyms: dict[str, str], id_col: str, sources: dict[str, str]) -> DataFrame:
-    """(id, category_id, path, score): hits of a category's name, its plural or a synonym in each source, weighted, a name's hits
-    times the source's weight plus ten for each level of depth. sources: source -> column. Words meet names in an equi-join."""
-    names = cats.select("category_id", "name", "level", F.explode(F.array(F.lower("name"), F.concat(F.lower("name"), F.lit("s")), F.regexp_replace(F.lower("name"), "s$", ""))).alias("word"))
-    syn = cats.sparkSession.createDataFrame(list(synonyms.items()), "word string, name string")
-    names = names.unionByName(syn.join(cats, "name").select("category_id", "name", "level", "word")).select("category_id", "level", "word").distinct()
-    words = F.array(*[F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9-]+"), lambda x: x != ""), _weighted(rules.SOURCE_WEIGHTS[s])) for s, c in sources.items()])
-    w = products.select(id_col, F.explode(F.flatten(words)).alias("x")).groupBy(id_col, "x.w").agg(F.sum("x.n").alias("n"))
-    hits = w.join(F.broadcast(names), w.w == names.word).groupBy(id_col, "category_id", "level").agg(F.sum("n").alias("n"))
-    return hits.select(id_col, "category_id", (F.col("n") + 10 * F.col("level")).alias("score")).join(F.broadcast(category_paths(cats).select("category_id", "path").groupBy("category_id").agg(F.min("path").alias("path"))), "category_id")
+def merged_synonyms(built_in: DataFrame, saved: DataFrame) -> DataFrame:
+    """(synonym, name): what has been saved wins over what is built in."""
+    return built_in.join(saved.select("synonym"), "synonym", "left_anti").unionByName(saved)
 
 
-def _weighted(n: int):
-    return lambda x: F.struct(x.alias("w"), F.lit(n).alias("n"))
+def selector_lineage(images: DataFrame, selectors: DataFrame) -> DataFrame:
+    """images (url, ...) with the selector (of selectors: url, selector) that found them: by the URL, else without its protocol."""
+    bare = lambda c: F.regexp_replace(c, "^https?:", "")
+    exact = selectors.groupBy("url").agg(F.min("selector").alias("exact"))
+    loose = selectors.groupBy(bare(F.col("url")).alias("bare")).agg(F.min("selector").alias("loose"))
+    d = images.join(exact, "url", "left").withColumn("bare", bare(F.col("url"))).join(loose, "bare", "left")
+    return d.select(*images.columns, F.coalesce("exact", "loose", F.lit("unknown")).alias("selector"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.fields import described, ld_images
 from ..sources.html import html_nodes, json_ld_products
 
 #: Meta properties, in order.
@@ -26,11 +27,16 @@ def _ld(path: str) -> Column:
 
 
 def product_json_ld(pages: DataFrame) -> DataFrame:
-    """page_id with the first Product block's fields: price from offers (one or a list), then low and high price."""
-    ld = json_ld_products(pages).where(_ld("$['@type']") == "Product")
-    price = F.coalesce(*[_ld(p) for p in ("$.offers.price", "$.offers.priceSpecification.price", "$.offers.lowPrice", "$.offers.highPrice", "$.offers[0].price")])
-    fields = ld.select("page_id", _ld("$.name").alias("title"), F.coalesce(_ld("$.brand.name"), _ld("$.brand")).alias("brand"), F.coalesce(*[_ld(f"$.{k}") for k in ("sku", "productID", "gtin13", "mpn", "itemID")]).alias("sku"), _ld("$.description").alias("description"), price.alias("price"))
-    return fields.groupBy("page_id").agg(*[F.first(c, ignorenulls=True).alias(f"ld_{c}") for c in ("title", "brand", "sku", "description", "price")])
+    """page_id with the fields of the page's first Product, whole: price from offers (one or a list), then low and high price."""
+    p = json_ld_products(pages)
+    price = F.coalesce(*[_ld(p) for p in ("$.offers.price", "$.offers.priceSpecification.price", "$.offers.lowPrice", "$.offers.highPrice", "$.offers[0].priceSpecification.price", "$.offers[0].price", "$.offers[0].lowPrice", "$.offers[0].highPrice")])
+    currency = F.coalesce(_ld("$.priceCurrency"), _ld("$.offers.priceCurrency"), _ld("$.offers[0].priceCurrency"))
+    fields = F.struct(
+        _ld("$.name").alias("title"), F.coalesce(_ld("$.brand.name"), _ld("$.brand")).alias("brand"), F.coalesce(*[_ld(f"$.{k}") for k in ("sku", "productID", "gtin13", "mpn", "itemID")]).alias("sku"),
+        _ld("$.description").alias("description"), price.alias("price"), F.concat_ws(" ", currency, price).alias("money"), ld_images("ld").alias("images"), described("ld").alias("described"),
+    )
+    one = p.groupBy("page_id").agg(F.min_by(fields, F.struct("block", "item")).alias("f"))
+    return one.select("page_id", *[F.col(f"f.{c}").alias(f"ld_{c}") for c in ("title", "brand", "sku", "description", "price", "money", "images", "described")])
 
 
 def page_record(pages: DataFrame) -> DataFrame:

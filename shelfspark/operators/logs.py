@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,20 @@ def metadata(message: Column) -> Column:
     )
 
 
-def summary(log: DataFrame, key: str, last: int = 10) -> DataFrame:
-    """Counts by kind and the last messages of each key; an array keeps no more than the last ones."""
+def summary(log: DataFrame, key: str, rejections: int = 10, errors: int = 5) -> DataFrame:
+    """Of each key the counts by kind, start and end, and its last rejections and errors in order of time. Only these few rows a
+    key are gathered, after a window has ranked them."""
     m = metadata(F.col("message"))
-    return log.groupBy(key).agg(F.count("*").alias("n"), F.count_if(m["is_error"]).alias("errors"), F.count_if(m["is_rejection"]).alias("rejections"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    d = log.withColumns({"is_error": m["is_error"], "is_rejection": m["is_rejection"]})
+    counts = d.groupBy(key).agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"), F.count_if("is_rejection").alias("rejections"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+
+    def last(kind: str, n: int, name: str) -> DataFrame:
+        r = d.where(kind).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("message")))).where(F.col("r") <= n)
+        return r.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("r"), "message"))), lambda x: x["message"]).alias(name))
+
+    out = counts.join(last("is_rejection", rejections, "last_rejections"), key, "left").join(last("is_error", errors, "last_errors"), key, "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("last_rejections", "last_errors")})
 
 
 def render(log: DataFrame) -> DataFrame:

@@ -6,16 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values, in order: the first list with a word contained in the tag gives its type.
-TYPE_WORDS = [("demographic", ["men", "women", "kids", "unisex"]), ("materials", ["cotton", "leather", "wool", "silk", "steel", "brass", "copper", "tin", "wood"]), ("colors", ["red", "blue", "green", "black", "white", "yellow"]), ("fit", ["slim", "loose", "regular", "small", "large"]), ("styles", ["casual", "formal", "vintage", "modern"])]
-
-
-def classify_tag(name: Column) -> Column:
-    low, out = F.lower(name), F.lit("features")
-    for kind, words in reversed(TYPE_WORDS):
-        out = F.when(low.rlike("|".join(words)), kind).otherwise(out)
-    return out
-
+from ..functions.fields import tag_type
 
 def valid_title(c: Column) -> Column:
     return F.length(F.trim(c)).between(5, 180) & ~((F.length(c) > 20) & (F.upper(c) == c)) & ~c.rlike("(?i)^(home|menu|search|cart|login|shop)$")
@@ -33,7 +24,7 @@ def clean_brand(c: Column) -> Column:
 def new_tags(suggested: DataFrame, known: DataFrame) -> DataFrame:
     """Suggested names that no known tag has, whatever the case, with their type."""
     s = suggested.select(F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
-    return s.join(known.select(F.lower("name").alias("name")).distinct(), "name", "left_anti").select("name", classify_tag(F.col("name")).alias("tag_type"))
+    return s.join(known.select(F.lower("name").alias("name")).distinct(), "name", "left_anti").select("name", tag_type(F.col("name")).alias("tag_type"))
 
 
 def merge_tags(auto: DataFrame, ai: DataFrame, key: str) -> DataFrame:

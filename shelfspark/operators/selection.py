@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def majority(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """The commonest value of each key; of equally common ones the one that came up last. Counted before the shuffle."""
     n = df.groupBy(key, value).agg(F.count("*").alias("n"), F.min(seq).alias("first"))
-    return n.groupBy(key).agg(F.max_by(value, F.struct("n", "first")).alias(value), F.max("n").alias("n"))
+    return n.groupBy(key).agg(F.max(F.struct("n", "first", value)).alias("b")).select(key, f"b.{value}", "b.n")
 
 
 def bump_largest(df: DataFrame, key: list[str], measure: str, seq: str, bonus: int = 25) -> DataFrame:
@@ -35,3 +35,9 @@ def first_matches(df: DataFrame, key: str, seq: str, matches: Column, quota: int
 
 def ordered_union(*arrays: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*arrays)), lambda x: x.isNotNull() & (x != ""))
+
+
+def keep_best(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """Of each key the row with the largest order, as an aggregate that combines before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("best")).select(*key, "best.*")

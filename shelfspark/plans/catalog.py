@@ -5,56 +5,15 @@ Products are the rows of part: title p_name, brand p_brand, breadcrumbs and pric
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import catalog as ops
-from ..operators import extract, logs, reconcile, selection, taxonomy
-from ..sources import html
+from ..operators import selection, taxonomy
 from ..streaming import sessions
+from .registry import query, table, values
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names}))"
-
-
-CATS, TAGS = _values(rules.CATEGORIES, "category_id, name, parent_id, level, llm_discovered"), _values(rules.TAGS, "name, tag_type")
-_CONF = "CAST(least(95, " + " + ".join(f"CASE WHEN list_contains(types, '{k}') THEN {v} ELSE 0 END" for k, v in rules.CONFIDENCE.items()) + ") AS DECIMAL(18,2)) / 100"
-_MATCH = f"(SELECT DISTINCT p_partkey, t.name, t.tag_type FROM part JOIN {TAGS} t ON list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9-]+'), t.name))"
-
-
-@query("""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS page_title, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS n_links FROM pages WHERE regexp_matches(url, '^https?:', 'i')""")
-def page_counts(spark, sf_dir):
-    """Scan, parse and project; non-HTTP pages are refused."""
-    n = html.html_nodes(table(spark, sf_dir, "pages")).where("tag IN ('title', 'a')")
-    g = n.groupBy("page_id").agg(F.min_by(F.when(F.col("tag") == "title", F.trim("content")), F.when(F.col("tag") == "title", F.col("pos"))).alias("page_title"), F.count_if(F.col("tag") == "a").alias("n_links"))
-    return g
-
-
-@query()
-def page_extract(spark, sf_dir):
-    return html.page_fields(table(spark, sf_dir, "pages"))
+TAGS = values(rules.TAGS, "name, tag_type")
 
 
 @query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, md5(url) AS url_hash FROM pages""")
@@ -87,88 +46,18 @@ def product_stats(spark, sf_dir):
     return table(spark, sf_dir, "part").agg(F.count("*").alias("total"), F.countDistinct("p_type").alias("categories"), F.avg("p_size").cast("decimal(12,2)").alias("avg_size"), F.count_if(F.col("p_size") < 10).alias("small"))
 
 
-@query(f"""SELECT p_partkey, name, tag_type FROM {_MATCH}""")
-def tag_matches(spark, sf_dir):
-    return ops.match_tags(table(spark, sf_dir, "part"), F.broadcast(ops.tags(spark)), "p_partkey", "p_name")
-
-
-@query(f"""SELECT p.p_partkey, p.p_name, coalesce(t.tags, []) AS tags, {_CONF} AS confidence, CASE WHEN {_CONF} < 0.70 THEN true ELSE false END AS needs_enrichment FROM part p LEFT JOIN
-  (SELECT p_partkey, list_sort(list(name)) AS tags, list(DISTINCT tag_type) AS types FROM {_MATCH} GROUP BY 1) t USING (p_partkey)""".replace("list_contains(types", "list_contains(coalesce(t.types, [])"))
-def tagged_products(spark, sf_dir):
-    """Products with their tags: the bridge is aggregated before the join, so nothing fans out."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    t = ops.match_tags(p, F.broadcast(ops.tags(spark)), "p_partkey", "p_name").groupBy("p_partkey").agg(F.array_sort(F.collect_list("name")).alias("tags"), F.collect_set("tag_type").alias("types"))
-    none = F.array().cast("array<string>")
-    d = p.join(t, "p_partkey", "left").withColumn("confidence", ops.confidence(F.coalesce("types", none)))
-    return d.select("p_partkey", "p_name", F.coalesce("tags", none).alias("tags"), F.col("confidence").cast("decimal(18,2)").cast("double").alias("confidence"), (F.col("confidence") < 0.7).alias("needs_enrichment"))
-
-
-@query(f"""WITH RECURSIVE c AS {CATS}, p AS (SELECT category_id, name AS path, 0 AS depth FROM c WHERE parent_id IS NULL OR parent_id NOT IN (SELECT category_id FROM c)
-  UNION ALL SELECT c.category_id, p.path || ' > ' || c.name, p.depth + 1 FROM p JOIN c ON c.parent_id = p.category_id) SELECT category_id, path, depth FROM p""")
-def category_paths(spark, sf_dir):
-    return ops.category_paths(ops.categories(spark))
-
-
-@query(f"""WITH RECURSIVE c AS {CATS}, d AS (SELECT category_id FROM c WHERE name = 'Fashion' AND parent_id IS NULL UNION ALL SELECT c.category_id FROM d JOIN c ON c.parent_id = d.category_id)
-  SELECT category_id, name FROM c WHERE category_id NOT IN (SELECT category_id FROM d)""")
-def subtree_delete(spark, sf_dir):
-    c = ops.categories(spark)
-    return c.join(ops.subtree(c, "Fashion"), "category_id", "left_anti").select("category_id", "name")
-
-
-@query(f"""WITH c AS {CATS}, r AS (SELECT *, row_number() OVER (PARTITION BY name, parent_id ORDER BY llm_discovered DESC, category_id) AS rn FROM c) SELECT category_id, name, parent_id FROM r WHERE rn = 1""")
-def dedupe_categories(spark, sf_dir):
-    """Of twins, the one a model found stays; a null parent groups like a value."""
-    return ops.keep_one(ops.categories(spark), ["name", "parent_id"], F.desc("llm_discovered"), F.col("category_id")).where("rank_in_key = 1").select("category_id", "name", "parent_id")
-
-
-@query(f"""WITH c AS {CATS} SELECT a.category_id FROM c a WHERE a.llm_discovered = 1 AND EXISTS (SELECT 1 FROM c b WHERE b.name = a.name AND b.parent_id IS NOT DISTINCT FROM a.parent_id AND b.category_id <> a.category_id)""")
-def twin_categories(spark, sf_dir):
-    a, b = ops.categories(spark).alias("a"), ops.categories(spark).alias("b")
-    twin = (F.col("a.name") == F.col("b.name")) & F.col("a.parent_id").eqNullSafe(F.col("b.parent_id")) & (F.col("a.category_id") != F.col("b.category_id"))
-    return a.where("llm_discovered = 1").join(b, twin, "left_semi").select("category_id")
-
-
-@query(f"""WITH c AS {CATS} SELECT category_id, count(*) OVER (PARTITION BY parent_id, name) AS n_twins FROM c""")
-def twin_counts(spark, sf_dir):
-    return ops.categories(spark).select("category_id", F.count("*").over(Window.partitionBy("parent_id", "name")).alias("n_twins"))
-
-
-@query(f"""WITH c AS {CATS} SELECT level, count(*) AS n, list_sort(list(name)) AS names FROM c GROUP BY level""")
-def level_view(spark, sf_dir):
-    return ops.categories(spark).groupBy("level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
-
-
-@query(f"""SELECT tag_type, count(*) AS n, string_agg(name, ', ' ORDER BY name) AS names FROM {TAGS} GROUP BY tag_type""")
-def tags_by_type(spark, sf_dir):
-    return ops.tags(spark).groupBy("tag_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
-
-
 @query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_brand = 'Brand#11' AND p_retailprice >= 900 ORDER BY p_retailprice DESC, p_partkey LIMIT 50""")
 def product_list(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_brand = 'Brand#11' AND p_retailprice >= 900")
     return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "p_name", "p_retailprice")
 
 
-@query("""SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal
-  FROM (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) n ON o.c_custkey = n.c_custkey""")
-def upsert_products(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return ops.upsert(c.where("c_custkey % 3 <> 0"), new, "c_custkey")
-
-
 @query(f"""SELECT name FROM {TAGS} UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part""")
 def insert_absent_tags(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct()
     return ops.insert_absent(words, ops.tags(spark).select("name"), ["name"])
 
 
-@query("""SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM events GROUP BY user_id""")
-def session_totals(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
-
-
 @query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_windows(spark, sf_dir):
@@ -185,18 +74,6 @@ def repeated_events(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).where("n > 1")
 
 
-@query("""SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 10""")
-def last_ten(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 10").select("event_id", "user_id", "ts")
-
-
-@query("""SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
-def fresh_cache(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("now"))), F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAYS")).select("event_id", "event_type")
-
-
 @query("""SELECT event_type, count(*) AS n, avg(CAST(props->>'$.k' AS DOUBLE)) AS avg_k, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY event_type""")
 def event_props(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -218,52 +95,12 @@ def best_of_group(spark, sf_dir):
     return o.groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), F.col("b.o_totalprice").alias("o_totalprice"))
 
 
-@query("""SELECT n.n_name, r.r_name, count(s.s_suppkey) AS suppliers, count(DISTINCT s.s_suppkey) FILTER (WHERE s.s_acctbal > 0) AS solvent FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2""")
-def star_join(spark, sf_dir):
-    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
-    s = s.groupBy("s_nationkey").agg(F.count("*").alias("suppliers"), F.count_if(F.col("s_acctbal") > 0).alias("solvent"))
-    d = n.join(r, n.n_regionkey == r.r_regionkey, "left").join(s, n.n_nationkey == s.s_nationkey, "left")
-    return d.select("n_name", "r_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.coalesce("solvent", F.lit(0)).alias("solvent"))
-
-
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n"))
 
 
-@query()
-def path_reconciliation(spark, sf_dir):
-    """Suggested paths against the taxonomy; tests hold the scores."""
-    s = spark.createDataFrame([("Fashion > Accessories > Bags > Purse",), ("Fashion > Accessory",), ("Hardware > Widget",), ("Fashion > Clothing > Shorts",)], "path string")
-    return ops.best_path(s, ops.category_paths(ops.categories(spark)))
-
-
-@query()
-def image_ranking(spark, sf_dir):
-    """Candidate images of parts: rewritten, filtered, scored, deduplicated and ranked for each product."""
-    p = table(spark, sf_dir, "part")
-    base = F.concat(F.lit("https://cdn.shopify.com/s/files/1/products/"), F.replace("p_name", F.lit(" "), F.lit("-")))
-    urls = F.array(*[F.struct(F.concat(base, F.lit(s)).alias("url"), F.lit(i).alias("pos"), F.lit(i == 1).alias("from_srcset")) for i, s in enumerate(("_94x.jpg", "_640x.jpg?v=1", "-back_1200x1200.webp", "-logo.png", ".svg"))])
-    return ops.rank_images(p.select(F.col("p_partkey").alias("page_id"), F.explode(urls).alias("i")).select("page_id", "i.*"))
-
-
-@query()
-def gender_and_override(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    title = F.concat(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, " dog bed for women").when(F.col("p_size") % 3 == 1, " tanning bed").otherwise(" men and women"))
-    return p.select("p_partkey", ops.gender(F.lit(""), title).alias("gender"), ops.phrase_override(title).alias("path"), ops.canonical_tag(F.split("p_name", " ")[1]).alias("tag"))
-
-
-SEED = [(1, "Hardware", 0), (2, "Widgets", 1), (3, "Red Widgets", 2), (4, "Gears", 1), (5, "Fashion", 0), (6, "Bags", 1), (7, "Bags", 2), (8, "Shoes", 1)]
-
-
-@query(f"""WITH s AS {_values(SEED, "seq, name, level")}, a AS (SELECT *, last_value(CASE WHEN level = 0 THEN name END IGNORE NULLS) OVER w AS l0, last_value(CASE WHEN level = 1 THEN name END IGNORE NULLS) OVER w AS l1
-  FROM s WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT seq, name, level, CASE level WHEN 0 THEN name WHEN 1 THEN l0 || ' > ' || name ELSE l0 || ' > ' || l1 || ' > ' || name END AS path FROM a""")
-def ancestor_paths(spark, sf_dir):
-    return taxonomy.ancestor_paths(spark.createDataFrame(SEED, "seq int, name string, level int"))
-
-
 @query("""SELECT p_partkey, CASE WHEN r = 1 THEN s ELSE s || '-' || (r - 1) END AS slug FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)""")
 def unique_slugs(spark, sf_dir):
     return taxonomy.unique_slugs(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "slug")
@@ -288,60 +125,7 @@ def synonyms_latest(spark, sf_dir):
     return taxonomy.save_synonyms(c.limit(0), c)
 
 
-@query("""WITH n AS (SELECT l_orderkey, l_suppkey, count(*) AS n, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, f DESC, l_suppkey DESC) AS r FROM n) WHERE r = 1""")
-def majority_value(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    n = li.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("f"))
-    return n.groupBy("l_orderkey").agg(F.max(F.struct("n", "f", "l_suppkey")).alias("b")).select("l_orderkey", "b.l_suppkey", "b.n")
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity > 20 AND sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) <= 3 AS in_quota FROM lineitem""")
 def first_matches(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     return selection.first_matches(li, "l_orderkey", "seq", F.col("l_quantity") > 20).select("l_orderkey", "l_linenumber", "l_suppkey", "in_quota")
-
-
-@query(f"""SELECT DISTINCT w AS name, CASE WHEN regexp_matches(w, 'men|women|kids|unisex') THEN 'demographic' WHEN regexp_matches(w, 'cotton|leather|wool|silk|steel|brass|copper|tin|wood') THEN 'materials' WHEN regexp_matches(w, 'red|blue|green|black|white|yellow') THEN 'colors'
-  WHEN regexp_matches(w, 'slim|loose|regular|small|large') THEN 'fit' WHEN regexp_matches(w, 'casual|formal|vintage|modern') THEN 'styles' ELSE 'features' END AS tag_type FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part) WHERE w <> '' AND w NOT IN (SELECT name FROM {TAGS})""")
-def new_tags(spark, sf_dir):
-    s = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("name"))
-    return reconcile.new_tags(s, F.broadcast(ops.tags(spark)))
-
-
-@query("""SELECT p_brand, name, source FROM (SELECT p_brand, name, source, row_number() OVER (PARTITION BY p_brand, lower(name) ORDER BY source DESC, p_partkey) AS r FROM
-  (SELECT p_brand, p_name AS name, p_partkey, 'AUTO' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_brand, upper(p_name), p_partkey, 'AI' FROM part WHERE p_partkey % 2 = 1)) WHERE r = 1""")
-def merge_tags(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("seq", F.col("p_partkey"))
-    auto, ai = p.where("p_partkey % 2 = 0").withColumn("name", F.col("p_name")), p.where("p_partkey % 2 = 1").withColumn("name", F.upper("p_name"))
-    return reconcile.merge_tags(auto, ai, "p_brand")
-
-
-@query(f"""SELECT p_partkey, name, tag_type FROM {_MATCH} WHERE CASE WHEN p_partkey % 3 = 0 THEN tag_type IN ('colors', 'materials', 'patterns', 'styles', 'fit', 'occasions', 'features') WHEN p_partkey % 3 = 1 THEN tag_type IN ('materials', 'features', 'finishes', 'colors') ELSE true END""")
-def department_tags(spark, sf_dir):
-    m = ops.match_tags(table(spark, sf_dir, "part"), F.broadcast(ops.tags(spark)), "p_partkey", "p_name")
-    dept = F.when(F.col("p_partkey") % 3 == 0, "Fashion").when(F.col("p_partkey") % 3 == 1, "Hardware").otherwise("Toys")
-    return m.where(taxonomy.allowed_types(dept, F.col("tag_type")))
-
-
-@query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, 0 AS rejections, min(ts) AS started, max(ts) AS ended FROM events GROUP BY user_id""")
-def log_summary(spark, sf_dir):
-    return logs.summary(table(spark, sf_dir, "events").withColumn("message", F.col("event_type")), "user_id")
-
-
-@query()
-def merge_twins(spark, sf_dir):
-    """Bridges re-pointed to the categories that stay; the test holds the rows."""
-    c = ops.categories(spark)
-    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 14 + 1).cast("int").alias("category_id"))
-    return taxonomy.merge_twins(c, b)[1]
-
-
-@query()
-def page_record(spark, sf_dir):
-    return extract.page_record(table(spark, sf_dir, "pages"))
-
-
-@query(f"""WITH n AS (SELECT category_id, level, unnest(list_distinct([lower(name), lower(name) || 's', regexp_replace(lower(name), 's$', '')])) AS w FROM {CATS} UNION SELECT category_id, level, 'ring' FROM {CATS} WHERE name = 'Widgets'),
-  t AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT p_partkey, category_id, CAST(1000 * count(*) + 10 * level AS BIGINT) AS score FROM t JOIN (SELECT DISTINCT * FROM n) n USING (w) GROUP BY p_partkey, category_id, level""")
-def category_matches(spark, sf_dir):
-    return ops.match_categories(table(spark, sf_dir, "part"), ops.categories(spark), {"ring": "Widgets"}, "p_partkey", {"title": "p_name"}).select("p_partkey", "category_id", "score")

@@ -23,10 +23,27 @@ def selector_memory(spark: SparkSession, path: str) -> DataFrame:
     return e.select("host", "field", F.from_json("json", entry).alias("e")).select("host", "field", "e.selectors", "e.attr")
 
 
-def last_history(history: DataFrame, keep: int = 10) -> DataFrame:
-    w = Window.partitionBy("host").orderBy(F.desc("ts"))
+def last_history(history: DataFrame, *ties: str, keep: int = 10) -> DataFrame:
+    """The last entries of each host, entries of one time in the order of ties."""
+    w = Window.partitionBy("host").orderBy(F.desc("ts"), *ties)
     return history.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")
 
 
 def fresh(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return cache.where(F.col("ts") >= now - F.make_interval(days=F.lit(days)))
+
+
+def put(cache: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
+    """The cache after new's rows have taken the place of those with their keys."""
+    return cache.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*cache.columns))
+
+
+def delete(cache: DataFrame, keys: DataFrame, key: str = "url") -> DataFrame:
+    return cache.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def delete_fields(memory: DataFrame, gone: DataFrame) -> DataFrame:
+    """Selector memory (host, field, ...) without the pairs in gone (host, field; a null field stands for all of its host). A host
+    without a field left is gone with its last row."""
+    whole, some = gone.where("field IS NULL"), gone.where("field IS NOT NULL")
+    return memory.join(whole.select("host").distinct(), "host", "left_anti").join(some.select("host", "field").distinct(), ["host", "field"], "left_anti").select(*memory.columns)

@@ -40,8 +40,8 @@ class _Nodes(HTMLParser):
 NODE = "page_id long, pos int, parent int, tag string, attrs map<string,string>, content string"
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """page_id, pos (document order), parent, tag, attrs, content (own text)."""
+def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id, pos (document order), parent, tag, attrs, content (own text); tags: only these leave the parser."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,22 +49,35 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             for page, html in zip(pdf["page_id"], pdf["html"]):
                 p = _Nodes()
                 p.feed(html or "")
-                out += [(page, i, *r) for i, r in enumerate(p.rows)]
+                out += [(page, i, *r) for i, r in enumerate(p.rows) if tags is None or r[1] in tags]
             yield pd.DataFrame(out, columns=["page_id", "pos", "parent", "tag", "attrs", "content"])
 
     return pages.where(F.col("url").rlike("(?i)^https?:")).select("page_id", "html").mapInPandas(parse, NODE)
 
 
+#: How deep a Product is looked for in nested lists and graphs.
+LD_DEPTH = 3
+
+
 def json_ld_products(pages: DataFrame) -> DataFrame:
-    """page_id and the VARIANT of each JSON-LD block; blocks that do not parse are skipped."""
+    """page_id, block, item (their places) and the VARIANT of every Product in the page's JSON-LD: a block, an element of a list, of
+    an @graph or of an item list, or such an element's own, to a fixed depth. Blocks that do not parse are skipped."""
     blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
-    return pages.select("page_id", F.explode(blocks).alias("raw")).select("page_id", F.try_parse_json("raw").alias("ld")).where("ld IS NOT NULL")
+    raw = pages.select("page_id", F.posexplode(blocks).alias("block", "raw")).select("page_id", "block", F.try_parse_json("raw").alias("ld")).where("ld IS NOT NULL")
+    many = lambda path: F.coalesce(F.try_variant_get("ld", path, "array<variant>"), F.array().cast("array<variant>"))
+    inner = F.concat(many("$"), many("$['@graph']"), F.transform(many("$.itemListElement"), lambda v: F.coalesce(F.try_variant_get(v, "$.item", "variant"), v)))
+    level, out = raw.withColumn("item", F.array(F.lit(0))), None
+    for _ in range(LD_DEPTH):
+        out = level if out is None else out.unionByName(level)
+        level = level.select("page_id", "block", "item", F.posexplode(inner).alias("i", "ld")).select("page_id", "block", F.array_append("item", F.col("i")).alias("item"), "ld")
+    kind, kinds = F.try_variant_get("ld", "$['@type']", "string"), F.try_variant_get("ld", "$['@type']", "array<string>")
+    return out.where((kind == "Product") | F.array_contains(kinds, "Product"))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Title, first heading, paragraph text and link count of each page, the title by its chain of sources, without a shuffle of
     the pages themselves: only the few nodes that matter are grouped."""
-    n = html_nodes(pages).where(F.col("tag").isin("meta", "h1", "title", "p", "a"))
+    n = html_nodes(pages, ("meta", "h1", "title", "p", "a"))
     first = lambda cond, what: F.min_by(F.when(cond, what), F.when(cond, F.col("pos")))
     own = F.trim(F.regexp_replace("content", r"\s+", " "))
     og = (F.col("tag") == "meta") & F.col("attrs")["property"].isin("og:title", "twitter:title")

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.functions import text
+from shelfspark.functions import fields, images, text
 from shelfspark.operators import catalog as ops
-from shelfspark.plans import catalog
+from shelfspark.operators import tagging
+from shelfspark.plans import all_queries as catalog
 from shelfspark.sources import files, html
 
 DATA = "/root/testdata/sf0.001"
@@ -28,8 +29,8 @@ def value(spark, f, *args):
         (text.saved_price, "1,234.56", decimal.Decimal("1234.56")), (text.saved_price, "1.234,56", decimal.Decimal("1.23")),
         (text.best_of_srcset, "a.jpg 700w, b.jpg 1400w", "b.jpg"), (text.best_of_srcset, "a.jpg 1x, b.jpg 2x", "a.jpg"),
         (text.canonical_image_key, "https://c.com/w_500/p/shoe_640x.jpg?v=1#z", "https://c.com//p/shoe.jpg"), (text.split_breadcrumbs, "Ace,Hardware,Tools,Power Tools", ["Ace", "Hardware", "Tools", "Power Tools"]),
-        (text.upgrade_cdn, "https://cdn.shopify.com/x_94x.jpg", "https://cdn.shopify.com/x_1020x.jpg"), (text.upgrade_cdn, "https://img.ltwebstatic.com/a_thumbnail_220x293.webp", "https://img.ltwebstatic.com/a.webp"),
-        (ops.gender, "for him and his beard", "men"), (ops.gender, "boys and girls", "unisex"), (ops.phrase_override, "Inflatable tanning bed float", None), (ops.canonical_tag, "stripes", "striped"),
+        (images.upgrade_cdn, "https://cdn.shopify.com/x_94x.jpg", "https://cdn.shopify.com/x_1020x.jpg"), (images.upgrade_cdn, "https://img.ltwebstatic.com/a_thumbnail_220x293.webp", "https://img.ltwebstatic.com/a.webp"),
+        (tagging.genders_in, "for him and his beard", ["men"]), (tagging.genders_in, "Boys and girls", ["women", "men"]), (tagging.genders_in, "the fiancée", ["women", "men"]), (tagging.genders_in, "Shoulder-bag", ["women"]), (ops.phrase_override, "Inflatable tanning bed float", None), (ops.canonical_tag, "stripes", "striped"),
     ],
 )
 def test_function(spark, f, given, want):
@@ -37,8 +38,8 @@ def test_function(spark, f, given, want):
 
 
 def test_image_score(spark):
-    assert value(spark, lambda u: text.image_score(u, F.lit(0), F.lit(False)), "https://cdn.shopify.com/s/files/1/products/shoe_1020x.jpg") == 265
-    assert value(spark, lambda u: text.image_score(u, F.lit(20), F.lit(False)), "https://x.com/logo.svg") == 0
+    assert value(spark, lambda u: images.image_score(u, F.lit(0), F.lit(False)), "https://cdn.shopify.com/s/files/1/products/shoe_1020x.jpg") == 265
+    assert value(spark, lambda u: images.image_score(u, F.lit(20), F.lit(False)), "https://x.com/logo.svg") == 0
 
 
 @pytest.mark.parametrize(
@@ -49,7 +50,7 @@ def test_image_score(spark):
     ],
 )
 def test_cdn(spark, given, want):
-    assert value(spark, text.upgrade_cdn, given) == want
+    assert value(spark, images.upgrade_cdn, given) == want
 
 
 def test_paths(spark):
@@ -60,6 +61,29 @@ def test_paths(spark):
     assert score("Fashion > Top", "Fashion") == 0
 
 
+def test_gender(spark):
+    of = lambda *t: tuple(value(spark, tagging.gender, *t))
+    assert of("Women Tops", "Baby Tee", "", "") == ("women", "breadcrumbs", "highest") and of("", "", "", "") == ("unisex", "default", "default")
+    assert of("", "men and women", "for boys", "") == ("men", "specs", "medium") and of("", "", "", "", "Fashion > Women") == ("women", "category-path", "fallback")
+
+
+def test_fields(spark):
+    long = "A long and plain description of it"
+    assert value(spark, fields.is_fluff, "Shop all the new things here") and not value(spark, fields.is_fluff, long) and value(spark, fields.is_fluff, "short")
+    assert value(spark, lambda c: fields.clean_crumbs(F.split(c, "~")), "Home~BackHome~Go to Sale/Men~Shop All~404~x&amp;") == ["Home", "Sale", "Men", "x"]
+    assert value(spark, fields.shown_number, "5") == "5" and value(spark, fields.parsed_candidates, '["a", 1, "b"] and more') == ["a", "b"]
+
+
+def test_images(spark):
+    assert value(spark, images.amazon_large, "https://m.media-amazon.com/images/I/81abc._AC_SR116,116_.jpg?x=1") == "https://m.media-amazon.com/images/I/81abc._AC_.jpg"
+    assert value(spark, images.amazon_large, "https://m.media-amazon.com/images/I/81a%2Bc._AC_SX300_.jpg") == "https://m.media-amazon.com/images/I/81a+c._AC_SL1500_.jpg"
+    assert value(spark, images.amazon_quality, "https://x/I/71a.jpg") == 80 and value(spark, images.pixel_count, "https://x/s300x200/a.jpg") == 60000
+    assert value(spark, images.product_keywords, "/women/red-suede-boots-for-2020/AB12.html") == ["suede", "boots", "2020"][:2]
+    assert value(spark, lambda u: images.image_score(u, F.lit(0), F.lit(False)), None) is None
+    one = spark.createDataFrame([(["card", "x", "y related-items"], ["a", "b", "c", "related"])], "near array<string>, far array<string>")
+    assert tuple(one.select(images.among_other_products(F.col("near")), images.among_other_products(F.col("far"))).first()) == (True, False)
+
+
 def test_confidence(spark):
     assert value(spark, lambda c: ops.confidence(F.split(c, ",")), "colors,materials,fit,styles") == decimal.Decimal("0.50")
 
@@ -67,13 +91,16 @@ def test_confidence(spark):
 def test_compound_material_blocks_its_base(spark):
     p = spark.createDataFrame([(1, "faux leather bag"), (2, None), (3, "")], "id int, t string")
     d = spark.createDataFrame([("faux leather", "materials"), ("leather", "materials")], "name string, tag_type string")
-    assert [tuple(r) for r in ops.match_tags(p, d, "id", "t").collect()] == [(1, "faux leather", "materials")]
+    assert sorted(tuple(r) for r in tagging.match_tags(p, d, "id", "t").collect()) == [(1, "faux leather", "materials"), (1, "faux-leather", "materials")]
 
 
 def test_html_and_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://a/b", '<title>t</title><meta property="og:title" content="og"><p>a<p>b <a href=x>l</a><script type="application/ld+json">{"@type":"Product"}</script>'), (2, "ftp://x", "<h1>no</h1>"), (3, "http://e", None)], "page_id long, url string, html string")
     assert [tuple(r) for r in html.page_fields(pages).collect()] == [(1, "og", None, 2, 1)]
     assert html.json_ld_products(pages).count() == 1
+    graph = '<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Product"],"name":"deep"}]}</script><script type="application/ld+json">{"itemListElement":[{"item":{"@type":"Product","name":"listed"}}]}</script>'
+    deep = spark.createDataFrame([(1, "http://a", graph)], "page_id long, url string, html string")
+    assert [tuple(r) for r in html.json_ld_products(deep).select("block", F.expr("try_variant_get(ld, '$.name', 'string')")).orderBy("block").collect()] == [(0, "deep"), (1, "listed")]
     (tmp_path / "a.txt").write_text("Session ID: s1\nURL: x\n[2025-10-02T23:08:42.000Z] INFO: hello\n  Call Trace: y\n")
     assert [(r.session_id, r.level, r.message) for r in files.session_logs(spark, str(tmp_path)).collect()] == [("s1", "INFO", "hello")]
     (tmp_path / "m").mkdir()
@@ -84,6 +111,8 @@ def test_html_and_files(spark, tmp_path):
 def plain(v):
     if isinstance(v, float | decimal.Decimal):
         return float(f"{float(v):.9g}")
+    if isinstance(v, dict):
+        v = list(v.values())
     return tuple(plain(x) for x in v) if isinstance(v, list | tuple) else v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
@@ -95,7 +124,7 @@ def test_query(spark, name):
         assert rows
         return
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = con.execute(catalog.ORACLE[name])
     cols = [c[0] for c in got.description]

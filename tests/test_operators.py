@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from shelfspark.functions import rules
-from shelfspark.operators import catalog, extract, logs, reconcile, selection, taxonomy
+from shelfspark.functions.fields import tag_type
+from shelfspark.operators import catalog, extract, logs, reconcile, selection, tagging, taxonomy
 from shelfspark.streaming import sessions
 
 
@@ -26,8 +27,8 @@ def test_selection(spark):
 
 def test_reconcile(spark):
     d = spark.createDataFrame([("Layered garment", "Acme, Inc.", "$1,234.50"), ("wool", "x", "12")], "t string, b string, p string")
-    got = d.select(reconcile.classify_tag(F.col("t")), reconcile.clean_brand(F.col("b")), reconcile.valid_price(F.col("p")), reconcile.valid_title(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [("demographic", "Acme", True, True), ("materials", None, False, False)]
+    got = d.select(tag_type(F.col("t")), reconcile.clean_brand(F.col("b")), reconcile.valid_price(F.col("p")), reconcile.valid_title(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("colors", "Acme", True, True), ("materials", None, False, False)]
     s = spark.createDataFrame([("f", 0, False, True), ("f", 1, True, True), ("f", 2, False, False)], "field string, seq int, validated boolean, success boolean")
     assert [r.seq for r in reconcile.rank_selectors(s, ["field"]).orderBy("rank").collect()] == [1, 0, 2]
 
@@ -49,9 +50,16 @@ def test_page_record(spark):
 
 
 def test_match_categories(spark):
-    p = spark.createDataFrame([(1, "Slouchy suede bags", "a purse"), (2, None, "")], "id int, t string, d string")
-    got = catalog.match_categories(p, catalog.categories(spark), {"purse": "Handbag"}, "id", {"title": "t", "description": "d"}).collect()
-    assert sorted((r.id, r.category_id, r.score) for r in got) == [(1, 3, 1020), (1, 4, 80)]
+    rows = [(1, "Hazel Slouchy Suede Bag", ""), (2, None, ""), (3, "High Heel with Hardware", ""), (4, "short sleeve tee", ""), (5, "two bags", "a purse")]
+    p = spark.createDataFrame(rows, "id int, t string, d string")
+    got = tagging.match_categories(p, catalog.categories(spark), "id", {"title": "t", "description": "d"}, {"purse": "Handbag"}).collect()
+    assert sorted((r.id, r.category_id, r.score) for r in got) == [(1, 3, 1030), (1, 4, 5040), (5, 3, 1030), (5, 4, 90)]
+
+
+def test_best_path_on_ties_and_odd_rows(spark):
+    paths = spark.createDataFrame([("A > Pants",), ("A > Trousers",), ("B",)], "path string")
+    s = spark.createDataFrame([("A > trouser",), ("C",), (None,)], "path string")
+    assert [tuple(r) for r in catalog.best_path(s, paths).collect()] == [("A > trouser", "A > Trousers", 0.975)]
 
 
 def test_confidence_stays_in_range(spark):
