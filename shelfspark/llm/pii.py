@@ -9,7 +9,8 @@ candidate as a column expression. Candidates of the base patterns that pass thei
 classifier gives at least ``threshold`` and they overlap no kept span.
 
 Offsets are code points, the end exclusive; null text counts as empty; one output row for each input row, whatever its id;
-very long texts are scanned whole by patterns that do not backtrack over groups; an empty table gives an empty result.
+very long texts are scanned whole by patterns that do not backtrack over groups; an empty table gives an empty result;
+``report`` reads no column but id and text, and ``find`` keeps all but those of its own names, which begin with ``pii_``.
 """
 
 from __future__ import annotations
@@ -51,19 +52,30 @@ AGAINST = r"(?i)(version|order|isbn|issn|invoice|chapter|section|build|release|s
 LABELERS = 4
 
 
-def _found(text: Column, pattern: str, gate: str) -> Column:
-    """array<struct<start, m>> of the pattern's matches, in order: gaps from split(), matches from regexp_extract_all()."""
+#: Characters in front of a candidate that its labelers see.
+BEFORE = 40
+#: A shorter match of these kinds can't pass, whatever it holds, and is no candidate.
+LEAST = {"card": 14, "phone": 11}
+
+
+def _found(text: Column, pattern: str, gate: str, least: int = 0) -> Column:
+    """array<struct<start, m, before, after>> of the pattern's matches, in order: gaps from split(), matches from
+    regexp_extract_all(). Offsets, and the characters before and after, are carried along, so the text is not looked into again."""
     hit = F.when(text.contains(gate) if gate == "@" else text.rlike(gate), text)
     gaps, matches = F.split(hit, pattern, -1), F.regexp_extract_all(hit, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    folded = F.aggregate(
-        pairs, start,
-        lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), x["m"].alias("m"))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.coalesce(folded, none)
+    one = lambda c: F.nullif(F.substring(c, 1, 1), F.lit(""))
+    next_to = lambda i: F.coalesce(one(F.get(gaps, i + 1)), one(F.get(matches, i + 1)), F.lit(""))
+    pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("g"), m.alias("m"), next_to(i).alias("after")))
+    none = F.array().cast("array<struct<start:int,m:string,before:string,after:string>>")
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start, before = a["at"] + F.length(x["g"]), F.right(F.concat(a["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE))
+        found = F.struct(start.alias("start"), x["m"].alias("m"), before.alias("before"), x["after"].alias("after"))
+        out = F.when(F.length(x["m"]) >= least, F.array_append(a["out"], found)).otherwise(a["out"])
+        return F.struct((start + F.length(x["m"])).alias("at"), F.right(F.concat(before, F.right(x["m"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"), out.alias("out"))
+
+    return F.coalesce(F.aggregate(pairs, state, step, lambda a: a["out"]), none)
 
 
 def _digits(m: Column) -> Column:
@@ -91,12 +103,10 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _candidate(kind: str, text: Column, base: bool):
+def _candidate(kind: str, base: bool):
     def make(x: Column) -> Column:
-        m, start = x["m"], x["start"]
+        m, start, before, after = x["m"], x["start"], x["before"], x["after"]
         ok = _passes(kind, m) if base else F.lit(False)
-        before = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-        after = F.substring(text, start + F.length(m) + 1, F.lit(1))
         fmt = F.when(ok, 1).when(F.lit(base), -1).otherwise(0)
         gaz = F.when(m.rlike(GAZETTEER[kind]), 1).otherwise(-1)
         cue = F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0)
@@ -113,9 +123,9 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with ``pii_text`` and ``pii_found``, an array of candidates."""
     df = df.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
     text = F.col("pii_text")
-    raw = {f"pii_b_{k}": _found(text, BASE[k], GATE[k]) for k in KINDS} | {f"pii_l_{k}": _found(text, LOOSE[k], LOOSE_GATE[k]) for k in LOOSE}
+    raw = {f"pii_b_{k}": _found(text, BASE[k], GATE[k], LEAST.get(k, 0)) for k in KINDS} | {f"pii_l_{k}": _found(text, LOOSE[k], LOOSE_GATE[k]) for k in LOOSE}
     df = df.withColumns(raw)
-    parts = [F.transform(c, _candidate(c.split("_")[2], text, c[4] == "b")) for c in raw]
+    parts = [F.transform(c, _candidate(c.split("_")[2], c[4] == "b")) for c in raw]
     return df.withColumn("pii_found", F.concat(*parts)).drop(*raw)
 
 
