@@ -26,7 +26,7 @@ def word_bins(text: str | None, bins: int) -> np.ndarray:
     v = np.where((_KIND[b] != 1) & (_KIND[b] != 2) & (_KIND[b] != 3) & ~_SPACE[b], np.uint8(255), v)  # 255 is in no UTF-8 text
     # punctuation is left out of the hash, wherever it stands
     keep = v != 255
-    length = np.add.reduceat(keep.astype(np.int64), s)
+    length = np.add.reduceat((keep & ~_SPACE[b]).astype(np.int64), s)
     pos = np.cumsum(keep) - 1
     first = pos[s] + (~keep[s])
     at = np.clip(pos - np.repeat(first, np.diff(np.concatenate([s, [len(b)]]))) if s[0] == 0 else np.concatenate([np.zeros(s[0], np.int64), pos[s[0] :] - np.repeat(first, np.diff(np.concatenate([s, [len(b)]])))]), 0, None)

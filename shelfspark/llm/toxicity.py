@@ -4,8 +4,8 @@ Trained from confirmed toxic documents (positives) and other documents of unknow
 R = p R+(pos) + max(0, R-(unlabelled) - p R-(pos)), and where that difference is negative its gradient is reversed, as in
 the published non-negative estimator. The classifier is a linear numpy model on hashed word presence; a document's score is
 the sigmoid of its sum. Bounds of the fit: ``positives`` and ``unlabelled`` texts at most, chosen by a hash of the text, so
-equal texts count once and the driver holds no more than these; every document is scored whole. The words that get a weight
-are chosen by their frequencies over all different texts, less the positives' share of them (``document_counts``).
+equal texts count once; every document is scored whole. The words that get a weight are chosen by their frequencies over all
+different texts, less the positives' share of them, and only those words of the sampled texts reach the driver.
 
 Labels are joined to documents for rows outside the held-out fold only. Labels, language, source and id are no inputs.
 Defined cases: null text as empty; empty texts get the score of no words; no positives: the score is the prior; null ids and
@@ -21,25 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, known_ids, made_of, smallest
+from .common import bin_counts, held_out, known_ids, made_of, smallest
 from .features import word_bins
 
 BINS = 1 << 18
 
 
-def _packed(text: str | None) -> bytes:
-    """The bins of the distinct words."""
-    return np.unique(word_bins(text, BINS)).astype(np.int32).tobytes()
-
-
 def presence(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and bins of the distinct words of each text."""
     return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def document_counts(texts: DataFrame, bins: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many different texts each of these bins stands, and the number of different texts. At most a row for each bin
-    of the sampled positives comes back."""
+def distinct_counts(texts: DataFrame, bins: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many different texts (doc_id: a text's hash) each of these bins stands, and the number of different texts. Texts
+    stay where they are read; what is shuffled of each is the bins that it holds of these."""
     shared = texts.sparkSession.sparkContext.broadcast(bins)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,33 +44,25 @@ def document_counts(texts: DataFrame, bins: np.ndarray) -> tuple[np.ndarray, int
             made = [np.unique(h[wanted[h]]).astype(np.int32).tobytes() for h in (word_bins(t.as_py(), BINS) for t in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "made"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS + 1, np.int64)
-        for batch in batches:
-            total[:BINS] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=BINS)
-            total[BINS] += batch.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
-
     once = texts.mapInArrow(pack, "doc_id long, made binary").groupBy("doc_id").agg(F.min("made").alias("made")).select("made")
-    out = np.zeros(BINS + 1, np.int64)
-    for at, n in once.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
-        out[at] = n
-    return out[:BINS], int(out[BINS])
+    return bin_counts(once, lambda made: np.frombuffer(made, np.int32), BINS)
+
+
+def chosen(positive: np.ndarray, n_positive: int, everywhere: np.ndarray, n: int, prior: float, lift: float = 4.0) -> np.ndarray:
+    """The bins of words that are ``lift`` times as common among the positives as among the negatives, whose frequency is what
+    the prior leaves of that everywhere. A standard error is taken off, so a word of a single text has nothing left."""
+    dp = positive / max(1, n_positive)
+    dn = np.maximum(0, (everywhere / max(1, n) - prior * dp) / (1 - prior))
+    return np.flatnonzero(dp - np.sqrt(dp / max(1, n_positive)) > lift * dn + 1e-12)
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, everywhere: np.ndarray, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, lift: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights and bias, from the bins of each text's distinct words and their frequencies ``everywhere``. Words that are not
-    ``lift`` times as common among the positives as among the negatives keep weight 0. The negatives' frequency is what the
-    prior leaves of that everywhere; a standard error is taken off each word's count, so a word of a single text has none left."""
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, use: np.ndarray, steps: int = 2000, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias, from the bins of each text's distinct words; bins that are not in ``use`` keep weight 0."""
     w, bias = np.zeros(BINS, np.float64), float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return w.astype(np.float32), bias
     pr, pb = presence(pos)
     ur, ub = presence(unl)
-    dp = np.bincount(pb, minlength=BINS) / len(pos)
-    dn = np.maximum(0, (everywhere - prior * dp) / (1 - prior))
-    use = np.flatnonzero(dp - np.sqrt(dp / len(pos)) > lift * dn + 1e-12)
     at = np.full(BINS, -1)
     at[use] = np.arange(len(use))
     pr, pb = pr[at[pb] >= 0], at[pb[at[pb] >= 0]]
@@ -126,7 +113,16 @@ def train_and_score(docs: DataFrame, labels: DataFrame, positives: int = 2000, u
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         prior = min(0.5, max(0.01, prior))
-    samples = smallest(known.where("toxic = 1").select("doc_id"), positives, seed), smallest(known_ids(texts), unlabelled, seed + 1)
-    pos, unl = ([np.frombuffer(x, np.int32) for x in made_of(texts, few, _packed).values()] for few in samples)
-    counts, n = document_counts(texts, np.unique(np.concatenate(pos))) if pos else (np.zeros(BINS), 0)
-    return score(docs, *fit_nnpu(pos, unl, prior, counts / max(1, n)))
+    few = smallest(known.where("toxic = 1").select("doc_id"), positives, seed)
+    once = lambda ids: texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text")  # noqa: E731  a bounded sample's texts
+    distinct = lambda t: np.unique(word_bins(t, BINS))
+    positive, n_positive = bin_counts(once(few), distinct, BINS)
+    everywhere, n = distinct_counts(texts, np.flatnonzero(positive))
+    use = chosen(positive, n_positive, everywhere, n, prior)
+
+    def packed(text: str | None) -> bytes:
+        bins = distinct(text)
+        return bins[np.isin(bins, use)].astype(np.int32).tobytes()
+
+    pos, unl = ([np.frombuffer(x, np.int32) for x in made_of(texts, ids, packed).values()] for ids in (few, smallest(known_ids(texts), unlabelled, seed + 1)))
+    return score(docs, *fit_nnpu(pos, unl, prior, use))
