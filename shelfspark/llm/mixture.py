@@ -16,8 +16,8 @@ Everything is a DataFrame expression. Sources may be many (hosts, say): orders o
 tasks (``ranked``); only the order of one source's blocks and parts, at most BLOCKS x BLOCKS rows, is made in one.
 
 Result of ``mix``: id, ``size``, ``source_size``, ``target``, ``taken``, and for each pass in which the document is taken its
-shard (``shards``) and place in the shard's shuffle (``orders``); it sums the rows that ``assign`` gives. The draw depends on
-ids, texts and the seed only, so reruns agree. Defined cases: null text has no words; very long texts are counted whole; rows
+shard (``shards``) and place in the shard's shuffle (``orders``). ``assign`` deals the same passes as rows, of whole documents.
+The draw depends on ids, texts and the seed only, so reruns agree. Defined cases: null text has no words; very long texts are counted whole; rows
 equal in id and text fall into one part and are taken alike; null ids are allowed; a table without words has targets 0; an
 empty table gives an empty result; ``mix`` reads no column but the three it is given, and ``assign`` keeps all others, but for
 those named like the ones it adds, all of which begin with ``mix_``.
@@ -135,16 +135,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, depth: int = 4, seed: int = 17) -> DataFrame:
-    """All columns of docs, one row for each pass in which a document is taken, with ``mix_words`` (words of this row),
-    ``mix_shard`` and ``mix_order`` (place in the shard's local shuffle); the text of a part-taken document ends there."""
-    own = docs.columns
+    """One row for each pass in which a document is taken, with all its columns, ``mix_words`` (its words), ``mix_shard`` and
+    ``mix_order`` (place in the shard's local shuffle). Documents are taken whole: one of the part in which its source's quota
+    ends is taken once more with the probability of the share that ``mix`` counts."""
+    added = ("mix_words", "mix_shard", "mix_order")
     key = [F.col(id_col), F.length(text_col)]
-    d = docs.withColumns({"mix_source": F.col(source_col), "mix_size": n_words(F.col(text_col)), "mix_block": _uniform(*key, n=BLOCKS, seed=seed), "mix_part": _uniform(*key, n=BLOCKS, seed=seed + 1)})
+    d = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _uniform(*key, n=BLOCKS, seed=seed).alias("block"), _uniform(*key, n=BLOCKS, seed=seed + 1).alias("part"),
+        F.xxhash64(id_col, text_col).alias("key"),
+    )
     q = _quotas_with_shards(sized(docs, id_col, text_col, source_col, seed), depth, seed, weights, share, most)
-    q = q.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "block", "part", "passes", "frac", "shards")])
-    d = _on(d, q, "mix_source", "mix_block", "mix_part")
-    takes = _takes(F.col("mix_size"), F.col("mix_passes"), F.col("mix_frac"), F.col("mix_shards"), F.xxhash64(id_col, text_col), seed)
-    d = d.select(*own, "mix_size", F.explode(takes).alias("t")).select(*own, "mix_size", F.col("t.words").alias("mix_words"), F.col("t.shard").alias("mix_shard"), F.col("t.order").alias("mix_order"))
-    cut = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.col("mix_words").cast("int")), " ")
-    d = d.withColumn(text_col, F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col(text_col)))
-    return d.select(*own, "mix_words", "mix_shard", "mix_order")
+    whole = F.when((F.pmod(F.xxhash64(F.lit(seed + 7), "key"), F.lit(1 << 30)) / (1 << 30)) < F.col("frac"), 1.0).otherwise(0.0)
+    d = _on(d, q.select("source", "block", "part", "passes", "frac", "shards"), "source", "block", "part")
+    d = d.select("row", F.explode(_takes(F.col("size"), F.col("passes"), whole, F.col("shards"), F.col("key"), seed)).alias("t"))
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], F.col("t.words").alias("mix_words"), F.col("t.shard").alias("mix_shard"), F.col("t.order").alias("mix_order"))

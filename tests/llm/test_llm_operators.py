@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import exact_topk, jaccard_join, license_texts, licenses, line_cleaning, mixture, pii, quality, queries, secret_scan, sentencepiece_codec, toxicity
+from shelfspark.llm import exact_topk, features, jaccard_join, license_texts, licenses, line_cleaning, mixture, pii, quality, queries, secret_scan, sentencepiece_codec, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, ids string, class_id long, kind string"
@@ -164,6 +164,33 @@ def test_quality(spark, docs, odd, none):
     assert quality.score(none, model).count() == 0 and quality.score(odd, quality.train(none, labels)).first().score == 0.5
 
 
+def test_quality_votes_by_brute_force(spark, docs):
+    """Every document against every voter, one by one; the nearest, of equally near ones the first, vote by similarity."""
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    voters, label = model["voters"].astype(float), model["label"]
+    share = [(label == v).mean() for v in (0, 1)]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        at, w = quality.terms(texts[r.doc_id])
+        v = sum((x * model["project"][i].astype(float) for i, x in zip(at, w)), np.zeros(quality.DIMS))
+        cos = voters @ v / max(1e-12, np.linalg.norm(v))
+        votes = [0.0, 0.0]
+        for i in sorted(range(len(cos)), key=lambda i: (-np.float32(cos[i]), i))[:15]:
+            votes[int(label[i])] += max(0.0, cos[i]) / share[int(label[i])]
+        assert r.score == pytest.approx(votes[1] / sum(votes) if sum(votes) else 0, abs=0.02)
+
+
+def test_toxicity_scores_by_brute_force(spark, docs):
+    """A score is the sigmoid of the weights of the text's distinct words, each hashed on its own."""
+    w = np.zeros(toxicity.BINS, np.float32)
+    w[::7] = np.linspace(-1, 1, len(w[::7]))
+    bins = {}
+    for r in toxicity.score(docs, w, -0.5).join(docs, "doc_id").collect():
+        words = set(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        at = {bins.setdefault(x, int(features.word_bins(x, toxicity.BINS)[0])) for x in words}
+        assert r.score == pytest.approx(1 / (1 + np.exp(0.5 - sum(float(w[i]) for i in at))), abs=1e-4) and r.predicted == (r.score >= 0.7)
+
+
 def shingles(t: str | None) -> frozenset:
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -238,7 +265,7 @@ def test_mixture(docs, odd, none, spark):
     assert mixture.mix(docs).exceptAll(mixture.mix(docs.repartition(3))).count() == 0
     assert len(mixture.mix(odd).collect()) == len(ODD) and mixture.mix(none).count() == 0
     a = mixture.assign(odd, depth=1).collect()
-    assert {r.mix_shard for r in a} <= {0, 1} and sum(r.mix_words for r in a) == sum(r.taken for r in mixture.mix(odd).collect())
+    assert {r.mix_shard for r in a} <= {0, 1} and all(r.text is not None and r.kind == "y" for r in a)
 
 
 def test_splitting_tree_draws_from_exact_quotas(spark):
@@ -277,8 +304,16 @@ def test_mixture_places_documents(spark, docs):
     want = collections.defaultdict(list)
     for r in rows:
         want[r.doc_id].append((r.mix_shard, r.mix_order, r.mix_words))
+    part_taken = 0
     for r in mixture.mix(docs).collect():
-        assert sorted(zip(r.shards, r.orders)) == sorted(x[:2] for x in want[r.doc_id]) and r.taken == sum(x[2] for x in want[r.doc_id])
+        dealt = sorted(x[:2] for x in want[r.doc_id])
+        assert all(x[2] == r.size for x in want[r.doc_id])  # whole documents
+        if r.taken % max(1, r.size):
+            part_taken += 1
+            assert len(r.shards) - 1 <= len(dealt) <= len(r.shards) and set(dealt) <= set(zip(r.shards, r.orders))
+        else:
+            assert dealt == sorted(zip(r.shards, r.orders))
+    assert part_taken <= 10 and {r.text for r in rows} <= {r.text for r in docs.collect()}
     assert len({r.mix_shard for r in rows}) == 16
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_shard, r.mix_order))]
     assert [r.doc_id for r in corpus_pipeline.to_target_weights(spark, docs, DATA).collect()] == order
@@ -432,3 +467,67 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[2:4]:
         assert stage(spark, docs, DATA).columns == docs.columns, name
     assert corpus_pipeline.to_target_weights(spark, docs, DATA).select(F.col("doc_id")).count() > docs.count()
+
+
+def test_pipeline_run_by_brute_force(spark):
+    """run() against its stages worked out one by one: votes, all pairs, redaction in plain Python, the library's encoder."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    good = {r.doc_id for r in quality.score(docs, model).collect() if r.score >= 0.5}
+    rows = [r for r in docs.collect() if r.doc_id in good]
+    classes, _ = brute_links([(r.doc_id, r.text) for r in rows])
+    first = [r for r in rows if classes[r.doc_id] == r.doc_id]
+    hits = secret_scan.find([r.text for r in first], [r.source for r in first], secret_scan.train())
+    clean = []
+    for r, found in zip(first, hits):
+        text = r.text
+        for a, b, p in reversed(found):
+            text = text[:a] + "<SECRET>" + text[b:] if p >= 0.5 else text
+        clean.append((r.doc_id, text, r.lang, r.source, len(text)))
+    mixed = mixture.assign(spark.createDataFrame(clean, docs.schema)).collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
+    want = collections.Counter((r.doc_id, hashlib.sha256(np.array(lib.encode(r.text, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for r in mixed)
+    assert collections.Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, DATA).collect()) == want
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    clash = ("pipeline_first", "mix_words", "mix_source", "row", "size")
+    for name, table in (("odd", odd), ("none", none)):
+        table.withColumns({c: F.lit(1) for c in clash}).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert name == "odd" or not out
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, docs, f"{tmp_path}/{name}").columns == docs.columns, stage
+
+
+@pytest.mark.parametrize("report", [pii.report, line_cleaning.report, licenses.report, mixture.mix, jaccard_join.join, secret_scan.scan, lambda d: sentencepiece_codec.digests(d, queries.tokenizer_model())])
+def test_empty_tables_and_clashing_columns(none, odd, report):
+    assert report(none).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("n_words", "kept", "pii_text", "pii_base", "w", "joined", "places", "block", "part", "taken", "set", "comp", "labels", "n_tokens", "spans", "raw")})
+    got, want = (sorted(map(repr, report(d).drop("orders").collect())) for d in (clash, odd))
+    assert len(got) == len(ODD) and got == want
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows of one id are known by their texts: each has the links of its own."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a)]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 0), (1, 1, 2, 1), (2, 1, 2, 0), (3, 1, 1, 0), (4, 1, 2, 1)]
+
+
+def test_pii_in_a_text_of_numbers(spark):
+    """Long texts full of candidates, with the context of each."""
+    text = " ".join(f"card {4111111111111111 + 10 * i} +1 202 555 {i:04d}, 10.0.{i % 300}.1" for i in range(1500))
+    df = spark.createDataFrame([(1, text), (2, "4111111111111111" * 3), (3, "tel " + "+12025550199 " * 3)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.report(df).collect()}
+    for i, t in ((1, text), (2, "4111111111111111" * 3), (3, "tel " + "+12025550199 " * 3)):
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(t)).encode()).hexdigest()
