@@ -7,7 +7,8 @@
 5. tokens: every remaining row encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
 Rows with a null text or id pass like others: a null text is an empty one (and rejected by stage 1), null ids are no
-duplicates of one another. Extra columns of documents are kept up to the last stage. Empty tables give empty results.
+duplicates of one another. Very long texts pass whole through every stage. Extra columns of documents are kept up to the last
+stage, whatever their names; that one reads id and text only. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # class ids are ids of the class; rows that repeat an id: one of them, whichever has the smallest text hash. Only ids and
+    # hashes are grouped, so texts are shuffled once, by the keys of the join, and rows alike are already together when folded
     classes = jaccard_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    # rows that repeat an id: one of them, whichever has the smallest text hash; only ids and hashes are grouped, so texts
-    # are shuffled once, by the keys of the join, and rows alike are already together when they are folded
-    key = ["doc_id", "pipeline_first"]
-    marked = docs.withColumn("pipeline_first", F.xxhash64("text", "source", "lang"))
-    first = marked.groupBy("doc_id").agg(F.min("pipeline_first").alias("pipeline_first")).join(classes, "doc_id")
-    kept = marked.join(first, key).dropDuplicates(key).drop("pipeline_first")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    key = ["doc_id", "h"]
+    marked = docs.select("doc_id", F.xxhash64("text", "source", "lang").alias("h"), F.struct(*docs.columns).alias("row"))
+    first = marked.groupBy("doc_id").agg(F.min("h").alias("h")).join(classes, "doc_id")
+    kept = marked.join(first, key).dropDuplicates(key).unionByName(marked.where("doc_id IS NULL"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # by ranges of shard and order: a shard's rows stand together, in its shuffle, and large shards have many tasks
     place = ["mix_shard", "mix_order"]
-    mixed = mixture.assign(docs).repartitionByRange(*place).sortWithinPartitions(*place)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    mixed = mixture.assign(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")).repartitionByRange(*place).sortWithinPartitions(*place)
+    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
