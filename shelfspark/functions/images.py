@@ -223,7 +223,7 @@ def image_score(u: Column, pos: Column, from_srcset: Column, selector: Column |
         "ratio": given(width, 0) / F.nullif(given(height, 0), F.lit(0)), "thumb": number(r"_(?:AC_)?(?:US|SS|SY|SR|UL)(\d+)(?:_|\.)"), "px": F.greatest(*[number(p) for p in SIZES]), "quality": F.coalesce(*[number(p) for p in (r"quality=([0-9]+)", r"q_([0-9]+)", r"q([0-9]+)")]),
     }
     one = F.struct(*[c.alias(k) for k, c in known.items()])
-    return F.transform(F.array(one), lambda x: _score(**{k: x[k] for k in known}))[0]
+    return F.when(u.isNotNull(), F.transform(F.array(one), lambda x: _score(**{k: x[k] for k in known}))[0])
 
 
 def _score(u: Column, pos: Column, srcset: Column, selector: Column, class_id: Column, zoom: Column, large: Column, ratio: Column, thumb: Column, px: Column, quality: Column) -> Column:

@@ -124,9 +124,10 @@ def best_path(suggested: DataFrame, paths: DataFrame, least: float = 0.8) -> Dat
 
 def rank_images(images: DataFrame, page: str = "page_id", keep: int = 30) -> DataFrame:
     """Images of a page, best first: junk and low scores go (both by the URL as it is found), the rest get their large version,
-    the best of each canonical key stays (the first on ties), and small files go. One aggregate, which combines before the
-    shuffle, and one window over the few images of a page."""
+    the best of each canonical key stays (the first on ties), and small files go. Images are dealt by page once, before their
+    costly scores, so one shuffle serves scores, aggregate and window; a page has few of them."""
     u = F.col("url")
+    images = images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), page)
     i = images.where(img.is_real_url(u) & ~img.is_junk(u) & img.junk_reason(u).isNull()).withColumn("score", img.image_score(u, F.col("pos"), F.col("from_srcset"))).where("score >= 40")
     i = i.withColumn("large", img.upgrade_cdn(u))
     best = F.max(F.struct("score", (-F.col("pos")).alias("pos"), "large", "from_srcset")).alias("b")

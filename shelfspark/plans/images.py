@@ -34,7 +34,8 @@ SQL_CANDIDATES = f"(SELECT p_partkey AS page_id, unnest({_LIST(0)}) AS url, unne
 def candidates(spark, sf_dir):
     """page_id, pos, url, from_srcset"""
     each = F.array(*[F.struct(F.expr(f[0]).alias("url"), F.lit(i).cast("int").alias("pos"), F.lit(f[4]).alias("from_srcset")) for i, f in enumerate(FORMS)])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.explode(each).alias("i")).select("page_id", "i.*")
+    p = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # one small file, much work a row
+    return p.select(F.col("p_partkey").alias("page_id"), F.explode(each).alias("i")).select("page_id", "i.*")
 
 
 def _sql_score() -> str:
