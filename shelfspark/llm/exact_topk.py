@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
 
-LEAF, CELLS, SAMPLE = 256, 1024, 1 << 16
+LEAF, CELLS, SAMPLE = 256, 1024, 1 << 14
 
 
 def _widest(x: np.ndarray) -> tuple[int, int]:

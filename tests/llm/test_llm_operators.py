@@ -396,7 +396,7 @@ def test_file_of_several_whole_licenses_and_near_misses(spark):
 
 def test_topk(spark):
     r = np.random.default_rng(0)
-    rows = [(i, r.normal(size=8).astype("float32").round(1).tolist(), 0) for i in range(700)] + [(700, None, 0), (701, [1.0, None], 0), (702, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (750, [], 0), (800, [1.0, 2.0], 0), (801, [3.0, 4.0], 0), (1000, [0.5] * 8, 0), (1001, [0.5] * 8, 0)]
+    rows = [(i, r.normal(size=8).astype("float32").round(1).tolist(), 0) for i in range(700)] + [(700, None, 0), (701, [1.0, None], 0), (702, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (750, [], 0), (800, [1.0, 2.0], 0), (801, [3.0, 4.0], 0), (1000, [0.5] * 8, 0), (1001, [0.5] * 8, 0), (1000, [0.5] * 8, 0), (650, [-1.0] * 8, 0)]  # repeated ids are queries of their own
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = sorted(tuple(x) for x in exact_topk.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=100, group=5).collect())
     ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
