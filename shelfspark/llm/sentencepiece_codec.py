@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words kept in a worker's memory.
-CACHE = 100_000
+CACHE = 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
