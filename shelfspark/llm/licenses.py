@@ -64,8 +64,8 @@ def postings(templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
 def idf(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, float]:
     """IDF of the templates' words over all documents, in one scan; a row for each word of the templates, and one for the number
     of documents, come back."""
-    vocab = F.array(*[F.lit(w) for w in sorted(postings(templates))])
-    words = F.array_intersect(F.regexp_extract_all(_lower(F.col(text_col)), F.lit(WORD), F.lit(0)), vocab)
+    known = sorted(postings(templates))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: w.isin(known)))
     df = dict(map(tuple, docs.select(F.explode(F.array_append(words, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*")).collect()))
     n = df.get("", 0)
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in postings(templates)}
