@@ -9,7 +9,7 @@ candidate as a column expression. Candidates of the base patterns that pass thei
 classifier gives at least ``threshold`` and they overlap no kept span.
 
 Offsets are code points, the end exclusive; null text counts as empty; one output row for each input row, whatever its id;
-very long texts are scanned whole by patterns that do not backtrack over groups; an empty table gives an empty result;
+very long texts are scanned whole by patterns that do not backtrack over groups, in time linear in their matches; an empty table gives an empty result;
 ``report`` reads no column but id and text, and ``find`` keeps all but those of its own names, which begin with ``pii_``.
 """
 
@@ -30,7 +30,7 @@ BASE = {
 }
 #: Looser forms, of which the classifier decides.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
@@ -58,24 +58,57 @@ BEFORE = 40
 LEAST = {"card": 14, "phone": 11}
 
 
+FOUND = "array<struct<start:int,m:string,before:string,after:string>>"
+#: Elements of an array that are scanned together.
+RUN = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state before, item) of every item, in order, the state carried along by step. Items go in runs, and the states before the
+    runs are found first, so that no array grows by one element at a time over the whole length: the time is linear."""
+
+    def one_run(states: Column):
+        def go(run: Column, k: Column) -> Column:
+            first = F.struct(F.get(states, k).alias("s"), F.array().cast(kind).alias("out"))
+            return F.aggregate(run, first, lambda a, x: F.struct(step(a["s"], x).alias("s"), F.array_append(a["out"], emit(a["s"], x)).alias("out")), lambda a: a["out"])
+
+        return go
+
+    def runs(all_of: Column) -> Column:
+        at = F.when(F.size(all_of) > 0, F.sequence(F.lit(0), F.size(all_of) - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.slice(all_of, i + 1, RUN))
+
+    def from_runs(all_of: Column) -> Column:
+        first = F.struct(zero.alias("s"), F.filter(F.array(zero), lambda z: F.lit(False)).alias("out"))
+        states = F.aggregate(all_of, first, lambda a, run: F.struct(F.aggregate(run, a["s"], step).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+        return _bound(states, lambda s: F.flatten(F.transform(all_of, one_run(s))))
+
+    return _bound(items, lambda x: _bound(runs(x), from_runs))
+
+
 def _found(text: Column, pattern: str, gate: str, least: int = 0) -> Column:
     """array<struct<start, m, before, after>> of the pattern's matches, in order: gaps from split(), matches from
     regexp_extract_all(). Offsets, and the characters before and after, are carried along, so the text is not looked into again."""
     hit = F.when(text.contains(gate) if gate == "@" else text.rlike(gate), text)
-    gaps, matches = F.split(hit, pattern, -1), F.regexp_extract_all(hit, F.lit(pattern), F.lit(0))
     one = lambda c: F.nullif(F.substring(c, 1, 1), F.lit(""))
-    next_to = lambda i: F.coalesce(one(F.get(gaps, i + 1)), one(F.get(matches, i + 1)), F.lit(""))
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("g"), m.alias("m"), next_to(i).alias("after")))
-    none = F.array().cast("array<struct<start:int,m:string,before:string,after:string>>")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start, before = a["at"] + F.length(x["g"]), F.right(F.concat(a["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE))
-        found = F.struct(start.alias("start"), x["m"].alias("m"), before.alias("before"), x["after"].alias("after"))
-        out = F.when(F.length(x["m"]) >= least, F.array_append(a["out"], found)).otherwise(a["out"])
-        return F.struct((start + F.length(x["m"])).alias("at"), F.right(F.concat(before, F.right(x["m"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"), out.alias("out"))
+    def places(s: Column) -> Column:
+        next_to = lambda i: F.coalesce(one(F.get(s["g"], i + 1)), one(F.get(s["m"], i + 1)), F.lit(""))
+        pairs = F.transform(s["m"], lambda m, i: F.struct(F.get(s["g"], i).alias("g"), m.alias("m"), next_to(i).alias("after")))
+        return _scan(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, emit, FOUND)
 
-    return F.coalesce(F.aggregate(pairs, state, step, lambda a: a["out"]), none)
+    start = lambda a, x: a["at"] + F.length(x["g"])
+    before = lambda a, x: F.right(F.concat(a["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE))
+    step = lambda a, x: F.struct((start(a, x) + F.length(x["m"])).alias("at"), F.right(F.concat(before(a, x), F.right(x["m"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"))
+    emit = lambda a, x: F.struct(start(a, x).alias("start"), x["m"].alias("m"), before(a, x).alias("before"), x["after"].alias("after"))
+    found = _bound(F.when(hit.isNotNull(), F.struct(F.split(hit, pattern, -1).alias("g"), F.regexp_extract_all(hit, F.lit(pattern), F.lit(0)).alias("m"))), places)
+    found = F.coalesce(found, F.array().cast(FOUND))
+    return F.filter(found, lambda x: F.length(x["m"]) >= least) if least else found
 
 
 def _digits(m: Column) -> Column:
@@ -200,9 +233,21 @@ def find(df: DataFrame, model: dict[str, list[float]], text_col: str = "text", t
     rank = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c["kind"])
     entry = lambda c: F.struct(c["start"].alias("start"), rank(c).alias("k"), c["kind"].alias("kind"), c["end"].alias("end"))
     df = df.withColumn("pii_base", F.array_sort(F.transform(F.filter("pii_found", lambda c: c["base"]), entry)))
-    free = lambda c: ~F.exists("pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.transform(F.filter("pii_found", lambda c: ~c["base"] & (_score(model, c) >= threshold) & free(c)), entry)
-    return df.withColumn("pii_spans", F.array_sort(F.concat("pii_base", more))).drop("pii_found", "pii_text")
+    more = F.transform(F.filter("pii_found", lambda c: ~c["base"] & (_score(model, c) >= threshold)), entry)
+    return df.withColumn("pii_spans", F.when(F.size(more) == 0, F.col("pii_base")).otherwise(_joined(F.col("pii_base"), more))).drop("pii_found", "pii_text")
+
+
+def _joined(base: Column, more: Column) -> Column:
+    """base, and those of more that overlap no span of base; ordered. Spans are scanned by start, for the furthest end of a base span
+    before, and backwards, for the nearest start of one behind, so that none is held against all others."""
+    kind = "array<struct<start:int,k:int,kind:string,end:int,b:boolean,out:boolean>>"
+    flat = lambda x, out: F.struct(*[x[c].alias(c) for c in ("start", "k", "kind", "end", "b")], out.alias("out"))
+    marked = lambda spans, b: F.transform(spans, lambda x: F.struct(*[x[c].cast("int" if c != "kind" else "string").alias(c) for c in ("start", "k", "kind", "end")], F.lit(b).alias("b"), F.lit(False).alias("out")))
+    both = F.array_sort(F.concat(marked(base, True), marked(more, False)))
+    ahead = _scan(both, F.lit(0), lambda a, x: F.when(x["b"], F.greatest(a, x["end"])).otherwise(a), lambda a, x: flat(x, ~x["b"] & (a > x["start"])), kind)
+    last = F.lit(2**31 - 1)
+    back = _scan(F.reverse(ahead), last, lambda a, x: F.when(x["b"], x["start"]).otherwise(a), lambda a, x: flat(x, x["out"] | (~x["b"] & (a < x["end"]))), kind)
+    return F.array_sort(F.transform(F.filter(back, lambda x: ~x["out"]), lambda x: F.struct(x["start"].alias("start"), x["k"].cast("long").alias("k"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
 
 def render(spans: Column) -> Column:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -304,16 +305,18 @@ def test_mixture_places_documents(spark, docs):
     want = collections.defaultdict(list)
     for r in rows:
         want[r.doc_id].append((r.mix_shard, r.mix_order, r.mix_words))
-    part_taken = 0
+    source, shares = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}, collections.defaultdict(list)
     for r in mixture.mix(docs).collect():
         dealt = sorted(x[:2] for x in want[r.doc_id])
         assert all(x[2] == r.size for x in want[r.doc_id])  # whole documents
         if r.taken % max(1, r.size):
-            part_taken += 1
+            shares[source[r.doc_id]].append((r.taken % r.size - 1, r.taken % r.size + 1, r.size))
             assert len(r.shards) - 1 <= len(dealt) <= len(r.shards) and set(dealt) <= set(zip(r.shards, r.orders))
         else:
             assert dealt == sorted(zip(r.shards, r.orders))
-    assert part_taken <= 10 and {r.text for r in rows} <= {r.text for r in docs.collect()}
+    # a source's quota ends in one part at most, all documents of which give the same share of their words, to a word
+    assert all(max(a / n for a, _, n in x) <= min(b / n for _, b, n in x) for x in shares.values()) and shares
+    assert {r.text for r in rows} <= {r.text for r in docs.collect()}
     assert len({r.mix_shard for r in rows}) == 16
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_shard, r.mix_order))]
     assert [r.doc_id for r in corpus_pipeline.to_target_weights(spark, docs, DATA).collect()] == order
@@ -531,3 +534,29 @@ def test_pii_in_a_text_of_numbers(spark):
     rows = {r.doc_id: r for r in pii.report(df).collect()}
     for i, t in ((1, text), (2, "4111111111111111" * 3), (3, "tel " + "+12025550199 " * 3)):
         assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(t)).encode()).hexdigest()
+
+
+def test_pii_takes_linear_time_in_matches(spark):
+    """One text of so many addresses, as candidates and as spans that must not overlap: time a match stays flat."""
+    model = {k: [5.0] + [0.0] * 5 for k in pii.KINDS}
+    took = []
+    for n in (2_000, 2_000, 10_000, 50_000):
+        text = " ".join(f"10.0.{i % 250}.{i % 199} 2001:db8:0:0:0:0:{i % 9999:x}:1" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        assert pii.find(df, model).select(F.size("pii_base"), F.size("pii_spans")).first() == (n, 2 * n)
+        took.append(time.time() - start)
+    assert (took[3] - took[1]) / 48_000 < 5 * max((took[2] - took[1]) / 8_000, 1e-4)
+
+
+def test_pii_loose_spans_give_way_to_base_ones(spark):
+    r = random.Random(4)
+    kind = "array<struct<start:int,k:int,kind:string,end:int>>"
+    rows = []
+    for _ in range(200):
+        base, more = ([(a, r.randint(1, 4), "x", a + r.randint(1, 9)) for a in r.choices(range(600), k=r.randint(0, n))] for n in (60, 600))
+        rows.append((base, more))
+    df = spark.createDataFrame(rows, f"base {kind}, more {kind}")
+    for got, (base, more) in zip(df.select(pii._joined(F.col("base"), F.col("more")).alias("s")).collect(), rows):
+        free = [m for m in more if not any(b[0] < m[3] and m[0] < b[3] for b in base)]
+        assert sorted(map(tuple, got.s)) == sorted(base + free)
