@@ -186,7 +186,7 @@ def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, buck
         small.append(at.where(F.col("n") <= bucket).select("node", "comp", "sig"))
         if not seen.get["large"]:
             break
-        large = at.where(F.col("n") > bucket).withColumn("picked", order == F.col("pick")).drop("n", "pick").checkpoint()
+        large = at.where(F.col("n") > bucket).withColumn("picked", order == F.col("pick")).drop("n", "pick")
         pivot = large.where("picked").select("node", F.col("comp").alias("pivot"), F.col("sig").alias("pivot_sig"))
         met = large.join(pivot, "node").withColumn("close", close("sig", "pivot_sig")).checkpoint()
         links.append(met.where("close AND comp <> pivot").select(F.col("comp").alias("a"), F.col("pivot").alias("b")))
@@ -228,12 +228,12 @@ def families(sets: DataFrame, threshold: float, recall: float, bucket: int, batc
     comps = sets.select("set", F.col("set").alias("comp")).checkpoint()
     while drawn:
         rows = sets.join(comps, "set")
-        links = connected_components(_batch_links(rows, range(start, start + batch), need, threshold, bucket)).checkpoint()
+        links = connected_components(_batch_links(rows, range(start, start + batch), need, threshold, bucket))
         comps = comps.join(links.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")).checkpoint()
         own = dict(map(tuple, comps.join(F.broadcast(few), "set").collect()))
         total, found = sets.join(comps, "set").select("set", "comp", "sig").mapInArrow(_found_of(drawn, own, math.ceil(COORDS * threshold)), "total long, found long").agg(F.sum("total"), F.sum("found")).first()
         start += batch
-        if found >= recall * total:
+        if found >= recall * total and (total or start > batch):  # a sample without a pair says nothing: one more batch
             break
     return comps
 
@@ -284,7 +284,7 @@ def _in_blocks(df: DataFrame, rank_by: str, per: int) -> DataFrame:
     return df.withColumn("c", F.explode(cells)).select("*", "c.cell", "c.side").drop("c", "load")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 8, sample: int = 1024, block: int = 1024) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.995, bucket: int = 128, batch: int = 5, sample: int = 1024, block: int = 1024) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
@@ -298,17 +298,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     comps = families(sets, threshold, recall, bucket, batch, sample)
 
     info = comps.join(folded.select("set", "id", "h", "size", "weight"), "set").checkpoint()
-    load = info.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / 1000), F.count("*")).alias("load"), F.count("*").alias("n")).where("n > 1").select("comp", "load").checkpoint()
+    load = info.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / 1000), F.count("*")).alias("load"), F.count("*").alias("n")).where("n > 1").select("comp", "load")
     cells = _in_blocks(info.join(load, "comp").select("comp", "set", "id", "h", "weight", "load"), "set", block)
     texts = rows.join(cells, ["id", "h"]).select("comp", "cell", "side", "set", "weight", "text")
     found = texts.groupBy("comp", "cell").applyInPandas(_exact(words, threshold), "set long, root long, n long, whole boolean").checkpoint()
     # a family that was one cell has its classes; the forests of a family's cells are put together
     edges = found.where("NOT whole AND set <> root").select(F.col("set").alias("a"), F.col("root").alias("b"))
-    classes = found.where("whole").select("set", F.col("root").alias("comp")).unionByName(connected_components(edges).withColumnRenamed("node", "set")).checkpoint()
-    least = classes.join(folded.select("set", "id"), "set").groupBy("comp").agg(F.min("id").alias("class_id")).checkpoint()
+    classes = found.where("whole").select("set", F.col("root").alias("comp")).unionByName(connected_components(edges).withColumnRenamed("node", "set"))
+    least = classes.join(folded.select("set", "id"), "set").groupBy("comp").agg(F.min("id").alias("class_id"))
     links = found.groupBy("set").agg(F.sum("n").alias("n"))
     result = folded.select(*key, "set", "id", "weight").join(links, "set", "left").join(classes.join(least, "comp"), "set", "left")
-    result = result.select(*key, F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies")).checkpoint()
+    result = result.select(*key, F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
     out = signed.select("id", *key).join(result, key).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return out.unionByName(none)
