@@ -22,18 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A value after a name that speaks of secrets, a private key with its header lines, or a run that mixes letters and digits
-#: (or opens like a web token), with the runs that dots join to it. Repeats are possessive, so each is passed over once.
+#: How published formats of keys begin. After these a key is a candidate wherever it stands.
+KNOWN = r"(?:AKIA|ASIA|gh[po]_|github_pat_|[sr]k_live_|AIza|glpat-|xox[abp]-|npm_|pypi-|eyJ|SG\.)"
+#: A value after a name that speaks of secrets, a private key with its header lines, a key of a known beginning, or a run that mixes
+#: letters and digits (or opens like a web token), with the runs that dots join to it. Repeats are possessive, so each is passed
+#: over once.
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*+[A-Z0-9]++(?:-[A-Z0-9]++)*+:(?:[^\r\n-]|-(?!----))*+)*+[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[^\s\"']{6,}+)"
+    r"-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY(?: BLOCK)?-----(?:\s*+[A-Z0-9]++(?:-[A-Z0-9]++)*+:(?:[^\r\n-]|-(?!----))*+)*+[A-Za-z0-9+/=\s]*+-----END (?:[A-Z]++ )*?PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*+[:=]\s*+[\"']?(?P<value>[^\s\"']{6,}+)"
+    rf"|(?-i:{KNOWN})[A-Za-z0-9_-]{{16,}}+(?:\.[A-Za-z0-9_-]++)*+"
     r"|(?<![A-Za-z0-9_+/@.-])(?:(?=eyJ)|(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z]))[A-Za-z0-9_+/-]{16,}+(?:\.{1,2}[A-Za-z0-9_+/-]++)*+={0,2}(?![A-Za-z0-9@])",
     re.I,
 )
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "key", "auth", "private")
 CALM = ("sha", "commit", "version", "uuid", "id", "checksum", "integrity", "example", "page", "order", "isbn", "digest", "build")
 PIECES = ("the", "ing", "tion", "ent", "and", "er", "on", "an", "re", "es", "or", "in", "at", "en", "st", "th", "ha", "le", "de", "ou", "user", "name", "test", "example", "file", "path", "data", "value", "change", "your", "here", "class", "index", "config")
-_PREFIX = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ|-----BEGIN)")
+_PREFIX = re.compile(rf"^({KNOWN}|sk-|-----BEGIN)")
 
 
 _KIND = np.full(256, 3)  # 0 upper case, 1 lower case, 2 digit, 3 anything else
@@ -153,7 +157,7 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, **option
     return Forest.fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]), **options)
 
 
-_GATE = re.compile(r"[0-9]|-----BEGIN|passw|pwd|secret|token|api[_-]?key|auth|eyJ", re.I)
+_GATE = re.compile(rf"[0-9]|-----BEGIN|passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth|{KNOWN}", re.I)
 
 
 def find(texts: list[str | None], paths: list[str | None], forest: Forest, threshold: float = 0.5) -> list[list[tuple[int, int, float]]]:

@@ -86,6 +86,37 @@ def test_secrets(odd, docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+CONTEXTS = ("we use {} for now, see above", "see https://x.com/{} for it", "config.{}", "https://user:{}@github.com/x")
+
+
+def placed_secrets(n, seed=23):
+    """(format, context, text, start and end of the value) of drawn keys of every format in every context."""
+    r = random.Random(seed)
+    draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    for name, (lead, prefix, chars, sizes, end) in secret_scan.FORMATS.items():
+        for c, context in enumerate(CONTEXTS):
+            for _ in range(n):
+                value = r.choice(prefix) + draw(chars, r.choice(sizes)) + end
+                text = context.format(lead + value)
+                yield name, c, text, text.index(value), text.index(value) + len(value)
+
+
+def test_every_format_is_found_end_to_end(spark):
+    """Recall of scan and redact together, candidates included, by format and context."""
+    rows = list(placed_secrets(40))
+    df = spark.createDataFrame([(i, x[2], "src") for i, x in enumerate(rows)], "doc_id long, text string, source string")
+    spans = {r.doc_id: [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s] for r in secret_scan.scan(df).collect()}
+    left = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    found = collections.defaultdict(list)
+    for i, (name, c, text, a, b) in enumerate(rows):
+        hit = any(x <= a and b <= y for x, y in spans[i])
+        assert hit == (text[a:b] not in left[i]) or not hit  # what is found goes
+        found[name, c].append(hit)
+    share = {k: np.mean(v) for k, v in found.items()}
+    assert np.mean([x for v in found.values() for x in v]) > 0.97, share
+    assert min(share.values()) >= 0.75, {k: v for k, v in share.items() if v < 0.9}
+
+
 @pytest.mark.parametrize("n", [600, 6000])
 def test_long_secrets_are_found_whole(spark, n):
     r = random.Random(n)
