@@ -3,6 +3,8 @@ the few nodes of a page that can matter, so pages are parsed once and shuffled n
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,17 @@ def product_json_ld(pages: DataFrame) -> DataFrame:
     return one.select("page_id", *[F.col(f"f.{c}").alias(f"ld_{c}") for c in ("title", "brand", "sku", "description", "price", "money", "images", "described")])
 
 
+_ANY_CLASS = re.compile("(?i)" + "|".join([*CLASS.values(), "breadcrumb"]))
+
+
+def _matters(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element can give a field; the others do not leave the parser."""
+    return (tag == "meta" and ("property" in attrs or "name" in attrs)) or "itemprop" in attrs or bool(_ANY_CLASS.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+
+
 def page_record(pages: DataFrame) -> DataFrame:
     """page_id, title, brand, sku, description, price, breadcrumbs, is_product_page."""
-    n = html_nodes(pages)
+    n = html_nodes(pages, ("h1", "title", "img"), keep=_matters, text=lambda tag, _: tag not in ("meta", "img"))
     own, attr = text.collapse_space(F.col("content")), F.col("attrs")
     name = F.coalesce(attr["property"], attr["name"])
     cls = F.lower(F.concat_ws(" ", attr["class"], attr["id"]))

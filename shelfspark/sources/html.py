@@ -1,83 +1,167 @@
-"""Pages to nodes: one row for each element, from Python's own parser in Arrow batches."""
+"""Pages to nodes, from Python's own parser in Arrow batches: elements as nested intervals, and the text of whole subtrees.
+
+Places are given in document order to elements and texts alike, so a node at ``pos`` has exactly the nodes from ``pos + 1`` to ``last``
+below it. What is asked of ancestors or descendants is then a question of intervals: a range join, a running maximum or a
+difference of running sums over the places of a page (see operators/dom.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+#: Open elements that a start tag ends, and the elements that it does not look beyond.
+ENDS = {tag: ({"p"}, {"table", "td", "th", "button"}) for tag in _BLOCKS} | {
+    "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
+    "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+}
+TEXT = "#text"
 
 
 class _Nodes(HTMLParser):
+    """nodes: [parent, depth, nth, tag, attrs, last, begin, end], begin and end being offsets in the page's text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.nodes: list[list] = []
         self.open: list[int] = []
+        self.children: list[int] = [0]
+        self.pieces: list[str] = []
+        self.length = 0
+
+    def _node(self, tag: str, attrs: dict[str, str] | None) -> int:
+        self.children[-1] += attrs is not None
+        self.nodes.append([self.open[-1] if self.open else -1, len(self.open), self.children[-1] if attrs is not None else 0, tag, attrs, len(self.nodes), self.length, self.length])
+        return len(self.nodes) - 1
+
+    def _close(self, k: int) -> None:
+        for at in self.open[k:]:
+            self.nodes[at][5], self.nodes[at][7] = len(self.nodes) - 1, self.length
+        del self.open[k:], self.children[k + 1 :]
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.open and self.rows[self.open[-1]][1] == "p":
-            self.open.pop()
-        at = len(self.rows)
-        self.rows.append([self.open[-1] if self.open else -1, tag, {k: v or "" for k, v in attrs}, ""])
+        ended, within = ENDS.get(tag, ((), ()))
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.nodes[self.open[k]][3]
+            if name in within:
+                break
+            if name in ended:
+                self._close(k)
+        first: dict[str, str] = {}
+        for k, v in attrs:
+            first.setdefault(k, v or "")
+        at = self._node(tag, first)
         if tag not in VOID:
             self.open.append(at)
+            self.children.append(0)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]][1] == tag:
-                del self.open[i:]
-                return
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.nodes[self.open[k]][3] == tag:
+                return self._close(k)
 
     def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]][3] += data
-
-
-NODE = "page_id long, pos int, parent int, tag string, attrs map<string,string>, content string"
-
-
-def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
-    """page_id, pos (document order), parent, tag, attrs, content (own text); tags: only these leave the parser."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, html in zip(pdf["page_id"], pdf["html"]):
+        last = self.nodes[-1] if self.nodes else None
+        if not (last and last[4] is None and last[0] == (self.open[-1] if self.open else -1)):
+            last = self.nodes[self._node(TEXT, None)]
+        self.pieces.append(data)
+        self.length += len(data)
+        last[7] = self.length
+
+    def read(self, html: str) -> str:
+        """Reads a page; returns its text."""
+        self.feed(html)
+        self.close()
+        if self.cdata_elem and self.rawdata:  # a script that does not end
+            self.handle_data(self.rawdata)
+        self._close(0)
+        return "".join(self.pieces)
+
+
+NODE = "pos int, last int, parent int, depth int, nth int, tag string, attrs map<string,string>, content string, chars int"
+_NAMES = [x.split()[0] for x in NODE.split(", ")]
+_TYPES = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+Wanted = Callable[[str, dict[str, str]], bool]
+
+
+def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Wanted | None = None, text: Wanted | None = None, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, pos, last, parent, depth, nth (place among its parent's elements, from 1), tag, attrs, content, chars.
+
+    Only elements of these tags, or that ``keep`` (of tag and attributes) wants, leave the parser; without either, all do. content is
+    the text of the whole subtree, for elements that ``text`` wants (all, if it is not given); chars the length of that text without
+    the white space around it, for every element. texts: text nodes are rows too, as ``#text``. carry: further columns of pages."""
+    all_of = tags is None and keep is None
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, html in enumerate(batch.column(1)):
                 p = _Nodes()
-                p.feed(html or "")
-                out += [(page, i, *r) for i, r in enumerate(p.rows) if tags is None or r[1] in tags]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "parent", "tag", "attrs", "content"])
-
-    return pages.where(F.col("url").rlike("(?i)^https?:")).select("page_id", "html").mapInPandas(parse, NODE)
-
-
-#: How deep a Product is looked for in nested lists and graphs.
-LD_DEPTH = 3
+                whole = p.read(html.as_py() or "")
+                out = []
+                for pos, (parent, depth, nth, tag, attrs, last, begin, end) in enumerate(p.nodes):
+                    if attrs is None:
+                        if texts:
+                            out.append((pos, last, parent, depth, nth, tag, None, whole[begin:end], end - begin))
+                    elif all_of or (tags and tag in tags) or (keep and keep(tag, attrs)):
+                        content = whole[begin:end]
+                        out.append((pos, last, parent, depth, nth, tag, list(attrs.items()), content if text is None or text(tag, attrs) else None, len(content.strip())))
+                if out:
+                    head = [batch.column(c).take(pa.array([row] * len(out))) for c in (0, *range(2, batch.num_columns))]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
+                    yield pa.RecordBatch.from_arrays([head[0], *cols, *head[1:]], ["page_id", *_NAMES, *carry])
+
+    kinds = dict(pages.dtypes)
+    given = pages.where(F.col("url").rlike("(?i)^https?:")).select(F.col("page_id").cast("long").alias("page_id"), "html", *carry)
+    return given.mapInArrow(parse, ", ".join(["page_id long", NODE, *[f"{c} {kinds[c]}" for c in carry]]))
+
+
+def _products(ld: object, path: tuple[int, ...] = (0,)) -> Iterator[tuple[tuple[int, ...], str]]:
+    """Every Product in the data, in order, with its place; what stands inside one belongs to it."""
+    waiting = [(path, ld)]
+    while waiting:
+        at, x = waiting.pop()
+        if isinstance(x, dict):
+            kind = x.get("@type")
+            if kind == "Product" or (isinstance(kind, list) and "Product" in kind):
+                yield at, json.dumps(x, ensure_ascii=False)
+                continue
+        inner = list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else []
+        waiting += [((*at, i), y) for i, y in reversed(list(enumerate(inner))) if isinstance(y, (dict, list))]
 
 
 def json_ld_products(pages: DataFrame) -> DataFrame:
-    """page_id, block, item (their places) and the VARIANT of every Product in the page's JSON-LD: a block, an element of a list, of
-    an @graph or of an item list, or such an element's own, to a fixed depth. Blocks that do not parse are skipped."""
+    """page_id, block, item (their places) and the VARIANT of every Product in the page's JSON-LD, however deep in lists, graphs and
+    objects. Blocks that do not parse are skipped."""
+
+    def find(blocks: pd.Series) -> pd.Series:
+        out = []
+        for raws in blocks:
+            found = []
+            for block, raw in enumerate(raws):
+                try:
+                    found += [{"block": block, "item": list(at), "raw": text} for at, text in _products(json.loads(raw))]
+                except (ValueError, RecursionError):
+                    pass
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
     blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
-    raw = pages.select("page_id", F.posexplode(blocks).alias("block", "raw")).select("page_id", "block", F.try_parse_json("raw").alias("ld")).where("ld IS NOT NULL")
-    many = lambda path: F.coalesce(F.try_variant_get("ld", path, "array<variant>"), F.array().cast("array<variant>"))
-    inner = F.concat(many("$"), many("$['@graph']"), F.transform(many("$.itemListElement"), lambda v: F.coalesce(F.try_variant_get(v, "$.item", "variant"), v)))
-    level, out = raw.withColumn("item", F.array(F.lit(0))), None
-    for _ in range(LD_DEPTH):
-        out = level if out is None else out.unionByName(level)
-        level = level.select("page_id", "block", "item", F.posexplode(inner).alias("i", "ld")).select("page_id", "block", F.array_append("item", F.col("i")).alias("item"), "ld")
-    kind, kinds = F.try_variant_get("ld", "$['@type']", "string"), F.try_variant_get("ld", "$['@type']", "array<string>")
-    return out.where((kind == "Product") | F.array_contains(kinds, "Product"))
+    some = pages.where(F.col("html").contains("ld+json")).select("page_id", blocks.alias("blocks"))
+    each = some.select("page_id", F.explode(F.pandas_udf(find, "array<struct<block int, item array<int>, raw string>>")("blocks")).alias("p"))
+    return each.select("page_id", "p.block", "p.item", F.try_parse_json("p.raw").alias("ld")).where("ld IS NOT NULL")
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Title, first heading, paragraph text and link count of each page, the title by its chain of sources, without a shuffle of
     the pages themselves: only the few nodes that matter are grouped."""
-    n = html_nodes(pages, ("meta", "h1", "title", "p", "a"))
+    n = html_nodes(pages, ("meta", "h1", "title", "p", "a"), text=lambda tag, _: tag in ("h1", "title"))
     first = lambda cond, what: F.min_by(F.when(cond, what), F.when(cond, F.col("pos")))
     own = F.trim(F.regexp_replace("content", r"\s+", " "))
     og = (F.col("tag") == "meta") & F.col("attrs")["property"].isin("og:title", "twitter:title")
