@@ -19,12 +19,16 @@ def bump_largest(df: DataFrame, key: list[str], measure: str, seq: str, bonus: i
     return df.withColumn("score", F.col("score") + F.when((first == 1) & (F.count("*").over(w) > 1), bonus).otherwise(0))
 
 
-def winning_container_first(ranked: DataFrame, key: str, container: str, top: int = 6) -> DataFrame:
-    """Rows of the container that is commonest among the top ones move to the front; all keep their order otherwise."""
-    n = ranked.where(F.col("rank") <= top).groupBy(key, container).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    win = n.groupBy(key).agg(F.max_by(container, F.struct("n", -F.col("first"))).alias("win"))
-    order = Window.partitionBy(key).orderBy(F.desc(F.col(container) == F.col("win")), "rank")
-    return ranked.join(win, key).withColumn("new_rank", F.row_number().over(order)).drop("win")
+def winning_container_first(ranked: DataFrame, key: str, selector: str, top: int = 6) -> DataFrame:
+    """Of the containers of the top rows (a selector's path without its last step), the first with two of them wins, if there is one;
+    rows whose selector begins with it move to the front. All keep their order otherwise."""
+    path = F.regexp_extract(selector, r"(?s)^(.+) > ", 1)
+    container = F.when(path != "", path).otherwise(F.col(selector))
+    n = ranked.where((F.col("rank") <= top) & F.col(selector).isNotNull()).groupBy(key, container.alias("container")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    win = n.where("n >= 2").groupBy(key).agg(F.min_by("container", "first").alias("win"))
+    front = F.coalesce(F.startswith(F.col(selector), F.col("win")), F.lit(False))
+    order = Window.partitionBy(key).orderBy(F.desc(front), "rank")
+    return ranked.join(win, key, "left").withColumn("new_rank", F.row_number().over(order)).drop("win")
 
 
 def first_matches(df: DataFrame, key: str, seq: str, matches: Column, quota: int = 3) -> DataFrame:

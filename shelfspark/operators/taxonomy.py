@@ -32,6 +32,17 @@ def missing_levels(paths: DataFrame, existing: DataFrame) -> DataFrame:
     return prefixes.distinct().join(existing.select("path"), "path", "left_anti")
 
 
+def create_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """What a walk along paths adds to known (category_id, path): category_id, name, slug, parent_id, level, path of every level that is
+    missing. An id is a hash of its whole path, so parents and children agree on it without an order of writing, two walks
+    of one path make one node, and a walk over what is already there makes none."""
+    new_id = lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # noqa: E731  far from ids that were counted up
+    n = missing_levels(paths, known).withColumns({"name": F.element_at(F.split("path", " > "), -1), "parent": F.regexp_extract("path", r"^(.*) > ", 1)})
+    ids = known.groupBy(F.col("path").alias("parent")).agg(F.min("category_id").cast("long").alias("known_id"))
+    n = n.join(ids, "parent", "left").withColumn("parent_id", F.when(F.col("parent") != "", F.coalesce("known_id", new_id(F.col("parent")))))
+    return n.select(new_id(F.col("path")).alias("category_id"), "name", text.slug(F.col("name")).alias("slug"), "parent_id", "level", "path")
+
+
 def known_prefix(paths: DataFrame, existing: DataFrame) -> DataFrame:
     """path, depth: how many levels exist before the first gap."""
     parts = F.split("path", " > ")

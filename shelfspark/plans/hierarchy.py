@@ -148,3 +148,24 @@ def created_categories(spark, sf_dir):
     name = F.when(k == 0, "  ").when(k == 1, F.col("n_name")).when(k == 2, F.concat("n_name", F.lit("!"))).otherwise(F.col("s_name"))
     asked = s.select(F.col("s_suppkey").alias("seq"), name.alias("name"), (F.col("n_regionkey") + 1).cast("int").alias("parent_id"))
     return ops.create_categories(asked, nodes(spark, sf_dir)).select("seq", "status")
+
+
+_WALK = "(SELECT DISTINCT r_name || ' > ' || n_name || ' > ' || c_mktsegment || ' > ' || substr(c_mktsegment, 1, 3) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"""WITH RECURSIVE {_PATHS}, k AS (SELECT path, min(category_id) AS known FROM p GROUP BY path),
+  l AS (SELECT DISTINCT level, array_to_string(s[1:level + 1], ' > ') AS path, s[level + 1] AS name FROM (SELECT string_split(path, ' > ') AS s FROM {_WALK}), (SELECT unnest(range(4)) AS level))
+  SELECT l.path, l.name, CAST(l.level AS INTEGER) AS level, NULLIF(regexp_extract(l.path, '^(.*) > ', 1), '') AS parent, u.known IS NULL AND l.level > 0 AS parent_is_new, 1 AS walk
+  FROM l LEFT JOIN k ON l.path = k.path LEFT JOIN k u ON regexp_extract(l.path, '^(.*) > ', 1) = u.path WHERE k.path IS NULL""")
+def created_paths(spark, sf_dir):
+    """A walk that creates missing categories: each new node with its parent, found by the parent's id, and what a second walk adds: nothing."""
+    t = lambda n: table(spark, sf_dir, n)
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = c.select(F.concat_ws(" > ", "r_name", "n_name", "c_mktsegment", F.substring("c_mktsegment", 1, 3)).alias("path"))
+    known = ops.category_paths(nodes(spark, sf_dir)).select(F.col("category_id").cast("long").alias("category_id"), "path")
+    made = taxonomy.create_paths(paths, known)
+    every = known.withColumn("new", F.lit(False)).unionByName(made.select("category_id", "path", F.lit(True).alias("new")))
+    again = taxonomy.create_paths(paths, every.select("category_id", "path"))
+    both = made.withColumn("walk", F.lit(1)).unionByName(again.withColumn("walk", F.lit(2)))
+    parents = every.select(F.col("category_id").alias("parent_id"), F.col("path").alias("parent"), F.col("new").alias("parent_is_new"))
+    return both.join(parents, "parent_id", "left").select("path", "name", F.col("level").cast("int").alias("level"), "parent", F.coalesce("parent_is_new", F.lit(False)).alias("parent_is_new"), "walk")

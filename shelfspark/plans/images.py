@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import images as img
@@ -90,6 +91,30 @@ def image_filter_counts(spark, sf_dir):
     return c.agg(F.count_if(~real).alias("invalid"), F.count_if(real & junk).alias("junk"), F.count_if(real & ~junk & (F.col("score") < 40)).alias("low_score"), F.count_if(real & ~junk & (F.col("score") >= 40)).alias("kept"))
 
 
+@query(f"""WITH g AS (SELECT page_id, canonical, count(*) AS n, arg_max(large, 100000 * score - pos) AS large, max(score) AS score FROM {_SCORED} WHERE fine AND score >= 40 GROUP BY ALL),
+  k AS (SELECT *, TRY_CAST(regexp_extract(lower(large), '([0-9]{{3,4}})x', 1) AS INTEGER) AS px FROM g), f AS (SELECT *, contains(large, 'shopify') OR score >= 65 AND {_BYTES} >= 15000 OR {_BYTES} >= 20000 AS fits FROM k)
+  SELECT (SELECT count(*) FROM {_SCORED} WHERE url = '') AS empty, (SELECT count(*) FROM {_SCORED} WHERE contains(url, 'data:')) AS invalid, (SELECT count(*) FROM {_SCORED} WHERE NOT contains(url, 'data:') AND NOT fine) AS junk, (SELECT count(*) FROM {_SCORED} WHERE fine AND score < 40) AS low_score,
+  count(*) FILTER (WHERE n > 1) AS duplicate_groups, count(*) FILTER (WHERE NOT fits) AS small_file, count(*) FILTER (WHERE fits) AS kept FROM f""")
+def image_audit(spark, sf_dir):
+    """What each step of the ranking refused and kept, counted by the very job that ranked."""
+    audit = ops.ImageAudit()
+    ops.rank_images(candidates(spark, sf_dir), audit=audit).write.format("noop").mode("overwrite").save()
+    names = ("empty", "invalid", "junk", "low_score", "duplicate_groups", "small_file", "kept")
+    return spark.createDataFrame([tuple(audit.counts()[c] for c in names)], ", ".join(f"{c} long" for c in names))
+
+
+@query("""WITH r AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
+  s AS (SELECT *, CASE p_size % 4 WHEN 0 THEN 'div.main > ul > img' WHEN 1 THEN 'div.main > img' WHEN 2 THEN 'img' END AS path, CASE p_size % 4 WHEN 0 THEN 'div.main > ul' WHEN 1 THEN 'div.main' WHEN 2 THEN 'img' END AS container FROM r),
+  w AS (SELECT p_brand, arg_min(container, first) AS win FROM (SELECT p_brand, container, min(rank) AS first FROM s WHERE rank <= 6 AND container IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
+  SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(starts_with(path, win), false) DESC, rank) AS INTEGER) AS new_rank FROM s LEFT JOIN w USING (p_brand)""")
+def container_consensus(spark, sf_dir):
+    """Images of the first container with two among a brand's first six move to the front."""
+    path = F.get(F.array(F.lit("div.main > ul > img"), F.lit("div.main > img"), F.lit("img"), F.lit(None).cast("string")), (F.col("p_size") % 4).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    ranked = table(spark, sf_dir, "part").select("p_brand", "p_partkey", path.alias("selector"), rank.alias("rank"))
+    return selection.winning_container_first(ranked, "p_brand", "selector").select("p_brand", "p_partkey", "new_rank")
+
+
 _PLAIN = ["concat('https://a.com/x/', p_name, '_web.png')", "concat('https://a.com/cdn/shop/files/logo.png?', p_name)", "concat('https://a.com/cdn/shop/files/', p_size, '_300x300.jpg')", "concat('https://a.com/velvet/', p_size, '.jpg')", "concat('https://a.com/gallery/', p_size)", "concat('/p/', p_size, '?$n_640w')", "''", "concat('https://a.com/page?id=', p_size)"]
 
 

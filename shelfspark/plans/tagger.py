@@ -94,10 +94,18 @@ def gender_and_override(spark, sf_dir):
 _FORMS = [("berry", ["berries", "berrys", "berryes"]), ("glass", ["glasses", "glasss"]), ("Knife", ["knives", "knifes", "knifees"]), ("men", ["man", "mens", "menes"]), ("boxes", ["box", "boxe", "boxess", "boxeses"]), ("tomatoes", ["tomato", "tomatoe", "tomatoess", "tomatoeses"]), ("dresses", ["dress", "dresse", "dressess", "dresseses"])]
 
 
-@query(f"""SELECT word, list_sort(list_append(f, lower(word))) AS forms FROM (VALUES {", ".join(f"('{w}', {f})" for w, f in _FORMS)}) AS t(word, f)""")
+#: Endings that make words of a table's words, and the forms that such a word has besides itself.
+_ENDINGS = [("", "[w || 's', w || 'es']"), ("y", "list_concat([w || 'ys', w || 'yes'], CASE WHEN regexp_matches(w, '[^aeiou]$') THEN [w || 'ies'] ELSE [] END)"), ("f", "[w || 'ves', w || 'fs', w || 'fes']"), ("ches", "[w || 'ch', w || 'che', w || 'chess', w || 'cheses']")]
+
+
+@query(f"""WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT word, list_sort(list_append(f, lower(word))) AS forms FROM (VALUES {", ".join(f"('{w}', {f})" for w, f in _FORMS)}) AS t(word, f)
+  UNION ALL """ + " UNION ALL ".join(f"SELECT w || '{e}', list_sort(list_append({f}, w || '{e}')) FROM p" for e, f in _ENDINGS))
 def plural_forms(spark, sf_dir):
-    """A dictionary's words, by hand, in all their forms."""
-    return spark.createDataFrame([(w,) for w, _ in _FORMS], "word string").select("word", F.array_sort(words.plural_forms(F.col("word"))).alias("forms"))
+    """The words of the products' names with endings that the rules know, and words by hand, in all their forms."""
+    own = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    made = own.select(F.explode(F.array(*[F.concat("w", F.lit(e)) for e, _ in _ENDINGS])).alias("word"))
+    every = made.unionByName(spark.createDataFrame([(w,) for w, _ in _FORMS], "word string"))
+    return every.select("word", F.array_sort(words.plural_forms(F.col("word"))).alias("forms"))
 
 
 @query("SELECT p_type AS tag_type, count(DISTINCT string_split(p_name, ' ')[1]) AS n, string_agg(DISTINCT string_split(p_name, ' ')[1], ', ' ORDER BY string_split(p_name, ' ')[1]) AS names FROM part GROUP BY p_type")

@@ -85,18 +85,19 @@ class _Nodes(HTMLParser):
         return "".join(self.pieces)
 
 
-NODE = "pos int, last int, parent int, depth int, nth int, tag string, attrs map<string,string>, content string, chars int"
+NODE = "pos int, last int, parent int, depth int, nth int, tag string, attrs map<string,string>, content string, chars int, own string, above string"
 _NAMES = [x.split()[0] for x in NODE.split(", ")]
-_TYPES = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+_TYPES = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string()]
 Wanted = Callable[[str, dict[str, str]], bool]
 
 
 def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Wanted | None = None, text: Wanted | None = None, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """page_id, pos, last, parent, depth, nth (place among its parent's elements, from 1), tag, attrs, content, chars.
+    """page_id, pos, last, parent, depth, nth (place among its parent's elements, from 1), tag, attrs, content, chars, own, above.
 
     Only elements of these tags, or that ``keep`` (of tag and attributes) wants, leave the parser; without either, all do. content is
     the text of the whole subtree, for elements that ``text`` wants (all, if it is not given); chars the length of that text without
-    the white space around it, for every element. texts: text nodes are rows too, as ``#text``. carry: further columns of pages."""
+    the white space around it, for every element; own the text that stands in the element itself (where content is given), above the
+    tag of its parent. texts: text nodes are rows too, as ``#text``. carry: further columns of pages."""
     all_of = tags is None and keep is None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +105,17 @@ def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Want
             for row, html in enumerate(batch.column(1)):
                 p = _Nodes()
                 whole = p.read(html.as_py() or "")
-                out = []
-                for pos, (parent, depth, nth, tag, attrs, last, begin, end) in enumerate(p.nodes):
+                out, own, nodes = [], {}, p.nodes
+                for parent, *_, tag, attrs, _, begin, end in nodes:
+                    if attrs is None:
+                        own[parent] = own.get(parent, "") + whole[begin:end]
+                for pos, (parent, depth, nth, tag, attrs, last, begin, end) in enumerate(nodes):
                     if attrs is None:
                         if texts:
-                            out.append((pos, last, parent, depth, nth, tag, None, whole[begin:end], end - begin))
+                            out.append((pos, last, parent, depth, nth, tag, None, whole[begin:end], end - begin, None, nodes[parent][3] if parent >= 0 else None))
                     elif all_of or (tags and tag in tags) or (keep and keep(tag, attrs)):
-                        content = whole[begin:end]
-                        out.append((pos, last, parent, depth, nth, tag, list(attrs.items()), content if text is None or text(tag, attrs) else None, len(content.strip())))
+                        content, asked = whole[begin:end], text is None or text(tag, attrs)
+                        out.append((pos, last, parent, depth, nth, tag, list(attrs.items()), content if asked else None, len(content.strip()), own.get(pos, "") if asked else None, nodes[parent][3] if parent >= 0 else None))
                 if out:
                     head = [batch.column(c).take(pa.array([row] * len(out))) for c in (0, *range(2, batch.num_columns))]
                     cols = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
