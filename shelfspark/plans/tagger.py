@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, words
 from ..operators import catalog as ops
-from ..operators import tagging, taxonomy
+from ..operators import tagger, tagging, taxonomy
 from .registry import query, table, values
 
 #: As SQL that both engines read.
@@ -112,3 +112,39 @@ def plural_forms(spark, sf_dir):
 def tags_by_type(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name"), F.col("p_type").alias("tag_type")).distinct()
     return t.groupBy("tag_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+
+
+#: A taxonomy whose leaves are the second words of the products' names, and departments with rules of their own.
+SHOP = [
+    (1, "Fashion", None), (2, "Accessories", 1), (3, "Rings", 2), (4, "Tools & Hardware", None), (5, "Bolts", 4), (6, "Rods", 4), (7, "Gears", 4), (8, "Anvils", 4), (9, "Electronics", None), (10, "Gizmos", 9), (11, "Widgets", 9), (12, "Kitchen & Dining", None),
+    (13, "Plates", 12),
+]
+_LEAF = {"ring": "Fashion > Accessories > Rings", "bolt": "Tools & Hardware > Bolts", "rod": "Tools & Hardware > Rods", "gear": "Tools & Hardware > Gears", "anvil": "Tools & Hardware > Anvils", "gizmo": "Electronics > Gizmos", "widget": "Electronics > Widgets", "plate": "Kitchen & Dining > Plates"}
+_WORD_TYPES = {"red": "colors", "blue": "colors", "small": "fit", "large": "fit", "old": "styles", "new": "styles", "hot": "occasions", "cold": "activities", "stripe": "patterns", "striped": "patterns", "brass": "finishes"}
+_SHOP_TITLE = "concat(p_name, ' m', CAST(p_partkey AS STRING), CASE WHEN p_size % 4 = 0 THEN ' stripes and striped' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN ' for women' ELSE '' END, CASE WHEN p_size % 7 = 0 THEN ' phone case' ELSE '' END)"
+_SPECS = "CASE WHEN p_size % 2 = 0 THEN 'finish: brass' END"
+_DESCRIPTION = "CASE WHEN p_size % 9 = 0 THEN 'nice for toddlers and a toddler' END"
+_CASE = lambda x, m: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
+_LEAVES = _CASE("noun", _LEAF)
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, string_split(p_name, ' ')[1] AS adj, string_split(p_name, ' ')[2] AS noun FROM part),
+  c AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'Electronics > Mobile Accessories > Cases' ELSE {_LEAVES} END AS path FROM p),
+  d AS (SELECT *, coalesce(lower(string_split(path, ' > ')[1]), '') AS dept FROM c),
+  g AS (SELECT *, CASE WHEN dept = 'electronics' THEN 'unisex' WHEN p_size % 5 = 0 THEN 'women' WHEN p_size % 9 = 0 THEN 'kids' ELSE 'unisex' END AS gender FROM d),
+  w AS (SELECT p_partkey, adj AS name, {_CASE('adj', _WORD_TYPES)} AS type FROM p UNION ALL SELECT p_partkey, noun, {_CASE('noun', _WORD_TYPES)} FROM p UNION ALL SELECT p_partkey, 'm' || p_partkey, 'features' FROM p
+    UNION ALL SELECT p_partkey, 'striped', 'patterns' FROM p WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'brass', 'finishes' FROM p WHERE p_size % 2 = 0),
+  a AS (SELECT DISTINCT w.p_partkey, name, type FROM w JOIN g USING (p_partkey) WHERE type IS NOT NULL AND CASE dept {" ".join(f"WHEN '{k}' THEN type IN ({', '.join(repr(t) for t in v)})" for k, v in {'fashion': ['colors', 'patterns', 'finishes', 'materials', 'fit', 'styles', 'occasions', 'activities'], 'tools & hardware': ['materials', 'features', 'activities', 'finishes'], 'electronics': ['features', 'materials', 'colors', 'finishes'], 'kitchen & dining': ['materials', 'features', 'colors', 'finishes']}.items())} ELSE true END),
+  f AS (SELECT p_partkey, list(name || ':' || type ORDER BY list_position(['colors', 'patterns', 'finishes', 'materials', 'activities', 'styles', 'features', 'fit', 'occasions'], type), name) AS tags,
+    least(95, sum(points)) AS points FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY p_partkey, type ORDER BY name) = 1 THEN CASE WHEN type IN ('materials', 'styles', 'features') THEN 15 ELSE 10 END ELSE 0 END AS points FROM a) GROUP BY 1)
+  SELECT p_partkey AS product_id, path AS primary_category, gender, list_concat(list_concat(coalesce(tags, []), [gender || ':demographic']), CASE WHEN p_size % 9 = 0 THEN ['kids:demographic'] ELSE [] END) AS tags, CAST(coalesce(points, 0) AS INTEGER) AS confidence, coalesce(points, 0) < 70 AS needs_enrichment
+  FROM g LEFT JOIN f USING (p_partkey)""")
+def assembled_tags(spark, sf_dir):
+    """Final tags, primary category, gender and confidence of every product; the dictionary has a tag for each product besides its words."""
+    part = table(spark, sf_dir, "part")
+    own = part.select(F.concat(F.lit("m"), "p_partkey").alias("name"), F.lit("features").alias("tag_type"))
+    dictionary = own.unionByName(spark.createDataFrame(list(_WORD_TYPES.items()), "name string, tag_type string"))
+    cats = spark.createDataFrame([(i, n, p, 0, 0) for i, n, p in SHOP], "category_id int, name string, parent_id int, level int, llm_discovered int")
+    p = part.select(F.col("p_partkey").alias("product_id"), F.expr(_SHOP_TITLE).alias("title"), F.lit("https://shop.com/").alias("url"), F.array(F.lit("Home"), F.expr(_SHOP_TITLE)).alias("breadcrumbs"), F.lit(None).cast("string").alias("json_ld"), F.expr(_SPECS).alias("specs"), F.lit(None).cast("string").alias("brand"), F.expr(_DESCRIPTION).alias("description"))
+    out = tagger.tag_products(p, dictionary, cats)
+    return out.select("product_id", "primary_category", "gender", F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), t["type"])).alias("tags"), (F.col("confidence") * 100).cast("int").alias("confidence"), "needs_enrichment")
