@@ -68,7 +68,7 @@ def _signer(n: int):
     """Of each text: two hashes and the size of its shingle set, the minima (path) and 16 bits of each (sig)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):  # sets of so many texts in memory
             sets = [_shingles(t.as_py(), n) for t in batch.column(2)]
             full = [i for i, s in enumerate(sets) if len(s)]
             m = np.zeros((len(sets), COORDS), np.uint32)

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words kept in a worker's memory.
-CACHE = 300_000
+#: Words kept in a worker's memory, twice at most: with the bytes of their ids some 200 bytes each.
+CACHE = 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -115,8 +115,11 @@ class Model:
         # bytes of the source that a piece covers where the map changes nothing and a mark stands for one blank
         self.covers = np.array([1 if kind == 6 else len(raw) if kind == 1 else 0 for raw, kind in zip(self.raw, self.kinds)], np.int64)
         self.is_byte = np.array([kind == 6 for kind in self.kinds])
-        self._words: dict[str, tuple[bytes, str]] = {}
-        self._older: dict[str, tuple[bytes, str]] = {}
+        self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        #: What each id spells, for a model whose pieces and bytes spell everything.
+        self.spelled = [b"" if kind == 3 else raw for raw, kind in zip(self.raw, self.kinds)] if len(self.byte) == 256 and not self.trim else None
+        self.marked = np.array([1 if kind == 6 else len(p.encode()) if kind == 1 else 0 for p, kind in zip(self.pieces, self.kinds)], np.int64)
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The normalised text, and the source byte of each of its characters with the end (None: as the text itself)."""
@@ -195,14 +198,14 @@ class Model:
             return [r[1]]
         return [self.byte[x] for x in piece.encode()] if self.byte else [self.unk]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """The ids of a word as little-endian 32-bit integers, and what they decode to within a text."""
+    def word(self, word: str) -> bytes:
+        """The ids of a word as little-endian 32-bit integers."""
         got = self._words.get(word)
         if got is None:
             got = self._older.get(word)
             if got is None:
                 ids = [i for p in self._merge(word) for i in self._ids(p)]
-                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, first=False)
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) < 64:
                 if len(self._words) >= CACHE:
                     self._words, self._older = {}, self._words
@@ -229,17 +232,34 @@ class Model:
         source. Where the map changes nothing, spans follow from the ids; else they are carried along from the map."""
         normal, at = self.normalise(text)
         known, words = self._words, self.split(normal)
-        got = [known.get(w) or self.word(w) for w in words]
-        ids = b"".join([struct.pack("<I", self.bos), *[g[0] for g in got], struct.pack("<I", self.eos)])
-        if at is None and self.byte and SPACE not in text:
-            spans = self._packed_spans(text, np.frombuffer(ids, "<u4"))
-        else:
+        ids = b"".join([struct.pack("<I", self.bos), *[known.get(w) or self.word(w) for w in words], struct.pack("<I", self.eos)])
+        packed = np.frombuffer(ids, "<u4")
+        if at is not None or not self.byte:
             spans = np.column_stack(self.spans(text)[1:])
-        spans = spans.astype("<u4").tobytes()
-        if words and (self.dummy_prefix or self.trim):
-            head = np.frombuffer(got[0][0], "<u4").tolist()
-            return ids, "".join([self.decode(head), *[g[1] for g in got[1:]]]), spans
-        return ids, "".join([g[1] for g in got]), spans
+        else:
+            spans = self._marked_spans(text, normal, packed) if SPACE in text else self._packed_spans(text, packed)
+        return ids, self._decoded(packed.tolist()), spans.astype("<u4").tobytes()
+
+    def _marked_spans(self, text: str, normal: str, ids: np.ndarray) -> np.ndarray:
+        """The same for a text that holds the mark itself, which is longer than a blank: by places in the normalised text."""
+        data = np.frombuffer(normal.encode(), np.uint8)
+        first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        source = np.concatenate([[0] * (1 + bool(self.dummy_prefix)), np.cumsum([len(c.encode()) for c in text])])
+        end = np.cumsum(self.marked[ids])
+        char = np.searchsorted(first, end - self.marked[ids], "right") - 1
+        begin, end = source[char], source[np.where(self.is_byte[ids], char + 1, np.searchsorted(first, end))]
+        begin[-1] = end[-1] = source[-1]
+        return np.column_stack([begin, end])
+
+    def _decoded(self, ids: list[int]) -> str:
+        """decode(ids), at once where what the ids spell is well-formed."""
+        if self.spelled:
+            try:
+                whole = b"".join(map(self.spelled.__getitem__, ids)).decode()
+                return whole[1:] if self.dummy_prefix and whole.startswith(" ") else whole
+            except UnicodeDecodeError:
+                pass
+        return self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text)[0], "<u4").tolist()

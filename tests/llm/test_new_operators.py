@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import chat_format, fill_in_middle, queries, token_alignment
+from shelfspark.llm import chat_format, fill_in_middle, queries, sentencepiece_codec, token_alignment
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fim_n string, n long, form string, id long, t string, row long, key long"
@@ -234,3 +234,17 @@ def test_expansion_with_tokens_of_no_bytes():
 def test_alignment_empty(spark, none, odd):
     assert token_alignment.digests(none, *paths()).count() == 0
     assert token_alignment.digests(odd.where("text is null or text = ''"), *paths()).select("n_a", "groups_sha256").distinct().collect() == [(0, "")]
+
+
+def test_codec_in_one_pass_is_that_by_pieces(libraries):
+    """ids, spans and decoded text of the packed form, against the walk by pieces and the library; with marks and odd characters."""
+    m, lib = sentencepiece_codec.load(paths()[1]), libraries[1]
+    r = random.Random(2)
+    for _ in range(600):
+        t = "".join(r.choices(["▁", " ", "the", "ab", "é", "日", "\U0001f600", "\n", "\0", "<0x41>", "</s>", "x"], k=r.randint(0, 25)))
+        ids, decoded, spans = m.encode_packed(t)
+        want = m.spans(t)
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == want[0] == lib.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(spans, "<u4").reshape(-1, 2).T.tolist() == [want[1], want[2]], t
+        assert decoded == m.decode(ids) == lib.decode(ids), t
