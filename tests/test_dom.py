@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import dom, extract, selectors, specs
+from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, selectors, specs, tagger
 from shelfspark.sources import html
 
 
@@ -186,3 +186,63 @@ def test_specifications(spark):
 def test_empty_tables(spark):
     none = pages(spark, ["x"]).limit(0)
     assert dom.trim_pages(none).count() == dom.product_roots(none).count() == specs.specifications(none).count() == 0
+
+
+def crumbs(spark, *htmls):
+    return {r.page_id: (r.method, r["items"]) for r in breadcrumbs.breadcrumbs(pages(spark, htmls)).collect()}
+
+
+def test_breadcrumbs(spark):
+    a = "<a>Women</a><a>Shoes</a>"
+    assert crumbs(
+        spark,
+        f'<script type="application/ld+json">{{"@type":"BreadcrumbList","itemListElement":[{{"name":"Home"}},{{"name":"Bags"}}]}}</script><div class="breadcrumb">{a}</div>',  # one crumb is none
+        '<script type="application/ld+json">{"@type":["x","BreadcrumbList"],"itemListElement":[{"name":""},{"item":{"name":"Bags"}},{"name":"Tote"}]}</script>',
+        '<ol aria-label="BREADCRUMB"><li><span itemprop="name">Women</span><a>help</a></li><li><span itemprop="name">Shoes</span><a>help</a></li></ol>',  # names before links
+        '<nav role="navigation"><p>x<ul><li><a>Women <i>(3)</i></a></li><li><a><i>Shoes</i></a></li></ul></nav>',  # a list in a navigation; own text first
+        f'<div class="breadcrumb"><a>one</a></div><p class="breadcrumbs">{a}</p>',  # only the first element of a selector is looked at
+        f'<div class="footer"><div>{a}</div></div><div id="menu">{a}</div><div>{"<a>x</a>" * 9}</div><section><div><a>Sale</a>{a}</div><ul><li><a>Men</a></li><li><a>Hats</a></li></ul></section>',
+        "<div><a>Women</a></div>", None, "",
+    ) == {0: ("class-pattern", ["Women", "Shoes"]), 1: ("jsonld", ["Bags", "Tote"]), 2: ("semantic", ["Women", "Shoes"]), 3: ("semantic", ["Women", "Shoes"]), 5: ("structural", ["Men", "Hats"])}
+
+
+CDN = "https://cdn.shopify.com/s/files/1/products"
+
+
+def test_gallery_candidates(spark):
+    p = pages(spark, [
+        f'<div class="gallery"><img src="" data-src="{CDN}/a_1200x.jpg" srcset="{CDN}/b_400x.jpg 400w, {CDN}/c_900x.jpg 900w"><picture><source srcset="{CDN}/s.jpg 1x"><source data-srcset="{CDN}/t.jpg"><img data-zoom-image="//cdn.shopify.com/z.jpg"></picture></div>'
+        f'<section class="you-might also"><div><img class="image__img" src="{CDN}/r.jpg"></div></section><div class="similar"><b><i><u><img id="zoomImage" src="/far.jpg"></u></i></b></div>',
+        f'<img src="{CDN}/only_1200x.jpg">', "", None,
+    ], "https://shop.com/p/1")
+    rows = gallery.candidates(p).orderBy("page_id", "fallback", "pos").collect()
+    got = [(r.selector, r.url.rsplit("/", 1)[1], r.from_srcset, r.from_zoom) for r in rows if r.page_id == 0 and not r.fallback]
+    assert [x[1:] for x in got] == [("a_1200x.jpg", False, False), ("c_1020x.jpg", True, False), ("z.jpg", False, True), ("s.jpg", True, False), ("t.jpg", True, False)] * 2 + [("far.jpg", False, False)] + [(f"{x}.jpg", True, False) for x in "ssttst"] * 2
+    assert got[0][0] == ".gallery img" and got[5][0] == "[class*=gallery] img" and got[10][0] == "#zoomImage"
+    assert [r.selector for r in rows if r.page_id == 1] == ["img"] and {r.page_id for r in rows} == {0, 1}
+    audit = catalog.ImageAudit()
+    ranked = gallery.page_images(p, audit=audit).collect()
+    assert {(r.page_id, r.method) for r in ranked} == {(0, "gallery-combined"), (1, "generic-fallback")}
+    assert [r.rank for r in ranked if r.page_id == 0] == sorted(r.rank for r in ranked if r.page_id == 0)
+
+
+def test_audit_counts(spark):
+    urls = [None, "", "data:image/png;base64,x", "https://a.com/logo.png", f"{CDN}/a_1200x.jpg", f"{CDN}/a_600x.jpg", "https://b.com/x_94x.jpg", "https://b.com/media/y.jpg"]
+    df = spark.createDataFrame([(1, i, u, False) for i, u in enumerate(urls)], "page_id int, pos int, url string, from_srcset boolean")
+    audit = catalog.ImageAudit()
+    n = len(catalog.rank_images(df, audit=audit).collect())
+    c = audit.counts()
+    assert (c["empty"], c["invalid"], c["junk"], c["duplicate_groups"], c["kept"]) == (2, 1, 1, 1, n) and sum(c.values()) - c["duplicate_groups"] + 1 == len(urls)
+
+
+def test_tagger_on_odd_products(spark):
+    rows = [(1, None, None, None, None, None, None, None), (2, "", "", [], "", "", "", ""), (3, "phone case for kids", "https://a.com/red-wool-thing", ["Home", "phone case for kids"], '{"color":"blue"}', "stripes, wool", "x", "a teen girl")]
+    p = spark.createDataFrame(rows, "product_id int, title string, url string, breadcrumbs array<string>, json_ld string, specs string, brand string, description string")
+    tags = spark.createDataFrame([("red", "colors"), ("blue", "colors"), ("wool", "materials"), ("stripe", "patterns"), ("odd", "no-such-type")], "name string, tag_type string")
+    cats = spark.createDataFrame([(1, "Fashion", None, 0, 0)], "category_id int, name string, parent_id int, level int, llm_discovered int")
+    got = {r.product_id: r for r in tagger.tag_products(p, tags, cats).collect()}
+    for i in (1, 2):
+        assert (got[i].primary_category, got[i].gender, [tuple(t) for t in got[i].tags], got[i].matched, got[i].needs_enrichment) == (None, "unisex", [("unisex", "demographic")], [], True)
+    r = got[3]  # an overriding phrase; electronics are unisex and know no patterns; the URL's colour stands first
+    assert (r.primary_category, r.gender) == ("Electronics > Mobile Accessories > Cases", "unisex")
+    assert [tuple(t) for t in r.tags] == [("red", "colors"), ("wool", "materials"), ("unisex", "demographic"), ("kids", "demographic")] and float(r.confidence) == 0.25

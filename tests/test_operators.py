@@ -20,11 +20,25 @@ def test_selection(spark):
     d = spark.createDataFrame([(1, "a", 1, 10), (1, "b", 2, 30), (1, "b", 3, 30), (1, "a", 4, 5)], "k int, v string, rank int, score int")
     assert selection.majority(d, "k", "v", "rank").first().v == "b"
     assert [r.score for r in selection.bump_largest(d, ["k"], "score", "rank").orderBy("rank").collect()] == [10, 55, 30, 5]
-    assert [r.rank for r in selection.winning_container_first(d, "k", "v").orderBy("new_rank").collect()] == [1, 4, 2, 3]
+    order = lambda *paths: [r.rank for r in selection.winning_container_first(spark.createDataFrame([(1, x, i + 1) for i, x in enumerate(paths)], "k int, s string, rank int"), "k", "s").orderBy("new_rank").collect()]
+    assert order("a > i", "b > i", "b > i", "b > i", "a > i") == [1, 5, 2, 3, 4]  # the first with two, not the commonest
+    assert order("a > i", "b > i", None, "c") == [1, 2, 3, 4] == order("x") + [2, 3, 4]  # none has two
+    assert order("a > b > i", "z", "a > b > i", "a > b c", "y > i") == [1, 3, 4, 2, 5]  # what begins with it moves
+    assert order(*"uvwxyz", "p > i", "p > i") == list(range(1, 9))  # beyond the first six
     row = spark.createDataFrame([(["b", "", "a"], ["a", "c", None])], "x array<string>, y array<string>").select(selection.ordered_union(F.col("x"), F.col("y")).alias("u")).first()
     assert row.u == ["b", "a", "c"]
 
 
+def test_path_walk_gives_ids(spark):
+    known = spark.createDataFrame([(1, "A"), (2, "A > B"), (3, "A > B")], "category_id long, path string")
+    walk = spark.createDataFrame([("A > B > C > D",), ("A > B > C",), ("X",), ("A",)], "path string")
+    made = {r.path: r for r in taxonomy.create_paths(walk, known).collect()}
+    assert set(made) == {"A > B > C", "A > B > C > D", "X"} and made["X"].parent_id is None and made["A > B > C"].parent_id == 2
+    assert made["A > B > C > D"].parent_id == made["A > B > C"].category_id and made["A > B > C > D"].level == 3 and made["X"].slug == "x"
+    every = known.unionByName(spark.createDataFrame([(r.category_id, r.path) for r in made.values()], "category_id long, path string"))
+    assert taxonomy.create_paths(walk, every).count() == 0
+
+
 def test_reconcile(spark):
     d = spark.createDataFrame([("Layered garment", "Acme, Inc.", "$1,234.50"), ("wool", "x", "12")], "t string, b string, p string")
     got = d.select(tag_type(F.col("t")), reconcile.clean_brand(F.col("b")), reconcile.valid_price(F.col("p")), reconcile.valid_title(F.col("t"))).collect()
