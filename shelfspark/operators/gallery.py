@@ -44,11 +44,12 @@ def candidates(pages: DataFrame) -> DataFrame:
     offer = lambda u, srcset: F.struct(u.alias("url"), F.lit(srcset).alias("from_srcset"), F.lit(not srcset).alias("main"))
     sets = F.coalesce(F.when(F.col("tag1") == "picture", F.col("sets")), F.array().cast("array<string>"))
     urls = F.concat(F.array(offer(F.coalesce(*map(given, SOURCES)), False), offer(best_of_srcset(F.coalesce(given("data-srcset"), given("srcset"))), True)), F.transform(sets, lambda x: offer(best_of_srcset(x), True)))
-    fallback = F.col("field") == "any"
+    # URLs are rewritten before the window, below which no filter on them can go: they are rewritten once
+    e = e.select("page_id", (F.col("field") == "any").alias("fallback"), "field", "rank", "pos", "selector", "page", given("data-zoom-image").isNotNull().alias("zoom"), given("data-large").isNotNull().alias("large"), F.posexplode(F.filter(urls, lambda x: x["url"].isNotNull())).alias("k", "x"))
+    e = e.withColumn("url", upgrade_cdn(absolute_url(F.col("x.url"), F.col("page"))))
     place = F.dense_rank().over(Window.partitionBy("page_id", "field").orderBy("rank", "pos")) - 1
-    e = e.select("page_id", fallback.alias("fallback"), place.alias("nr"), "selector", "page", given("data-zoom-image").isNotNull().alias("zoom"), given("data-large").isNotNull().alias("large"), F.posexplode(F.filter(urls, lambda x: x["url"].isNotNull())).alias("k", "x"))
-    url = upgrade_cdn(absolute_url(F.col("x.url"), F.col("page")))
-    return e.select("page_id", "fallback", F.col("nr").alias("place"), (F.col("nr") * 1000 + F.least("k", F.lit(999))).alias("pos"), url.alias("url"), "x.from_srcset", (F.col("x.main") & F.col("zoom")).alias("from_zoom"), (F.col("x.main") & F.col("large")).alias("from_large"), "selector")
+    e = e.withColumn("place", place)
+    return e.select("page_id", "fallback", "place", (F.col("place") * 1000 + F.least("k", F.lit(999))).alias("pos"), "url", "x.from_srcset", (F.col("x.main") & F.col("zoom")).alias("from_zoom"), (F.col("x.main") & F.col("large")).alias("from_large"), "selector")
 
 
 def page_images(pages: DataFrame, keep: int = 30, audit: ImageAudit | None = None) -> DataFrame:

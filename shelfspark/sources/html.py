@@ -91,21 +91,33 @@ _TYPES = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.
 Wanted = Callable[[str, dict[str, str]], bool]
 
 
-def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Wanted | None = None, text: Wanted | None = None, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Wanted | None = None, text: Wanted | None = None, texts: bool = False, carry: tuple[str, ...] = (), marks: dict[str, Wanted] | None = None) -> DataFrame:
     """page_id, pos, last, parent, depth, nth (place among its parent's elements, from 1), tag, attrs, content, chars, own, above.
 
     Only elements of these tags, or that ``keep`` (of tag and attributes) wants, leave the parser; without either, all do. content is
     the text of the whole subtree, for elements that ``text`` wants (all, if it is not given); chars the length of that text without
     the white space around it, for every element; own the text that stands in the element itself (where content is given), above the
-    tag of its parent. texts: text nodes are rows too, as ``#text``. carry: further columns of pages."""
+    tag of its parent. texts: text nodes are rows too, as ``#text``. carry: further columns of pages.
+    marks: adds ``marks``, the names of those predicates (of selectors.wants) that hold for the element (null for texts)."""
     all_of = tags is None and keep is None
+    looked_at = sorted({a for holds in (marks or {}).values() for a in holds.names})
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list[str]] = {}  # elements alike in tag and these attributes have the same marks
+
+        def marks_of(tag: str, attrs: dict[str, str]) -> list[str]:
+            key = (tag, *map(attrs.get, looked_at))
+            if key not in seen:
+                if len(seen) >= 10_000:
+                    seen.clear()
+                seen[key] = [m for m, holds in marks.items() if holds(tag, attrs)]
+            return seen[key]
+
         for batch in batches:
             for row, html in enumerate(batch.column(1)):
                 p = _Nodes()
                 whole = p.read(html.as_py() or "")
-                out, own, nodes = [], {}, p.nodes
+                out, own, nodes, named = [], {}, p.nodes, []
                 for parent, *_, tag, attrs, _, begin, end in nodes:
                     if attrs is None:
                         own[parent] = own.get(parent, "") + whole[begin:end]
@@ -113,17 +125,20 @@ def html_nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, keep: Want
                     if attrs is None:
                         if texts:
                             out.append((pos, last, parent, depth, nth, tag, None, whole[begin:end], end - begin, None, nodes[parent][3] if parent >= 0 else None))
+                            named.append(None)
                     elif all_of or (tags and tag in tags) or (keep and keep(tag, attrs)):
                         content, asked = whole[begin:end], text is None or text(tag, attrs)
                         out.append((pos, last, parent, depth, nth, tag, list(attrs.items()), content if asked else None, len(content.strip()), own.get(pos, "") if asked else None, nodes[parent][3] if parent >= 0 else None))
+                        named.append(marks_of(tag, attrs) if marks else None)
                 if out:
                     head = [batch.column(c).take(pa.array([row] * len(out))) for c in (0, *range(2, batch.num_columns))]
                     cols = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
-                    yield pa.RecordBatch.from_arrays([head[0], *cols, *head[1:]], ["page_id", *_NAMES, *carry])
+                    also = [pa.array(named, pa.list_(pa.string()))] if marks else []
+                    yield pa.RecordBatch.from_arrays([head[0], *cols, *also, *head[1:]], ["page_id", *_NAMES, *["marks"] * len(also), *carry])
 
     kinds = dict(pages.dtypes)
     given = pages.where(F.col("url").rlike("(?i)^https?:")).select(F.col("page_id").cast("long").alias("page_id"), "html", *carry)
-    return given.mapInArrow(parse, ", ".join(["page_id long", NODE, *[f"{c} {kinds[c]}" for c in carry]]))
+    return given.mapInArrow(parse, ", ".join(["page_id long", NODE, *["marks array<string>"] * bool(marks), *[f"{c} {kinds[c]}" for c in carry]]))
 
 
 def _products(ld: object, path: tuple[int, ...] = (0,)) -> Iterator[tuple[tuple[int, ...], str]]:
