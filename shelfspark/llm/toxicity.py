@@ -7,6 +7,9 @@ the sigmoid of its sum. Bounds of the fit: ``positives`` and ``unlabelled`` text
 equal texts count once; every document is scored whole. The words that get a weight are chosen by their frequencies over all
 different texts, less the positives' share of them, and only those words of the sampled texts reach the driver.
 
+The class prior, where it is not given, is the share of toxic texts among the different labelled ones, kept between 0.01 and 0.99 so that
+both classes have some weight.
+
 Labels are joined to documents for rows outside the held-out fold only. Labels, language, source and id are no inputs.
 Defined cases: null text as empty; empty texts get the score of no words; no positives: the score is the prior; null ids and
 repeated rows are scored like any; an empty table gives an empty result.
@@ -112,7 +115,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, positives: int = 2000, u
     known = ids.join(known.withColumnRenamed("doc_id", "id"), "id").groupBy(F.col("t").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-        prior = min(0.5, max(0.01, prior))
+        prior = min(0.99, max(0.01, prior))
     few = smallest(known.where("toxic = 1").select("doc_id"), positives, seed)
     once = lambda ids: texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text")  # noqa: E731  a bounded sample's texts
     distinct = lambda t: np.unique(word_bins(t, BINS))
