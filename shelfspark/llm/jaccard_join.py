@@ -191,7 +191,8 @@ def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, buck
         met = large.join(pivot, "node").withColumn("close", close("sig", "pivot_sig")).checkpoint()
         links.append(met.where("close AND comp <> pivot").select(F.col("comp").alias("a"), F.col("pivot").alias("b")))
         # the picked one stays, for those close to it that are not close enough here
-        rows, level = _children(met.where("NOT close OR picked").select("node", "set", "comp", "sig"), level, more), level + 1
+        # written, as it is read by the count of its nodes, by their pivots and by the brute force
+        rows, level = _children(met.where("NOT close OR picked").select("node", "set", "comp", "sig"), level, more).checkpoint(), level + 1
     all_small = small[0]
     for s in small[1:]:
         all_small = all_small.unionByName(s)
