@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, selectors, specs, tagger
+from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, scrape, selectors, specs, tagger
 from shelfspark.sources import html
 
 
@@ -246,3 +246,15 @@ def test_tagger_on_odd_products(spark):
     r = got[3]  # an overriding phrase; electronics are unisex and know no patterns; the URL's colour stands first
     assert (r.primary_category, r.gender) == ("Electronics > Mobile Accessories > Cases", "unisex")
     assert [tuple(t) for t in r.tags] == [("red", "colors"), ("wool", "materials"), ("unisex", "demographic"), ("kids", "demographic")] and float(r.confidence) == 0.25
+
+
+def test_scrape_modes(spark):
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"From data","offers":{"price":"7","priceCurrency":"USD"}}</script>'
+    p = pages(spark, [f"<title>t</title>{ld}<h1>Heading</h1><b class=price>$9.50</b>", "<h1>Heading</h1><b class=price>$9.50</b>", None]).withColumn("host", F.lit("a.com"))
+    memory = spark.createDataFrame([("a.com", "title", 1, scrape.LD, "text"), ("a.com", "price", 1, ".none", "text"), ("a.com", "price", 2, ".price", "text"), ("b.com", "title", 1, "title", "text")], "host string, field string, rank int, selector string, attr string")
+    site = spark.createDataFrame([(1, "title", "By the site"), (1, "price", "1.0"), (0, "title", "")], "page_id long, field string, value string")
+    all_of = lambda *a: {(r.page_id, r.field): (r.value, r.source, r.selector) for r in scrape.scrape(p, memory, *a).collect()}
+    assert all_of("normal", site) == {(0, "title"): ("From data", "memory", scrape.LD), (0, "price"): ("9.5", "memory", ".price"), (1, "title"): ("By the site", "site", None), (1, "price"): ("9.5", "memory", ".price")}
+    assert all_of("memoryOnly", site) == {(0, "title"): ("From data", "memory", scrape.LD), (0, "price"): ("9.5", "memory", ".price"), (1, "price"): ("9.5", "memory", ".price")}
+    both = {(r.page_id, r.field): (r.memory, r.site, r.generic, r.agree) for r in scrape.scrape(p, memory, "compare", site).collect()}
+    assert both[0, "title"] == ("From data", None, "Heading", False) and both[0, "price"][-1] and both[1, "price"] == ("9.5", "1.0", "9.5", False)
