@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import chat_format, fill_in_middle, queries, sentencepiece_codec, token_alignment
+from shelfspark.llm import chat_format, fill_in_middle, jaccard_join, queries, sentencepiece_codec, token_alignment
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fim_n string, n long, form string, id long, t string, row long, key long"
@@ -248,3 +248,19 @@ def test_codec_in_one_pass_is_that_by_pieces(libraries):
         assert ids == want[0] == lib.encode(t, add_bos=True, add_eos=True)
         assert np.frombuffer(spans, "<u4").reshape(-1, 2).T.tolist() == [want[1], want[2]], t
         assert decoded == m.decode(ids) == lib.decode(ids), t
+
+
+def test_join_finds_all_links_of_a_whole_table(spark):
+    """The ids divisible by 20 against all rows of sf0.01, by exact Jaccard."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holds = {}, collections.defaultdict(list)
+    for d, t in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        for x in sets[d]:
+            holds[x].append(d)
+    got = {r.doc_id: r for r in jaccard_join.join(docs).collect()}
+    for d in (d for d in sets if d % 20 == 0 and sets[d]):
+        shared = collections.Counter(e for x in sets[d] for e in holds[x] if e != d)
+        links = [e for e, n in shared.items() if 5 * n >= 4 * (len(sets[d]) + len(sets[e]) - n)]
+        assert got[d].n_links == len(links) and all(got[e].class_id == got[d].class_id for e in links)
