@@ -125,22 +125,30 @@ def _functions(b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(*chunk_function(x), _code_points(x)) for x in b], columns=["left", "ends", "marks", "points"])
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All chunks of a document -> its units and marks, and for each of its two cuts the code points before, and the chunk, entry state
-    and rank of the end of a word that has still to be found there (no is -1 where the cut is an end of the text)."""
-    pdf = pdf.drop_duplicates("no").sort_values("no")  # rows that repeat a document repeat its chunks
-    left, ends, marks = compose(*[np.array(pdf[c].tolist(), np.int64) for c in ("left", "ends", "marks")])
-    points = np.concatenate([[0], np.cumsum(pdf["points"].to_numpy())])
-    upto, n = ends[:, 0], int(ends[-1, 0]) + 1
-    out = []
-    for which, u in enumerate(_units(int(pdf["h1"].iat[0]), int(pdf["h2"].iat[0]), n)):
-        if u in (0, n):
-            out.append((which, int(points[-1]) if u else 0, -1, 0, 0))
-        else:
-            k = int(np.searchsorted(upto, u))
-            out.append((which, int(points[k]), k, int(left[k - 1, 0]) if k else 0, u - (int(upto[k - 1]) if k else 0)))
-    head = (pdf["id"].iat[0], pdf["key"].iat[0], n, bool(marks[-1, 0] == 3))
-    return pd.DataFrame([(*head, *r) for r in out], columns=["id", "key", "n", "marked", "which", "before", "no", "entered", "nth"]).astype({"id": "Int64"})
+CUT = "id long, key long, n long, marked boolean, which int, before long, no long, entered int, nth long"
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document, from the functions of its chunks in order: its units and marks, and for each of its two cuts the code points
+    before, and the chunk, entry state and rank of the end of a word that has still to be found there (no is -1 where the cut
+    is an end of the text)."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            chunks = row["chunks"]
+            left, ends, marks = compose(*[np.array([c[k] for c in chunks], np.int64) for k in ("left", "ends", "marks")])
+            points = np.concatenate([[0], np.cumsum([c["points"] for c in chunks])])
+            upto, n = ends[:, 0], int(ends[-1, 0]) + 1
+            head = (row["id"], row["key"], n, bool(marks[-1, 0] == 3))
+            for which, u in enumerate(_units(row["h1"], row["h2"], n)):
+                if u in (0, n):
+                    out.append((*head, which, int(points[-1]) if u else 0, -1, 0, 0))
+                else:
+                    k = int(np.searchsorted(upto, u))
+                    out.append((*head, which, int(points[k]), k, int(left[k - 1, 0]) if k else 0, u - (int(upto[k - 1]) if k else 0)))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in CUT.split(", ")])
 
 
 def _found(b: pd.Series, entered: pd.Series, nth: pd.Series) -> pd.Series:
@@ -152,7 +160,9 @@ def _long_cuts(rows: DataFrame, size: int) -> DataFrame:
     at = ["id", "key", "no"]
     chunks = rows.mapInArrow(_slices(size), "id long, key long, h1 long, h2 long, no long, bytes binary").repartition(*at)
     parts = chunks.withColumn("f", F.pandas_udf(_functions, FUNCTION)("bytes")).select("id", "key", "h1", "h2", "no", "f.*", "bytes").checkpoint()
-    cuts = parts.drop("bytes").groupBy("id", "key").applyInPandas(_resolve, "id long, key long, n long, marked boolean, which int, before long, no long, entered int, nth long")
+    # a set, as rows that repeat a document repeat its chunks; ordered by their number
+    table = F.sort_array(F.collect_set(F.struct("no", "left", "ends", "marks", "points"))).alias("chunks")
+    cuts = parts.groupBy("id", "key").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), table).mapInArrow(_resolve, CUT)
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"p.{c}")) for c in at]
     held = cuts.alias("c").join(parts.select(*at, "bytes").dropDuplicates(at).alias("p"), same, "left").select("c.*", "p.bytes")
     where = held.select("id", "key", "n", "marked", "which", (F.col("before") + F.pandas_udf(_found, "long")("bytes", "entered", "nth")).alias("at"))
