@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, scrape, selectors, specs, tagger
+from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, heuristics, scrape, selectors, specs, tagger
 from shelfspark.sources import html
 
 
@@ -258,3 +258,13 @@ def test_scrape_modes(spark):
     assert all_of("memoryOnly", site) == {(0, "title"): ("From data", "memory", scrape.LD), (0, "price"): ("9.5", "memory", ".price"), (1, "price"): ("9.5", "memory", ".price")}
     both = {(r.page_id, r.field): (r.memory, r.site, r.generic, r.agree) for r in scrape.scrape(p, memory, "compare", site).collect()}
     assert both[0, "title"] == ("From data", None, "Heading", False) and both[0, "price"][-1] and both[1, "price"] == ("9.5", "1.0", "9.5", False)
+
+
+def test_good_fields(spark):
+    p = pages(spark, [
+        "<body><h1>Sign In</h1><i itemprop=name>abc</i><meta property='og:title' content='A fine title'></body>",  # the first marked is too short, the heading navigates
+        "<body><b data-price=1>$</b><b class=price data-value=7>x</b><b itemprop=brand content=no>By Us</b></body>", None,
+    ])
+    got = {(r.page_id, r.field): (r.selector, r.value) for r in heuristics.good_fields(p).collect()}
+    assert got == {(1, "price"): (".price[data-value]", "7"), (1, "brand"): ('[itemprop="brand"]', "By Us")}
+    assert {r.page_id: r.fields for r in heuristics.fields_for_model(p).collect()} == {0: list(heuristics.FIELDS), 1: ["title", "description", "images"], 2: list(heuristics.FIELDS)}
