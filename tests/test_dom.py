@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, heuristics, scrape, selectors, specs, tagger
+from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, heuristics, scrape, selectors, sku, specs, tagger
 from shelfspark.sources import html
 
 
@@ -268,3 +268,9 @@ def test_good_fields(spark):
     got = {(r.page_id, r.field): (r.selector, r.value) for r in heuristics.good_fields(p).collect()}
     assert got == {(1, "price"): (".price[data-value]", "7"), (1, "brand"): ('[itemprop="brand"]', "By Us")}
     assert {r.page_id: r.fields for r in heuristics.fields_for_model(p).collect()} == {0: list(heuristics.FIELDS), 1: ["title", "description", "images"], 2: list(heuristics.FIELDS)}
+
+
+def test_skus(spark):
+    p = pages(spark, ['<div class=product data-product-id=own><input name=sku value=""><input name=sku value=2><input name=productId value=" P 3 "></div>', "<body><p class=sku>Style: AB-12 or SKU : ab</p></body>", None, "<div class=product-info>UPC 12345</div>"])
+    # the first input of a name has no value, and the next name's has; a page without body or container has nothing below it; the container is not looked at itself
+    assert {r.page_id: (r.sku, r.method) for r in sku.skus(p).collect()} == {0: ("P 3", "dom-attr"), 1: ("AB-12", "pattern")}
