@@ -177,12 +177,11 @@ def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, buck
     small, links = [], []
     while True:
         order = F.xxhash64("set", F.lit(level * 7919 + runs.start))
-        # a node of one component has nothing to find; sums alone are shuffled here, and the table of nodes is written, so
-        # that Spark can split the few nodes that hold many sets
+        # a node of one component has nothing to find; sums alone are shuffled here. What remains is written with what is known of
+        # its node, in one job a level, as the brute force, the pivots and the next level all read it
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("pick")).where("lo < hi").select("node", "n", "pick")
         seen = Observation()
-        nodes = nodes.observe(seen, F.count_if(F.col("n") > bucket).alias("large")).checkpoint()
-        at = rows.join(nodes, "node")
+        at = rows.join(nodes, "node").observe(seen, F.count_if(F.col("n") > bucket).alias("large")).checkpoint()
         small.append(at.where(F.col("n") <= bucket).select("node", "comp", "sig"))
         if not seen.get["large"]:
             break
@@ -191,8 +190,7 @@ def _batch_links(sets: DataFrame, runs: range, need: int, threshold: float, buck
         met = large.join(pivot, "node").withColumn("close", close("sig", "pivot_sig")).checkpoint()
         links.append(met.where("close AND comp <> pivot").select(F.col("comp").alias("a"), F.col("pivot").alias("b")))
         # the picked one stays, for those close to it that are not close enough here
-        # written, as it is read by the count of its nodes, by their pivots and by the brute force
-        rows, level = _children(met.where("NOT close OR picked").select("node", "set", "comp", "sig"), level, more).checkpoint(), level + 1
+        rows, level = _children(met.where("NOT close OR picked").select("node", "set", "comp", "sig"), level, more), level + 1
     all_small = small[0]
     for s in small[1:]:
         all_small = all_small.unionByName(s)
