@@ -274,3 +274,8 @@ def test_skus(spark):
     p = pages(spark, ['<div class=product data-product-id=own><input name=sku value=""><input name=sku value=2><input name=productId value=" P 3 "></div>', "<body><p class=sku>Style: AB-12 or SKU : ab</p></body>", None, "<div class=product-info>UPC 12345</div>"])
     # the first input of a name has no value, and the next name's has; a page without body or container has nothing below it; the container is not looked at itself
     assert {r.page_id: (r.sku, r.method) for r in sku.skus(p).collect()} == {0: ("P 3", "dom-attr"), 1: ("AB-12", "pattern")}
+
+
+def test_references_are_read_as_browsers_do(spark):
+    n = html.html_nodes(pages(spark, ['<h1>a &amp;&amp</h1><p title="x&amp">&quot;b&quot; c&lt; &nosuch; &</p>']))
+    assert {r.tag: (r.content, r.attrs) for r in n.collect()} == {"h1": ("a &&", {}), "p": ('"b" c< &nosuch; &', {"title": "x&"})}
