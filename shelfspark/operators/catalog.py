@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images as img
 from ..functions import rules, text
+from ..sources import files
 
 
 def categories(spark: SparkSession) -> DataFrame:
@@ -17,40 +21,47 @@ def tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules.TAGS, "name string, tag_type string")
 
 
+#: A hierarchy of more levels is taken for a cycle.
+MOST_LEVELS = 100
+
+
+def _level_by_level(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows of first, of step(first), and so on until a level is empty. A level is a job, which writes it to the shared folder in
+    spark.checkpoint.dir; no level passes through the driver, and their rows have no limit. A cycle is an error."""
+    files.ensure_checkpoint_dir(first.sparkSession)
+    every, level = [], first.checkpoint()
+    while not level.isEmpty():
+        every.append(level)
+        if len(every) > MOST_LEVELS:
+            raise ValueError(f"a cycle, or more than {MOST_LEVELS} levels")
+        level = step(level).checkpoint()
+    return reduce(DataFrame.unionAll, every, level)
+
+
 def category_paths(cats: DataFrame) -> DataFrame:
-    """category_id, path from the root, depth; a node whose parent is missing starts its own path. Top-down, a join a level: a
-    taxonomy is a dictionary of few levels. Spark stops a recursion of over 100 levels, and so a cycle, with an error; nodes that
+    """category_id, path from the root, depth; a node whose parent is missing starts its own path. Top-down, a join a level; nodes that
     only a cycle leads to have no path."""
-    return cats.sparkSession.sql(
-        """WITH RECURSIVE p(category_id, path, depth) AS (
-          SELECT c.category_id, c.name, 0 FROM {cats} c LEFT ANTI JOIN {cats} q ON c.parent_id = q.category_id
-          UNION ALL SELECT c.category_id, concat(p.path, ' > ', c.name), p.depth + 1 FROM p JOIN {cats} c ON c.parent_id = p.category_id)
-        SELECT category_id, path, depth FROM p""",
-        cats=cats,
-    )
+    c = cats.select("category_id", "name", "parent_id")
+    roots = c.join(c.select(F.col("category_id").alias("parent_id")).hint("merge"), "parent_id", "left_anti").select("category_id", F.col("name").alias("path"), F.lit(0).alias("depth"))
+    below = lambda p: c.join(p.select(F.col("category_id").alias("parent_id"), "path", "depth").hint("merge"), "parent_id").select("category_id", F.concat("path", F.lit(" > "), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
+    return _level_by_level(roots, below)
 
 
 def subtree(cats: DataFrame, root: str, seed_only: bool = False) -> DataFrame:
     """category_id of the root of that name and of all below it; seed_only: not beyond nodes that a model found."""
-    within = "c.llm_discovered = 0" if seed_only else "true"
-    return cats.sparkSession.sql(
-        f"""WITH RECURSIVE d(category_id) AS (SELECT category_id FROM {{cats}} c WHERE name = :root AND parent_id IS NULL AND {within}
-          UNION ALL SELECT c.category_id FROM d JOIN {{cats}} c ON c.parent_id = d.category_id WHERE {within})
-        SELECT DISTINCT category_id FROM d""",
-        args={"root": root},
-        cats=cats,
-    )
+    c = cats.where("llm_discovered = 0") if seed_only else cats
+    first = c.where((F.col("name") == root) & F.col("parent_id").isNull()).select("category_id").distinct()
+    below = lambda d: c.join(d.select(F.col("category_id").alias("parent_id")).hint("merge"), "parent_id").select("category_id")
+    return _level_by_level(first, below).distinct()
 
 
 def subtree_sizes(cats: DataFrame) -> DataFrame:
-    """category_id and the number of nodes below it, itself included, from each node's ancestors."""
-    up = cats.sparkSession.sql(
-        """WITH RECURSIVE u(category_id, above) AS (SELECT category_id, category_id FROM {cats}
-          UNION ALL SELECT u.category_id, c.parent_id FROM u JOIN {cats} c ON c.category_id = u.above WHERE c.parent_id IS NOT NULL)
-        SELECT above AS category_id, count(*) AS n FROM u GROUP BY above""",
-        cats=cats,
-    )
-    return up.join(cats.select("category_id"), "category_id", "left_semi")
+    """category_id and the number of nodes below it, itself included: counts go up a level at a time, added up for each parent on the
+    way, so a level never has more rows than there are nodes."""
+    c = cats.select("category_id", "parent_id").where("parent_id IS NOT NULL")
+    up = lambda u: c.join(u.hint("merge"), "category_id").groupBy(F.col("parent_id").alias("category_id")).agg(F.sum("n").alias("n"))
+    every = _level_by_level(cats.groupBy("category_id").agg(F.count("*").alias("n")), up).groupBy("category_id").agg(F.sum("n").alias("n"))
+    return every.join(cats.select("category_id").hint("merge"), "category_id", "left_semi")
 
 
 def keep_one(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -167,9 +178,9 @@ def product_star(products: DataFrame, tags: DataFrame, categories: DataFrame, pa
     tags: (id, name, tag_type); categories: (id, category_id, name, level); paths: (category_id, path)."""
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     t = tags.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("name", F.col("tag_type").alias("type")))).alias("tag_details"))
-    c = categories.join(paths.groupBy("category_id").agg(F.min("path").alias("full_path")), "category_id", "left")
+    c = categories.join(paths.groupBy("category_id").agg(F.min("path").alias("full_path")).hint("merge"), "category_id", "left")
     c = c.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("name", "level", "full_path"))).alias("category_details"), F.max_by("full_path", F.struct("level", -F.col("category_id"))).alias("category_full_path"))
-    out = products.join(t, id_col, "left").join(c, id_col, "left")
+    out = products.join(t.hint("merge"), id_col, "left").join(c.hint("merge"), id_col, "left")
     return out.withColumns({"tag_details": none(F.col("tag_details"), "array<struct<name:string,type:string>>"), "category_details": none(F.col("category_details"), "array<struct<name:string,level:int,full_path:string>>")})
 
 

@@ -62,11 +62,11 @@ def tag_products(products: DataFrame, tags: DataFrame, cats: DataFrame) -> DataF
     color = tagging.first_color(t, tags.where("tag_type = 'colors'").select("name"), "product_id", "tier1", "tier2", "tier3").select("product_id", F.col("color").alias("name"), F.lit("colors").alias("tag_type"))
     other = tagging.match_tags(t, tags.where("tag_type <> 'colors'"), "product_id", "all_of").where(F.col("tag_type").isin(*TYPES))
     department = F.get(F.split("primary_category", " > "), 0)
-    found = color.unionByName(other).join(cat.select("product_id", "primary_category"), "product_id", "left").where(allowed(department, F.col("tag_type")))
+    found = color.unionByName(other).join(cat.select("product_id", "primary_category").hint("merge"), "product_id", "left").where(allowed(department, F.col("tag_type")))
     rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("tag_type")).cast("int")
     one = found.select("product_id", rank.alias("nr"), canonical_tag(F.col("name")).alias("name"), F.col("tag_type").alias("type")).distinct()
     listed = one.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("nr", "name", "type"))).alias("found"), F.collect_set("type").alias("types"))
-    out = t.join(cat, "product_id", "left").join(listed, "product_id", "left")
+    out = t.join(cat.hint("merge"), "product_id", "left").join(listed.hint("merge"), "product_id", "left")
     electronic = F.coalesce(F.startswith(F.lower("primary_category"), F.lit("electronics")), F.lit(False))
     sex = tagging.gender(F.col("crumbs"), F.concat_ws(" ", "title", "url_words", "json_ld"), F.col("specs"), F.col("description"), F.col("primary_category"))["gender"]
     out = out.withColumn("gender", F.when(electronic, "unisex").otherwise(sex))

@@ -1,7 +1,7 @@
 """The tagger's relations: tags, categories, colours and gender of products.
 
 Texts meet dictionaries in equi-joins of word windows, so the cost follows the text and not text x dictionary. Dictionaries
-are DataFrames; how they are joined is left to Spark, which knows their size. A null text is an empty one; products without
+are DataFrames; small ones are broadcast, what has a row for each product never is. A null text is an empty one; products without
 a hit have no row in ``match_tags``, ``match_categories`` and ``first_color``.
 """
 
@@ -15,16 +15,19 @@ from ..functions.words import END, START, gram, grams, plural_forms, stands_in,
 from .catalog import category_paths
 
 
-def _lengths(entries: DataFrame, col: str) -> list[int]:
-    """How many words the dictionary's entries have: a handful of numbers."""
-    return sorted(r[0] for r in entries.select(F.size(words(F.col(col))).alias("n")).where("n > 0").distinct().collect())
+#: Entries of a dictionary that is no longer small, and shuffled. Both are said, as Spark's estimates are far off: a table made of
+#: Python rows counts as endless, and one made of a compressed file as small.
+LARGE = 100_000
 
 
 def _hits(texts: DataFrame, id_col: str, text_col: str, entries: DataFrame) -> DataFrame:
     """texts x entries(variant, ...) that stand in them: id, at (word), the columns of entries. Entries of several words or with
     hyphens are looked at again as they are written."""
+    # how many words the entries have: a handful of numbers
+    lengths = {r[0]: r[1] for r in entries.groupBy(F.size(words(F.col("variant"))).alias("n")).count().where("n > 0").collect()}
     e = entries.withColumn("gram", gram(F.col("variant")))
-    found = texts.select(id_col, text_col, words(F.col(text_col)).alias("w")).select(id_col, text_col, F.explode(grams(F.col("w"), _lengths(entries, "variant"))).alias("g"))
+    e = e.hint("merge") if sum(lengths.values()) > LARGE else F.broadcast(e)
+    found = texts.select(id_col, text_col, words(F.col(text_col)).alias("w")).select(id_col, text_col, F.explode(grams(F.col("w"), sorted(lengths))).alias("g"))
     hits = found.select(id_col, F.when(F.col("g.gram").contains(" "), F.col(text_col)).alias("text"), "g.at", "g.gram").join(e, "gram")
     return hits.where((F.col("variant") == F.col("gram")) & ~F.col("gram").contains(" ") | stands_in(F.col("variant"), F.col("text"))).drop("gram", "text")
 
@@ -36,18 +39,18 @@ def match_tags(products: DataFrame, dictionary: DataFrame, id_col: str, text_col
     tags = dictionary.select("name", "tag_type", F.explode(plural_forms(F.col("name"))).alias("variant"))
     hits = _hits(products, id_col, text_col, tags).select(id_col, "name", "tag_type").distinct()
     compounds = spark.createDataFrame(rules.COMPOUND_MATERIALS, "compound string, base string, preferred string")
-    found = all_words(products, id_col, text_col, compounds.select("compound")).join(compounds, "compound")
+    found = all_words(products, id_col, text_col, compounds.select("compound")).join(F.broadcast(compounds), "compound")
     blocked = found.select(id_col, F.col("base").alias("name")).distinct()
     made = found.select(id_col, F.col("preferred").alias("name"), F.lit("materials").alias("tag_type"))
-    return hits.join(blocked, [id_col, "name"], "left_anti").unionByName(made).distinct()
+    return hits.join(blocked.hint("merge"), [id_col, "name"], "left_anti").unionByName(made).distinct()
 
 
 def all_words(products: DataFrame, id_col: str, text_col: str, phrases: DataFrame) -> DataFrame:
-    """(id, phrase) where every word of the phrase (the one column) stands in the text, in any order and place."""
+    """(id, phrase) where every word of the phrase (the one column, of fixed values) stands in the text, in any order and place."""
     name = phrases.columns[0]
     p = phrases.select(name, words(F.col(name)).alias("ws")).select(name, F.size("ws").alias("need"), F.explode("ws").alias("word"))
     t = products.select(id_col, F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
-    return t.join(p, "word").groupBy(id_col, name, "need").agg(F.countDistinct("word").alias("n")).where("n = need").select(id_col, name)
+    return t.join(F.broadcast(p), "word").groupBy(id_col, name, "need").agg(F.countDistinct("word").alias("n")).where("n = need").select(id_col, name)
 
 
 def match_categories(products: DataFrame, cats: DataFrame, id_col: str, sources: dict[str, str], synonyms: dict[str, str] | None = None) -> DataFrame:
@@ -69,8 +72,8 @@ def match_categories(products: DataFrame, cats: DataFrame, id_col: str, sources:
         h = _hits(p, id_col, col, entries).groupBy(id_col, "category_id").agg((F.count("*") * rules.SOURCE_WEIGHTS[source]).alias("n"))
         each = h if each is None else each.unionByName(h)
     phrases = spark.createDataFrame(rules.MULTI_WORD_SYNONYMS, "phrase string, name string")
-    boost = all_words(p, id_col, "all_text", phrases.select("phrase")).join(phrases, "phrase").select(id_col, F.lower("name").alias("key")).distinct().join(names.select("category_id", "key"), "key").select(id_col, "category_id", F.lit(5000).cast("long").alias("n"))
-    hits = each.unionByName(boost).groupBy(id_col, "category_id").agg(F.sum("n").alias("n")).join(names, "category_id").join(paths, "category_id").join(p.select(id_col, "all_text"), id_col)
+    boost = all_words(p, id_col, "all_text", phrases.select("phrase")).join(F.broadcast(phrases), "phrase").select(id_col, F.lower("name").alias("key")).distinct().join(names.select("category_id", "key"), "key").select(id_col, "category_id", F.lit(5000).cast("long").alias("n"))
+    hits = each.unionByName(boost).groupBy(id_col, "category_id").agg(F.sum("n").alias("n")).join(names, "category_id").join(paths, "category_id").join(p.select(id_col, "all_text").hint("merge"), id_col)
     forms = F.array_join(F.transform(plural_forms(F.col("key")), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|")
     after_with = F.col("all_text").contains("with") & F.rlike(F.col("all_text"), F.concat(F.lit(rf"{START}with\s+[A-Za-z0-9_]*(?:"), forms, F.lit(")")))
     describes = F.lit(False)

@@ -29,7 +29,7 @@ def missing_levels(paths: DataFrame, existing: DataFrame) -> DataFrame:
     """The prefixes of paths that existing (path) lacks, once each: what a walk that creates categories adds."""
     parts = F.split("path", " > ")
     prefixes = paths.select(parts.alias("p")).select(F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"), "p").select((F.col("n") - 1).alias("level"), F.array_join(F.slice("p", F.lit(1), F.col("n")), " > ").alias("path"))
-    return prefixes.distinct().join(existing.select("path"), "path", "left_anti")
+    return prefixes.distinct().join(existing.select("path").hint("merge"), "path", "left_anti")
 
 
 def create_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def create_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
     new_id = lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # noqa: E731  far from ids that were counted up
     n = missing_levels(paths, known).withColumns({"name": F.element_at(F.split("path", " > "), -1), "parent": F.regexp_extract("path", r"^(.*) > ", 1)})
     ids = known.groupBy(F.col("path").alias("parent")).agg(F.min("category_id").cast("long").alias("known_id"))
-    n = n.join(ids, "parent", "left").withColumn("parent_id", F.when(F.col("parent") != "", F.coalesce("known_id", new_id(F.col("parent")))))
+    n = n.join(ids.hint("merge"), "parent", "left").withColumn("parent_id", F.when(F.col("parent") != "", F.coalesce("known_id", new_id(F.col("parent")))))
     return n.select(new_id(F.col("path")).alias("category_id"), "name", text.slug(F.col("name")).alias("slug"), "parent_id", "level", "path")
 
 

@@ -168,4 +168,4 @@ def created_paths(spark, sf_dir):
     again = taxonomy.create_paths(paths, every.select("category_id", "path"))
     both = made.withColumn("walk", F.lit(1)).unionByName(again.withColumn("walk", F.lit(2)))
     parents = every.select(F.col("category_id").alias("parent_id"), F.col("path").alias("parent"), F.col("new").alias("parent_is_new"))
-    return both.join(parents, "parent_id", "left").select("path", "name", F.col("level").cast("int").alias("level"), "parent", F.coalesce("parent_is_new", F.lit(False)).alias("parent_is_new"), "walk")
+    return both.join(parents.hint("merge"), "parent_id", "left").select("path", "name", F.col("level").cast("int").alias("level"), "parent", F.coalesce("parent_is_new", F.lit(False)).alias("parent_is_new"), "walk")

@@ -45,7 +45,7 @@ def tagged_products(spark, sf_dir):
     p = products(spark, sf_dir)
     t = tagging.match_tags(p, tags(spark), "p_partkey", "title").groupBy("p_partkey").agg(F.array_sort(F.collect_list("name")).alias("tags"), F.collect_set("tag_type").alias("types"))
     none = F.array().cast("array<string>")
-    d = p.join(t, "p_partkey", "left").withColumn("confidence", ops.confidence(F.coalesce("types", none)))
+    d = p.join(t.hint("merge"), "p_partkey", "left").withColumn("confidence", ops.confidence(F.coalesce("types", none)))
     return d.select("p_partkey", "p_name", F.coalesce("tags", none).alias("tags"), F.col("confidence").cast("decimal(18,2)").cast("double").alias("confidence"), (F.col("confidence") < 0.7).alias("needs_enrichment"))
 
 

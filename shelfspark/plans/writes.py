@@ -21,7 +21,7 @@ def get_products(spark, sf_dir):
     p = tagger.products(spark, sf_dir)
     t = tagging_of(spark, sf_dir)
     c = hierarchy.nodes(spark, sf_dir)
-    b = p.select("p_partkey", F.explode(F.array((F.col("p_partkey") % 5 + 1).cast("int"), (100 + F.col("p_partkey") % 25).cast("int"))).alias("category_id")).join(c, "category_id").select("p_partkey", "category_id", "name", "level")
+    b = p.select("p_partkey", F.explode(F.array((F.col("p_partkey") % 5 + 1).cast("int"), (100 + F.col("p_partkey") % 25).cast("int"))).alias("category_id")).join(c.hint("merge"), "category_id").select("p_partkey", "category_id", "name", "level")
     return ops.product_star(p.select("p_partkey", "p_name"), t, b, ops.category_paths(c), "p_partkey")
 
 

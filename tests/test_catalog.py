@@ -130,3 +130,43 @@ def test_query(spark, name):
     cols = [c[0] for c in got.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(repr(plain([r[c] for c in cols])) for r in rows) == sorted(repr(plain(list(r))) for r in got.fetchall())
+
+
+def test_many_levels_and_cycles(spark):
+    chain = spark.createDataFrame([(i, f"c{i}", i - 1 if i else None, i, 0) for i in range(30)], "category_id int, name string, parent_id int, level int, llm_discovered int")
+    assert {r.category_id: r.n for r in ops.subtree_sizes(chain).collect()} == {i: 30 - i for i in range(30)}
+    assert max(len(r.path.split(" > ")) for r in ops.category_paths(chain).collect()) == 30
+    cycle = spark.createDataFrame([(1, "a", 2, 0, 0), (2, "b", 1, 0, 0)], chain.schema)
+    assert ops.category_paths(cycle).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        ops.subtree_sizes(cycle)
+
+
+def test_hierarchies_have_no_limit_of_rows(spark):
+    rows = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        wide = spark.range(100).select(F.col("id").cast("int").alias("category_id"), F.col("id").cast("string").alias("name"), F.when(F.col("id") > 0, 0).cast("int").alias("parent_id"), F.lit(0).alias("level"), F.lit(0).alias("llm_discovered"))
+        assert ops.subtree_sizes(wide).agg(F.max("n")).first()[0] == 100 and ops.category_paths(wide).count() == 100 and ops.subtree(wide, "0").count() == 100
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", rows)
+
+
+def broadcast(df):
+    """What stands below the broadcasts of a plan."""
+    out, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+    return "\n".join(out)
+
+
+def test_tables_of_products_are_not_broadcast(spark):
+    p = spark.range(50).select("id", F.lit("red suede bag, faux").alias("title"))
+    found = tagging.match_tags(p, spark.createDataFrame([("red", "colors"), ("suede", "materials")], "name string, tag_type string"), "id", "title")
+    assert "Range" not in broadcast(found) and "Scan ExistingRDD" in broadcast(found)
+    assert {r.name for r in found.collect()} == {"red", "faux-suede"}
