@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.images import OTHER_PRODUCTS, upgrade_cdn
 from ..functions.text import absolute_url, best_of_srcset
+from ..sources.files import written
 from ..sources.html import html_nodes
 from .catalog import ImageAudit, rank_images
 from .selectors import select
@@ -25,20 +26,20 @@ FALLBACK = "img"
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, fallback, pos, url, from_srcset, from_zoom, from_large, selector: every URL that an element of a gallery offers, and (as
     fallback) those of all images. An element found by two selectors stands there for both, as each has a place of its own."""
-    nodes = html_nodes(pages.withColumn("host", F.lit("*")), text=lambda tag, _: False, carry=("host", "url"))
+    nodes = written(html_nodes(pages.withColumn("host", F.lit("*")), text=lambda tag, _: False, carry=("host", "url")))
     rows = [("*", "gallery", i, s, "src") for i, s in enumerate(GALLERY)] + [("*", "any", len(GALLERY), FALLBACK, "src")]
     found = select(nodes, pages.sparkSession.createDataFrame(rows, "host string, field string, rank int, selector string, attr string"))
     # of the element and its next two ancestors, none may belong to a section of other products
     others = F.lower(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"])).rlike(OTHER_PRODUCTS)
     own = nodes.select("page_id", "pos", "parent", "tag", others.alias("other"), F.col("url").alias("page"))
     up = lambda n: own.select("page_id", F.col("pos").alias(f"p{n}"), F.col("parent").alias(f"p{n + 1}"), F.col("other").alias(f"other{n}"), F.col("tag").alias(f"tag{n}"))
-    e = found.join(own.select("page_id", "pos", F.col("parent").alias("p1"), "other", "page"), ["page_id", "pos"]).join(up(1), ["page_id", "p1"], "left").join(up(2), ["page_id", "p2"], "left")
+    e = found.join(own.select("page_id", "pos", F.col("parent").alias("p1"), "other", "page").hint("merge"), ["page_id", "pos"]).join(up(1).hint("merge"), ["page_id", "p1"], "left").join(up(2).hint("merge"), ["page_id", "p2"], "left")
     e = e.where(~F.col("other") & ~F.coalesce("other1", F.lit(False)) & ~F.coalesce("other2", F.lit(False)))
     # sources of a picture that the element stands in
     s = nodes.where("tag = 'source'").select("page_id", F.col("pos").alias("at"), F.coalesce(F.col("attrs")["data-srcset"], F.col("attrs")["srcset"]).alias("set")).where("set IS NOT NULL")
-    box = nodes.where("tag = 'picture'").select("page_id", F.col("pos").alias("p1"), F.col("last").alias("end")).join(s, "page_id").where("at > p1 AND at <= end")
+    box = nodes.where("tag = 'picture'").select("page_id", F.col("pos").alias("p1"), F.col("last").alias("end")).join(s.hint("merge"), "page_id").where("at > p1 AND at <= end")
     box = box.groupBy("page_id", "p1").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "set"))), lambda x: x["set"]).alias("sets"))
-    e = e.join(box, ["page_id", "p1"], "left")
+    e = e.join(box.hint("merge"), ["page_id", "p1"], "left")
     a = F.col("attrs")
     given = lambda c: F.nullif(a[c], F.lit(""))
     offer = lambda u, srcset: F.struct(u.alias("url"), F.lit(srcset).alias("from_srcset"), F.lit(not srcset).alias("main"))
@@ -62,7 +63,7 @@ def page_images(pages: DataFrame, keep: int = 30, audit: ImageAudit | None = Non
     r = r.withColumn("any", F.max(~F.col("fallback")).over(Window.partitionBy("page_id"))).where("NOT any OR NOT fallback")
     og = html_nodes(pages, ("meta",), text=lambda tag, _: False).where((F.col("attrs")["property"] == "og:image") & (F.col("attrs")["content"] != ""))
     og = og.groupBy("page_id").agg(F.min_by(F.col("attrs")["content"], "pos").alias("content")).select("page_id", upgrade_cdn(F.col("content")).alias("url"), F.lit('meta[property="og:image"]').alias("selector"))
-    extra = og.join(r.where("NOT fallback").select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit(True).alias("fallback"), F.lit(0).alias("rank"), "url", F.lit(None).cast("int").alias("score"), "selector")
+    extra = og.join(r.where("NOT fallback").select("page_id").distinct().hint("merge"), "page_id", "left_anti").select("page_id", F.lit(True).alias("fallback"), F.lit(0).alias("rank"), "url", F.lit(None).cast("int").alias("score"), "selector")
     both = r.drop("any").unionByName(extra)
     first = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("rank")) == 1
     ordered = both.withColumn("first", first).where("first").withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("rank"))).where(F.col("rank") <= keep)

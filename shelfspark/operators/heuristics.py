@@ -37,7 +37,7 @@ def good_fields(pages: DataFrame) -> DataFrame:
     is_a, a = lambda m: F.array_contains("marks", m), F.col("attrs")
     given = lambda c: F.nullif(c, F.lit(""))
     content = F.when(F.col("tag") == "meta", given(a["content"]))
-    n = n.join(product_roots(pages).select("page_id", F.col("pos").alias("root"), F.col("last").alias("end")), "page_id", "left")
+    n = n.join(product_roots(pages).select("page_id", F.col("pos").alias("root"), F.col("last").alias("end")).hint("merge"), "page_id", "left")
     inside = F.coalesce((F.col("pos") > F.col("root")) & (F.col("pos") <= F.col("end")), F.lit(False))
     before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     below = lambda m: F.coalesce(F.max(F.when(is_a(m), F.col("last"))).over(before) >= F.col("pos"), F.lit(False))
@@ -68,4 +68,4 @@ def fields_for_model(pages: DataFrame) -> DataFrame:
     """page_id, fields: those that are not good as they are, in their order; every page has a row."""
     got = good_fields(pages).groupBy("page_id").agg(F.collect_set("field").alias("good"))
     missing = F.array_except(F.array(*map(F.lit, FIELDS)), F.coalesce("good", F.array().cast("array<string>")))
-    return pages.select(F.col("page_id").cast("long").alias("page_id")).distinct().join(got, "page_id", "left").select("page_id", missing.alias("fields"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id")).distinct().join(got.hint("merge"), "page_id", "left").select("page_id", missing.alias("fields"))

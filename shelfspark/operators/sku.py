@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from ..sources.html import html_nodes
 from .extract import product_json_ld
 from .selectors import stripped, wants
@@ -29,12 +30,12 @@ def _found(value: Column, *patterns: str) -> Column:
 def skus(pages: DataFrame) -> DataFrame:
     """page_id, sku, method (jsonld, meta, dom-attr, pattern, url): of pages that have one, from the first tier that gives it."""
     marks = {f"m{i}": wants(s) for i, s in enumerate(MARKS)} | {f"d{i}": wants(s) for i, s in enumerate((*DATA, *HIDDEN_ID))} | {"box": wants(*CONTAINERS), "text": wants(*TEXTS)}
-    n = html_nodes(pages, ("body",), keep=wants(*MARKS, *CONTAINERS, *DATA, *HIDDEN_ID, *TEXTS), text=wants(*MARKS[4:], *TEXTS), marks=marks)
+    n = written(html_nodes(pages, ("body",), keep=wants(*MARKS, *CONTAINERS, *DATA, *HIDDEN_ID, *TEXTS), text=wants(*MARKS[4:], *TEXTS), marks=marks))
     is_a, a = lambda m: F.array_contains("marks", m), F.col("attrs")
     given = lambda c: F.nullif(a[c], F.lit(""))
     # the first container of the page, else its body; what is looked for stands below
     box = n.where(is_a("box") | (F.col("tag") == "body")).groupBy("page_id").agg(F.min_by(F.struct("pos", "last"), F.struct(F.when(is_a("box"), 0).otherwise(1).alias("o"), "pos")).alias("b"))
-    n = n.join(box.select("page_id", F.col("b.pos").alias("top"), F.col("b.last").alias("end")), "page_id", "left")
+    n = n.join(box.select("page_id", F.col("b.pos").alias("top"), F.col("b.last").alias("end")).hint("merge"), "page_id", "left")
     inside = F.coalesce((F.col("pos") > F.col("top")) & (F.col("pos") <= F.col("end")), F.lit(False))
     first = lambda ok, value: F.min_by(F.when(ok, F.struct(value.alias("v"))), F.when(ok, F.col("pos")))["v"]
     good = lambda c: F.when((F.trim(given(c)) != "") & (F.length(given(c)) < 100), stripped(given(c)))
@@ -47,7 +48,7 @@ def skus(pages: DataFrame) -> DataFrame:
     )
     ld = product_json_ld(pages).select("page_id", F.nullif(F.trim("ld_sku"), F.lit("")).alias("ld"))
     url = F.coalesce(*[F.when(F.length(F.regexp_extract("url", p, 1)) >= 3, F.regexp_extract("url", p, 1)) for p in URL_PATTERNS])
-    every = pages.where(F.col("url").rlike("(?i)^https?:")).select("page_id", url.alias("url")).join(g, "page_id", "left").join(ld, "page_id", "left")
+    every = pages.where(F.col("url").rlike("(?i)^https?:")).select("page_id", url.alias("url")).join(g.hint("merge"), "page_id", "left").join(ld.hint("merge"), "page_id", "left")
     tiers = {"jsonld": F.col("ld"), "meta": F.coalesce(*[f"m{i}" for i in range(len(MARKS))]), "dom-attr": F.coalesce(*[f"d{i}" for i in range(len(kinds))]), "pattern": F.col("text"), "url": F.col("url")}
     best = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("sku"), F.lit(m).alias("method"))) for m, v in tiers.items()]).alias("b")
     return every.select("page_id", best).where("b IS NOT NULL").select("page_id", "b.*")

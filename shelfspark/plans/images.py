@@ -9,7 +9,7 @@ from ..functions import images as img
 from ..functions.text import best_of_srcset, canonical_image_key
 from ..operators import catalog as ops
 from ..operators import selection
-from .registry import query, table
+from .registry import query, spread, table
 
 _SLUG = "replace(p_name, ' ', '-')"
 #: A candidate's URL, its large version and its canonical key, as SQL that both engines read; whether it is neither junk nor
@@ -35,7 +35,7 @@ SQL_CANDIDATES = f"(SELECT p_partkey AS page_id, unnest({_LIST(0)}) AS url, unne
 def candidates(spark, sf_dir):
     """page_id, pos, url, from_srcset"""
     each = F.array(*[F.struct(F.expr(f[0]).alias("url"), F.lit(i).cast("int").alias("pos"), F.lit(f[4]).alias("from_srcset")) for i, f in enumerate(FORMS)])
-    p = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # one small file, much work a row
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     return p.select(F.col("p_partkey").alias("page_id"), F.explode(each).alias("i")).select("page_id", "i.*")
 
 

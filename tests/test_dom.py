@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import breadcrumbs, catalog, dom, extract, gallery, heuristics, scrape, selectors, sku, specs, tagger
-from shelfspark.sources import html
+from shelfspark.sources import files, html
 
 
 def pages(spark, htmls, url="https://a.com/x"):
@@ -279,3 +279,23 @@ def test_skus(spark):
 def test_references_are_read_as_browsers_do(spark):
     n = html.html_nodes(pages(spark, ['<h1>a &amp;&amp</h1><p title="x&amp">&quot;b&quot; c&lt; &nosuch; &</p>']))
     assert {r.tag: (r.content, r.attrs) for r in n.collect()} == {"h1": ("a &&", {}), "p": ('"b" c< &nosuch; &', {"title": "x&"})}
+
+
+def test_pages_are_parsed_once_and_never_broadcast(spark):
+    p = pages(spark, ['<main class="product"><h1>A</h1><ul class="specs"><li>one: 1</li></ul><div class="gallery"><img src="/a.jpg"></div></main>'] * 3)
+    memory = spark.createDataFrame([("a.com", "title", 1, "main > h1", "text")], "host string, field string, rank int, selector string, attr string")
+    nodes = files.written(html.html_nodes(p.withColumn("host", F.lit("a.com")), carry=("host",)))
+    made = {"roots": dom.product_roots(p), "specs": specs.specifications(p), "crumbs": breadcrumbs.breadcrumbs(p), "skus": sku.skus(p), "selected": selectors.select(nodes, memory), "trimmed": dom.trim_pages(p)}
+    for name, df in made.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= (name == "trimmed"), name  # all else reads what has been written
+        assert name == "selected" or "BroadcastExchange" not in plan, name  # there, only the steps of selectors are
+    assert "BroadcastExchange" not in heuristics.good_fields(p)._jdf.queryExecution().executedPlan().toString()
+    assert made["selected"].count() == 3
+
+
+def test_pages_of_a_compact_file_are_dealt_to_tasks(spark):
+    from shelfspark.plans import dom as plans
+
+    assert plans.shop_pages(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 8
+    assert plans.shop_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
