@@ -85,10 +85,9 @@ def image_ranking(spark, sf_dir):
 @query(f"""SELECT count(*) FILTER (WHERE contains(url, 'data:')) AS invalid, count(*) FILTER (WHERE NOT contains(url, 'data:') AND NOT fine) AS junk, count(*) FILTER (WHERE fine AND score < 40) AS low_score, count(*) FILTER (WHERE fine AND score >= 40) AS kept FROM {_SCORED}""")
 def image_filter_counts(spark, sf_dir):
     """What the filters of the ranking refuse, by reason."""
-    u = F.col("url")
-    c = candidates(spark, sf_dir).withColumn("score", img.image_score(u, F.col("pos"), F.col("from_srcset")))
-    real, junk = img.is_real_url(u), img.is_junk(u) | img.junk_reason(u).isNotNull()
-    return c.agg(F.count_if(~real).alias("invalid"), F.count_if(real & junk).alias("junk"), F.count_if(real & ~junk & (F.col("score") < 40)).alias("low_score"), F.count_if(real & ~junk & (F.col("score") >= 40)).alias("kept"))
+    c = candidates(spark, sf_dir).select(F.explode(F.array(img.judged(F.col("url"), F.col("pos"), F.col("from_srcset")))).alias("j")).select("j.*")
+    why, score = F.col("why"), F.col("score")
+    return c.agg(F.count_if(why.isin("empty", "invalid")).alias("invalid"), F.count_if(why == "junk").alias("junk"), F.count_if(score < 40).alias("low_score"), F.count_if(score >= 40).alias("kept"))
 
 
 @query(f"""WITH g AS (SELECT page_id, canonical, count(*) AS n, arg_max(large, 100000 * score - pos) AS large, max(score) AS score FROM {_SCORED} WHERE fine AND score >= 40 GROUP BY ALL),

@@ -1,6 +1,7 @@
 """Functions against values worked out by hand, and queries against their SQL in DuckDB."""
 
 import decimal
+import re
 
 import duckdb
 import pytest
@@ -170,3 +171,45 @@ def test_tables_of_products_are_not_broadcast(spark):
     found = tagging.match_tags(p, spark.createDataFrame([("red", "colors"), ("suede", "materials")], "name string, tag_type string"), "id", "title")
     assert "Range" not in broadcast(found) and "Scan ExistingRDD" in broadcast(found)
     assert {r.name for r in found.collect()} == {"red", "faux-suede"}
+
+
+def _texts(parsed) -> list[str]:
+    """Texts that a parsed pattern finds, in lower case: every branch, options with and without, the shortest of repeats ('~': any other character)."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            each = [chr(arg).lower()]
+        elif kind == "IN":
+            each = [next((chr(x if str(o) == "LITERAL" else x[0]).lower() for o, x in arg if str(o) in ("LITERAL", "RANGE")), "0")]
+        elif kind == "BRANCH":
+            each = [t for b in arg[1] for t in _texts(b)]
+        elif kind == "SUBPATTERN":
+            each = _texts(arg[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            each = [t * n for t in _texts(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+        else:
+            each = ["~"] if kind in ("ANY", "NOT_LITERAL") else [""]
+        out = [a + b for a in out for b in each]
+    return out
+
+
+@pytest.mark.parametrize("pattern", [*images.NEEDLES, *images.PLAINER])
+def test_whatever_a_pattern_finds_holds_one_of_its_literals(pattern):
+    plainer = images.PLAINER.get(pattern)
+    for t in _texts(re._parser.parse(pattern)):
+        assert re.search(plainer, t) if plainer else any(n in t for n in images.NEEDLES[pattern]), t
+
+
+def test_scores_of_a_ranking_are_computed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "red shoe")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("image_ranking", "image_filter_counts", "image_score"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") < 60 and plan.count("|searchburger)") == 1, name
+
+
+def test_judged(spark):
+    rows = [(None, "empty"), ("", "empty"), ("data:image/png;base64,x", "invalid"), ("ftp://a/b.jpg", "invalid"), ("https://a.com/ICON.jpg", "junk"), ("//a.com/" + "x" * 80, "junk"), ("/a/b-123.PNG", "junk"), ("https://a.com/LOGOS/b.jpg", None), ("www.a.com/NAV/99999999999x/b.jpg", None)]
+    got = spark.createDataFrame([(u,) for u, _ in rows], "u string").select(F.explode(F.array(images.judged(F.col("u"), F.lit(0), F.lit(None).cast("boolean")))).alias("j")).select("j.*").collect()
+    assert [r.why for r in got] == [why for _, why in rows]
+    assert [r.score is None for r in got] == [r.why is not None for r in got]
