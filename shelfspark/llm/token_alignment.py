@@ -5,6 +5,11 @@ intersection of sorted arrays) cut the tokens into groups, whose labels come fro
 together are linked by repeating each A token for every B token of its end. A text is encoded once: what its links need later is
 written, compressed, to the shared checkpoint folder.
 
+No token of A or B crosses a single space between two characters that are not white space: A's pattern lets a space only begin a
+token, and no piece of B holds a space after another character (checked on loading). So a text is the sequence of its words, cut there, and
+groups and links stay within a word. A worker remembers those of the words it met and encodes and aligns only others, many at once. A
+text with a word that the tokens do not spell is judged as a whole.
+
 Counts of id pairs over all documents: of two tokens that end together, one's bytes are the end of the other's, so the pairs that
 can occur are known from the vocabularies alone, fewer than the bytes of all their tokens (``possible_pairs``), whatever
 the data. Each task sums its counts by pair and emits a row for each that it saw, with a salt; a first shuffle sums by pair and
@@ -37,6 +42,10 @@ from .common import ensure_checkpoint_dir
 
 #: Salts of the first sum.
 SALTS = 16
+#: Words kept in a worker's memory, twice at most, some 350 bytes each; characters of texts whose unknown words are aligned at once.
+CACHE, AT_ONCE = 100_000, 1 << 20
+#: Where no token of A or B crosses: no white space stands before or behind.
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_chars() -> dict[str, int]:
@@ -78,12 +87,18 @@ class Pieces:
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
+        if any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces):
+            raise ValueError("only models no piece of which holds a space behind another character")
         self.raw = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else b"" if self._model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def ids(self, text: str) -> list[int]:
         return self._model.encode(text)
 
 
+#: Groups as text, links as places of pairs (32 bits each), number of A and of B tokens.
+Word = tuple[bytes, bytes, int, int]
+
+
 def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Sorted codes a * len(b) + b of the pairs of which one's bytes end the other's; tokens of no bytes go with all that can end where
     they do, which no token of these vocabularies needs: they are left out, as no text contains them."""
@@ -106,6 +121,8 @@ class Both:
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.size_a, self.size_b = (np.array([len(x) for x in t.raw], np.int64) for t in (self.a, self.b))
         self.codes = possible_pairs(self.a.raw, self.b.raw)
+        self._words: dict[str, Word | None] = {}
+        self._older: dict[str, Word | None] = {}
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids by A and by B, if both spell the text."""
@@ -116,6 +133,57 @@ class Both:
             return None
         return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
 
+    def _align(self, words: list[str]) -> list[Word | None]:
+        """Of words, which make up one text with a space between each two: their groups, links (places in ``codes``), and numbers of tokens;
+        None for those that the tokens do not spell."""
+        got = self.tokens(" ".join(words))
+        if got is None:
+            half = len(words) // 2
+            return self._align(words[:half]) + self._align(words[half:]) if half else [None]
+        ids_a, ids_b = got
+        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        cuts, group_a, group_b = grouped(end_a, end_b)
+        i, j = links(end_a, end_b, cuts)
+        pairs = np.searchsorted(self.codes, ids_a[i] * len(self.b.raw) + ids_b[j]).astype("<u4").tobytes()
+        groups = render(ids_a, ids_b, group_a, group_b)
+        stop = np.cumsum([len(w.encode()) + 1 for w in words])
+        upto = lambda ends: [0, *np.searchsorted(ends, stop, "right").tolist()]
+        of_a, of_b, of_links, marks = upto(end_a), upto(end_b), upto(end_a[i]), np.flatnonzero(np.frombuffer(groups, np.uint8) == _SEMI)
+        at = [-1, *np.append(marks, len(groups))[np.searchsorted(cuts, stop, "right") - 1].tolist()]
+        return [(groups[at[k] + 1 : at[k + 1]], pairs[4 * of_links[k] : 4 * of_links[k + 1]], of_a[k + 1] - of_a[k], of_b[k + 1] - of_b[k]) for k in range(len(words))]
+
+    def words(self, words: set[str]) -> dict[str, Word | None]:
+        """Each word aligned, those not remembered at once; only words with white space at an end, which a text begins or ends with, alone."""
+        out, new = {}, []
+        for w in words:
+            known = self._words.get(w, 0) or self._older.get(w, 0)
+            if known == 0:
+                new.append(w)
+            else:
+                out[w] = known
+        joined = [w for w in new if not (w[0].isspace() or w[-1].isspace())]
+        out.update(zip(joined, self._align(joined) if joined else ()))
+        out.update((w, self._align([w])[0]) for w in new if w[0].isspace() or w[-1].isspace())
+        for w, x in out.items():
+            if len(w) < 64:
+                if len(self._words) >= CACHE:
+                    self._words, self._older = {}, self._words
+                self._words[w] = x
+        return out
+
+    def texts(self, texts: list[str | None]) -> list[Word | None]:
+        """Groups, links and numbers of tokens of each text, if both spell it."""
+        cut = [BETWEEN_WORDS.split(t) if t else [] for t in texts]
+        known, out = self.words({w for c in cut for w in c}), []
+        for text, c in zip(texts, cut):
+            of = [known[w] for w in c]
+            if None in of or not of:
+                out.append(self._align([text])[0] if text else None)
+            else:
+                groups, pairs, n_a, n_b = zip(*of)
+                out.append((b";".join(groups), b"".join(pairs), sum(n_a), sum(n_b)))
+        return out
+
 
 @functools.cache
 def load(a: str, b: str) -> Both:
@@ -173,7 +241,7 @@ def render(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: n
 
 def _packed(values: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted numbers below 2^32 as differences, and their counts."""
-    return zlib.compress(np.concatenate([np.diff(values, prepend=0), counts]).astype("<u4").tobytes(), 1)
+    return zlib.compress(np.concatenate([np.diff(values.astype(np.int64), prepend=0), counts]).astype("<u4").tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -181,24 +249,32 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(x[: len(x) // 2]), x[len(x) // 2 :]
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts of AT_ONCE characters together, or one longer."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def _aligner(a: str, b: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = load(a, b)
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                got = both.tokens(text.as_py())
-                if got is None:
-                    out.append((0, 0, 0, 0, "", _packed(np.zeros(0, np.int64), np.zeros(0, np.int64))))
-                    continue
-                ids_a, ids_b = got
-                end_a, end_b = np.cumsum(both.size_a[ids_a]), np.cumsum(both.size_b[ids_b])
-                cuts, group_a, group_b = grouped(end_a, end_b)
-                i, j = links(end_a, end_b, cuts)
-                codes = ids_a[i] * len(both.b.raw) + ids_b[j]
-                pairs = np.unique(np.searchsorted(both.codes, codes), return_counts=True)
-                groups = render(ids_a, ids_b, group_a, group_b)
-                out.append((len(ids_a), len(ids_b), len(cuts), len(i), groups.decode() if whole else hashlib.sha256(groups).hexdigest(), _packed(*pairs)))
+            for texts in _slices(batch.column(1).to_pylist()):
+                for got in both.texts(texts):
+                    if got is None:
+                        out.append((0, 0, 0, 0, "", _packed(np.zeros(0, np.int64), np.zeros(0, np.int64))))
+                        continue
+                    groups, pairs, n_a, n_b = got
+                    at = np.unique(np.frombuffer(pairs, "<u4"), return_counts=True)
+                    out.append((n_a, n_b, groups.count(b"|"), len(pairs) // 4, groups.decode() if whole else hashlib.sha256(groups).hexdigest(), _packed(*at)))
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())], ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
 

@@ -231,6 +231,23 @@ def test_expansion_with_tokens_of_no_bytes():
         assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y]]
 
 
+def test_alignment_by_words_is_that_of_whole_texts(monkeypatch):
+    both = token_alignment.Both(*paths())
+    r = random.Random(4)
+    chars = [*map(chr, range(0, 0x180)), *" " * 150, *"\n\t\x1c\x85\u3000", "'s", "<|endoftext|>", "</s>", "<0x41>", "▁", "日", "ि", "\U0001f600", "́"]
+    texts = ["".join(r.choices(chars, k=r.randint(1, 60))) for _ in range(1500)] + [None, "", " ", "  ", " a", "a ", "a  b", "x▁ y", "ab " * 3000, "x" * 3000]
+    got = both.texts(texts)
+    assert got == [both._align([t])[0] if t else None for t in texts] and got.count(None) > 10
+    monkeypatch.setattr(token_alignment, "CACHE", 50)
+    assert token_alignment.Both.texts(both, texts) == got
+    encoded, plain = [], both.b.ids
+    monkeypatch.setattr(both.b, "ids", lambda t: encoded.append(t) or plain(t))
+    monkeypatch.setattr(token_alignment, "CACHE", 100_000)
+    both.texts(["words that every text holds"] * 50)
+    both.texts(["words every text holds"])
+    assert sum(map(len, encoded)) == len("words that every text holds")
+
+
 def test_alignment_empty(spark, none, odd):
     assert token_alignment.digests(none, *paths()).count() == 0
     assert token_alignment.digests(odd.where("text is null or text = ''"), *paths()).select("n_a", "groups_sha256").distinct().collect() == [(0, "")]
