@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import gallery, selectors
+from shelfspark.operators import gallery, scrape, selectors
 from shelfspark.sources import html
 from tests.test_dom import brute, by_page, pages, random_page
 
@@ -60,3 +60,26 @@ def test_gallery_is_parsed_and_judged_once(spark):
     p = pages(spark, ['<meta property="og:image" content="https://a.com/o.jpg"><div class="gallery"><img src="/a_1200x.jpg"></div>'] * 3)
     text = plan(gallery.page_images(p))
     assert "MapInArrow" not in text and text.count("inline(") <= 1
+
+
+def test_scrape_reads_what_memory_and_fields_ask_for(spark, monkeypatch):
+    p = pages(spark, ['<main><h1 class="t"><i>A</i> <b>B</b></h1>' + "<p>x</p>" * 50 + '<em id="e" data-q="7">$9.50</em><u class="price">$9.50</u></main>', "<h1>C</h1>", None]).withColumn("host", F.lit("a.com"))
+    memory = spark.createDataFrame([("a.com", "title", 1, "main > h1 b", "text"), ("a.com", "price", 1, "[data-q]", "data-q"), ("a.com", "sku", 1, "#e", "text"), ("b.com", "brand", 1, "u", "text"), ("a.com", "brand", 2, "a[", "text")], "host string, field string, rank int, selector string, attr string")
+    sizes, write = [], scrape.written
+    monkeypatch.setattr(scrape, "written", lambda df: sizes.append(df.count()) or write(df))
+    for mode in ("normal", "compare", "memoryOnly"):
+        whole = scrape.scrape(p, memory, mode)
+        some = scrape.scrape(p, memory, mode, fields=("title", "price"))
+        want = sorted(map(str, whole.where("field IN ('title', 'price')").collect()))
+        assert sorted(map(str, some.collect())) == want and len(want) >= 2
+    assert sizes == [6, 5] * 3  # main, both h1, b, em (and u): of 57 elements
+    every, last = selectors.needed(spark.createDataFrame([("h", "f", 1, "*", "text")], memory.schema))
+    assert every("p", {}) and last("p", {"a": "b"})
+    every, last = selectors.needed(memory)
+    assert every("main", {}) and not last("main", {}) and last("b", {}) and last("p", {"id": "e"}) and not every("p", {"class": "t"})
+
+
+def test_scrape_compares_in_one_aggregate(spark):
+    p = pages(spark, ["<h1>C</h1>"]).withColumn("host", F.lit("a.com"))
+    memory = spark.createDataFrame([("a.com", "title", 1, "h1", "text")], "host string, field string, rank int, selector string, attr string")
+    assert "count(" not in plan(scrape.scrape(p, memory, "compare", fields=("title",)).select("agree"))
